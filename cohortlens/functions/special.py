@@ -179,41 +179,6 @@ def _deviance(observed: Column, expected: Column) -> Column:
     return gap - observed * F.log1p(gap / observed)
 
 
-def log_binomial_pmf(k: Column, n: Column, p: Column) -> Column:
-    """ln P(X = k), X ~ Binomial(n, p), 0 < p < 1."""
-
-    def body(k: Column, n: Column, p: Column) -> Column:
-        rest = n - k
-        interior = (
-            stirling_remainder(n) - stirling_remainder(k) - stirling_remainder(rest)
-            - _deviance(k, n * p) - _deviance(rest, n * (1.0 - p))
-            + 0.5 * F.log(n / (k * rest)) - LOG_SQRT_2PI
-        )
-        return (
-            F.when(k == 0, n * F.log1p(-p)).when(rest == 0, n * F.log(p)).otherwise(interior)
-        )
-
-    return let(body, k.cast("double"), n.cast("double"), p.cast("double"))
-
-
-def log_hypergeometric_pmf(k: Column, marked: Column, drawn: Column, total: Column) -> Column:
-    """ln P(k marked among `drawn` of `total` items, `marked` of which are marked)."""
-
-    def body(k: Column, marked: Column, drawn: Column, total: Column) -> Column:
-        share = drawn / total
-        inside = (
-            log_binomial_pmf(k, marked, share)
-            + log_binomial_pmf(drawn - k, total - marked, share)
-            - log_binomial_pmf(drawn, total, share)
-        )
-        certain = (marked <= 0) | (drawn <= 0) | (marked >= total) | (drawn >= total)
-        return F.when(certain, F.lit(0.0)).otherwise(inside)
-
-    return let(
-        body, k.cast("double"), marked.cast("double"), drawn.cast("double"), total.cast("double")
-    )
-
-
 # ------------------------------------------------------------------- incomplete beta, gamma
 
 _TINY = 1e-300
