@@ -241,7 +241,9 @@ def normality(values: DataFrame, level: float = 5.0, totals: DataFrame | None =
     """Both statistics, their critical values and the verdict `normal` or `unknown`."""
     totals = order_totals(values) if totals is None else totals
     n = F.col("n")
-    stats = _statistics(values, totals, task_rows, long_run)
+    # One row per feature, written out: a filter on the verdict would otherwise be pushed through
+    # the long formulas above it and copy them many times over.
+    stats = cut(_statistics(values, totals, task_rows, long_run))
     stats = stats.withColumn("anderson_critical", anderson_threshold(n, level)).withColumn(
         "shapiro_critical", shapiro_threshold(n))
     normal = (F.col("anderson_a2") < F.col("anderson_critical")) & (

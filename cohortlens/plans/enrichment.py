@@ -53,18 +53,18 @@ def with_names(top: DataFrame, names: DataFrame) -> DataFrame:
     return top.join(names, "pathway", "left")
 
 
-def enrichment_document(top: DataFrame, symbols: DataFrame, gene_ids: DataFrame) -> DataFrame:
-    """One result row: the top pathways, the symbols in descending order and the ids."""
+def enrichment_document(top: DataFrame, gene_ids: DataFrame) -> DataFrame:
+    """One result row: the top pathways in order of p and the size of the gene list."""
     pathways = top.agg(F.array_sort(F.collect_list(F.struct("p", "pathway", "p_corrected")))
                        .alias("ranked")).select(
         F.transform("ranked", lambda t: F.struct(
             t["pathway"].alias("pathway"), t["p_corrected"].alias("p"))).alias("TopPathways"))
-    names = symbols.select("symbol").distinct().agg(F.array_join(
-        F.sort_array(F.collect_list("symbol"), asc=False), " ").alias("ListOfGenes"))
-    ids = gene_ids.select("gene_id").distinct().agg(F.array_join(
-        F.transform(F.sort_array(F.collect_list("gene_id")), lambda g: g.cast("string")), " ")
-        .alias("ListOfGenesIDs"))
-    once = F.lit(True)
-    return pathways.join(F.broadcast(names), once).join(F.broadcast(ids), once).select(
-        "TopPathways", "ListOfGenes", "ListOfGenesIDs", F.current_timestamp().alias("EndTime"),
+    size = gene_ids.agg(F.count_distinct("gene_id").alias("NumberOfGenes"))
+    return pathways.join(F.broadcast(size), F.lit(True)).select(  # one row each
+        "TopPathways", "NumberOfGenes", F.current_timestamp().alias("EndTime"),
         F.lit("Completed").alias("Status"))
+
+
+def gene_listing(symbols: DataFrame, symbol_map: DataFrame) -> DataFrame:
+    """The list itself, (symbol, gene_id) in descending order; a table, as it may be long."""
+    return symbols_to_ids(symbols, symbol_map).orderBy(F.desc("symbol"))

@@ -35,6 +35,13 @@ def feature_names(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.limit(1).select(F.posexplode(F.split(F.col(line), " ")).alias("pos", "feature"))
 
 
+def header_names(files: DataFrame, text: str = "text", id_col: str = "file_id") -> DataFrame:
+    """First line of every file to (file_id, pos, feature), for a study kept in many files."""
+    header = F.split_part(F.col(text), F.lit("\n"), F.lit(1))
+    return files.select(
+        F.col(id_col).alias("file_id"), F.posexplode(F.split(header, " ")).alias("pos", "feature"))
+
+
 def study_documents(documents: DataFrame, data_type: str) -> DataFrame:
     """Documents of one data type; the filter reaches the scan or its partitions."""
     return documents.where(F.col("DataType") == data_type).select("FeatureName", "FeatureValue")
