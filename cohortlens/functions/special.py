@@ -1,10 +1,12 @@
-"""Special functions as native column expressions (Spark has no lgamma, erf or beta).
-
-Two kinds live here. The normal distribution functions are evaluated once per data value, so they
-are plain arithmetic that stays inside generated code; pass them simple columns. Everything behind
-a p-value runs once per test, so it may use `aggregate` over a short `sequence` for a recurrence.
-Factors of the form x^a / Gamma(a) are written as a deviance plus a Stirling remainder, which keeps
-full relative accuracy when the counts are in the billions.
+"""Special functions as native SQL expressions (Spark has no lgamma, erf or beta).
+
+Arguments are SQL text: a column name or an expression over columns. A formula is put together as
+one text and parsed once, which is much quicker than thousands of calls that build it piece by
+piece. Two kinds live here. The normal distribution functions are evaluated once per data value, so
+they are plain arithmetic that stays inside generated code; pass them simple columns. Everything
+behind a p-value runs once per test, so it may use `aggregate` over a short `sequence` for a
+recurrence. Factors of the form x^a / Gamma(a) are written as a deviance plus a Stirling remainder,
+which keeps full relative accuracy when the counts are in the billions.
 """
 
 from __future__ import annotations
@@ -62,51 +64,67 @@ QUANTILE_FAR_DEN = [
 ]
 
 
-def let(body: Callable[..., Column], *values: Column) -> Column:
-    """Evaluate `values` once per row and hand them to `body`; keeps nested formulas small."""
-    packed = F.struct(*[value.alias(f"v{i}") for i, value in enumerate(values)])
-    result = F.transform(
-        F.array(packed), lambda s: body(*[s[f"v{i}"] for i in range(len(values))])
-    )
-    return result.getItem(0)
 
+def number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def double(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
 
-def horner(coefficients: Sequence[float], x: Column) -> Column:
-    total = F.lit(coefficients[0])
+
+_depth = 0
+
+
+def let(body: Callable[..., str], *values: str) -> str:
+    """Evaluate `values` once per row and hand them to `body`; keeps nested formulas small."""
+    global _depth
+    _depth += 1
+    try:
+        name = f"s{_depth}"
+        fields = ", ".join(f"'v{i}', {value}" for i, value in enumerate(values))
+        inner = body(*[f"{name}.v{i}" for i in range(len(values))])
+    finally:
+        _depth -= 1
+    return f"transform(array(named_struct({fields})), {name} -> {inner})[0]"
+
+
+def horner(coefficients: Sequence[float], x: str) -> str:
+    total = number(coefficients[0])
     for coefficient in coefficients[1:]:
-        total = total * x + F.lit(coefficient)
+        total = f"({total} * {x} + {number(coefficient)})"
     return total
 
 
 # ---------------------------------------------------------------------------------- normal
 
 
-def _normal_tail(magnitude: Column) -> Column:
-    """P(Z < -magnitude) for magnitude >= 0."""
-    density = F.exp(-magnitude * magnitude / 2.0)
-    rational = density * horner(NORMAL_TAIL_NUM, magnitude) / horner(NORMAL_TAIL_DEN, magnitude)
-    fraction = magnitude + 0.65
-    for k in (4.0, 3.0, 2.0, 1.0):
-        fraction = magnitude + F.lit(k) / fraction
-    return F.when(magnitude < 7.07106781186547, rational).otherwise(
-        density / fraction * INV_SQRT_2PI
-    )
+def _normal_tail(size: str) -> str:
+    """P(Z < -size) for size >= 0."""
+    density = f"exp(-{size} * {size} / 2)"
+    rational = f"{density} * {horner(NORMAL_TAIL_NUM, size)} / {horner(NORMAL_TAIL_DEN, size)}"
+    fraction = f"({size} + 0.65D)"
+    for k in (4, 3, 2, 1):
+        fraction = f"({size} + {k} / {fraction})"
+    far = f"{density} / {fraction} * {number(INV_SQRT_2PI)}"
+    return f"(CASE WHEN {size} < 7.07106781186547D THEN {rational} ELSE {far} END)"
 
 
-def normal_cdf(z: Column) -> Column:
-    tail = _normal_tail(F.abs(z))
-    return F.when(z > 0, 1.0 - tail).otherwise(tail)
+def normal_cdf(z: str) -> Column:
+    tail = _normal_tail(f"abs({z})")
+    return F.expr(f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END")
 
 
-def log_normal_cdf(z: Column) -> Column:
+def log_normal_cdf(z: str) -> Column:
     """ln P(Z < z), also far in the lower tail where the probability underflows."""
-    tail = _normal_tail(F.abs(z))
-    far = -z * z / 2.0 - F.log(F.abs(z)) - LOG_SQRT_2PI
-    return F.when(z < -37.0, far).when(z > 0, F.log1p(-tail)).otherwise(F.log(tail))
+    tail = _normal_tail(f"abs({z})")
+    far = f"-({z}) * ({z}) / 2 - ln(abs({z})) - {number(LOG_SQRT_2PI)}"
+    return F.expr(
+        f"CASE WHEN {z} < -37 THEN {far} WHEN {z} > 0 THEN log1p(-{tail}) ELSE ln({tail}) END")
 
 
-def normal_density(z: Column) -> Column:
-    return F.exp(-z * z / 2.0) * INV_SQRT_2PI
+def normal_density(z: str) -> Column:
+    return F.expr(f"exp(-{z} * {z} / 2) * {number(INV_SQRT_2PI)}")
 
 
 def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
@@ -115,68 +133,53 @@ def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
     The shared sub-terms are staged as columns of their own: one short generated method per row
     instead of one too long for the JIT compiler.
     """
-    offset, reach = F.col(f"{name}__offset"), F.col(f"{name}__reach")
-    central = F.abs(offset) <= 0.425
-    staged = df.withColumn(f"{name}__p", p)
-    p = F.col(f"{name}__p")
-    staged = staged.withColumn(f"{name}__offset", p - 0.5)
-    depth = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    staged = staged.withColumn(
-        f"{name}__reach",
-        F.when(central, F.lit(0.180625) - offset * offset).otherwise(depth),
-    )
-    staged = staged.withColumn(
-        f"{name}__step",
-        F.when(central, reach).when(reach <= 5.0, reach - 1.6).otherwise(reach - 5.0),
+    prob, offset, reach, step = (f"{name}__{part}" for part in ("p", "offset", "reach", "step"))
+    central, near = f"abs({offset}) <= 0.425D", f"{reach} <= 5"
+
+    def ratio(numerator: Sequence[float], denominator: Sequence[float]) -> str:
+        return f"{horner(numerator, step)} / {horner(denominator, step)}"
+
+    # later columns refer to earlier ones of the same select (lateral column aliases)
+    staged = df.select(
+        "*", p.alias(prob), F.expr(f"{prob} - 0.5D").alias(offset),
+        F.expr(f"CASE WHEN {central} THEN 0.180625D - {offset} * {offset} "
+               f"ELSE sqrt(-ln(least({prob}, 1 - {prob}))) END").alias(reach),
+        F.expr(f"CASE WHEN {central} THEN {reach} WHEN {near} THEN {reach} - 1.6D "
+               f"ELSE {reach} - 5 END").alias(step),
+        F.expr(
+            f"CASE WHEN {central} "
+            f"THEN {offset} * {ratio(QUANTILE_CENTRE_NUM, QUANTILE_CENTRE_DEN)} "
+            f"WHEN {near} THEN sign({offset}) * {ratio(QUANTILE_MIDDLE_NUM, QUANTILE_MIDDLE_DEN)} "
+            f"ELSE sign({offset}) * {ratio(QUANTILE_FAR_NUM, QUANTILE_FAR_DEN)} END").alias(name),
     )
-    step = F.col(f"{name}__step")
-    ratio = (
-        F.when(central, horner(QUANTILE_CENTRE_NUM, step) / horner(QUANTILE_CENTRE_DEN, step))
-        .when(reach <= 5.0, horner(QUANTILE_MIDDLE_NUM, step) / horner(QUANTILE_MIDDLE_DEN, step))
-        .otherwise(horner(QUANTILE_FAR_NUM, step) / horner(QUANTILE_FAR_DEN, step))
-    )
-    scale = F.when(central, offset).otherwise(F.signum(offset))
-    staged = staged.withColumn(name, ratio * scale)
-    return staged.drop(*[f"{name}__{part}" for part in ("p", "offset", "reach", "step")])
+    return staged.drop(prob, offset, reach, step)
 
 
 # ---------------------------------------------------------------------------------- gamma
 
 
-def stirling_remainder(z: Column) -> Column:
+def _stirling_remainder(z: str) -> str:
     """ln Gamma(z) - ((z - 1/2) ln z - z + ln sqrt(2 pi)) for z > 0."""
 
-    def series(y: Column) -> Column:
-        inverse = 1.0 / y
-        return inverse * horner(STIRLING_SERIES[::-1], inverse * inverse)
-
-    def shifted(v: Column) -> Column:
-        product = v
-        for k in range(1, 8):
-            product = product * (v + float(k))
-        raised = v + 8.0
-        return (
-            series(raised)
-            + (v + 7.5) * F.log(raised)
-            - (v - 0.5) * F.log(v)
-            - 8.0
-            - F.log(product)
-        )
-
-    return let(lambda v: F.when(v >= 8.0, series(v)).otherwise(shifted(v)), z.cast("double"))
+    def series(inverse: str) -> str:
+        return f"{inverse} * " + let(
+            lambda square: horner(STIRLING_SERIES[::-1], square), f"{inverse} * {inverse}")
 
+    def body(v: str) -> str:
+        product = " * ".join(f"({v} + {k})" for k in range(8))
+        raised = let(series, f"1 / ({v} + 8)")
+        shifted = (
+            f"{raised} + ({v} + 7.5D) * ln({v} + 8) - ({v} - 0.5D) * ln({v}) - 8 - ln({product})")
+        return f"CASE WHEN {v} >= 8 THEN {let(series, f'1 / {v}')} ELSE {shifted} END"
 
-def log_gamma(z: Column) -> Column:
-    return let(
-        lambda v: (v - 0.5) * F.log(v) - v + LOG_SQRT_2PI + stirling_remainder(v),
-        z.cast("double"),
-    )
+    return let(body, double(z))
 
 
-def _deviance(observed: Column, expected: Column) -> Column:
-    """observed * ln(observed / expected) + expected - observed, without cancellation."""
-    gap = expected - observed
-    return gap - observed * F.log1p(gap / observed)
+def log_gamma(z: str) -> Column:
+    return F.expr(let(
+        lambda v: f"({v} - 0.5D) * ln({v}) - {v} + {number(LOG_SQRT_2PI)} + "
+                  f"{_stirling_remainder(v)}",
+        double(z)))
 
 
 # ------------------------------------------------------------------- incomplete beta, gamma
@@ -184,143 +187,118 @@ def _deviance(observed: Column, expected: Column) -> Column:
 _TINY = 1e-300
 
 
-def _unit_fraction(numerators: Column) -> Column:
+def _unit_fraction(numerators: str) -> str:
     """1 / (1 + n1/(1 + n2/(1 + ...))) by forward recurrence, denominators scaled to one."""
-    start = F.struct(F.lit(0.0).alias("pa"), F.lit(1.0).alias("pb"), F.lit(1.0).alias("a"))
+    raw = "(1 + n * s.pb)"
+    update = let(
+        lambda b: f"named_struct('pa', s.a / {b}, 'pb', 1 / {b}, 'a', (s.a + n * s.pa) / {b})",
+        f"CASE WHEN abs{raw} < {number(_TINY)} THEN {number(_TINY)} ELSE {raw} END")
+    return (f"aggregate({numerators}, named_struct('pa', 0D, 'pb', 1D, 'a', 1D), "
+            f"(s, n) -> {update}, s -> s.a)")
 
-    def advance(s: Column, n: Column) -> Column:
-        raw = 1.0 + n * s["pb"]
-        b = F.when(F.abs(raw) < _TINY, F.lit(_TINY)).otherwise(raw)
-        return F.struct(
-            (s["a"] / b).alias("pa"), (1.0 / b).alias("pb"),
-            ((s["a"] + n * s["pa"]) / b).alias("a"),
-        )
-
-    return F.aggregate(numerators, start, advance, lambda s: s["a"])
-
-
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    def pair(m: Column) -> Column:
-        odd = -(a + m) * (a + b + m) * x / ((a + 2.0 * m) * (a + 2.0 * m + 1.0))
-        k = m + 1.0
-        even = k * (b - k) * x / ((a + 2.0 * k - 1.0) * (a + 2.0 * k))
-        return F.array(odd, even)
 
+def _beta_fraction(a: str, b: str, x: str) -> str:
+    odd = f"-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 2 * m + 1))"
+    even = (f"(m + 1) * ({b} - m - 1) * {x} / (({a} + 2 * m + 1) * ({a} + 2 * m + 2))")
     # The steps needed grow with the root of the harmonic size; the factors were measured.
-    pairs = (50 + F.ceil(1.5 * F.sqrt(a * b / (a + b)))).cast("int")
-    indexes = F.sequence(F.lit(0), pairs)
-    return _unit_fraction(F.flatten(F.transform(indexes, lambda m: pair(m.cast("double")))))
+    pairs = f"CAST(50 + ceil(1.5D * sqrt({a} * {b} / ({a} + {b}))) AS INT)"
+    return _unit_fraction(f"flatten(transform(sequence(0, {pairs}), m -> array({odd}, {even})))")
 
 
-def _log_beta_kernel(a: Column, b: Column, x: Column, y: Column) -> Column:
+def _log_beta_kernel(a: str, b: str, x: str, y: str) -> str:
     """ln( x^a y^b / B(a, b) ) with y = 1 - x."""
-    gap = b * x - a * y
-    return (
-        a * F.log1p(gap / a) + b * F.log1p(-gap / b)
-        + 0.5 * F.log(a * b / (a + b)) - LOG_SQRT_2PI
-        + stirling_remainder(a + b) - stirling_remainder(a) - stirling_remainder(b)
-    )
+    remainder = " - ".join(_stirling_remainder(z) for z in (f"{a} + {b}", a, b))
+    return let(
+        lambda gap: f"{a} * log1p({gap} / {a}) + {b} * log1p(-{gap} / {b}) + "
+                    f"0.5D * ln({a} * {b} / ({a} + {b})) - {number(LOG_SQRT_2PI)} + {remainder}",
+        f"{b} * {x} - {a} * {y}")
 
 
-def beta_cdf(a: Column, b: Column, x: Column, complement: Column | None = None) -> Column:
-    """Regularised incomplete beta I_x(a, b); `complement` = 1 - x when known more exactly."""
+def _beta_cdf(a: str, b: str, x: str, y: str) -> str:
+    """Regularised incomplete beta I_x(a, b) with y = 1 - x."""
 
-    def body(a: Column, b: Column, x: Column, y: Column) -> Column:
-        kernel = F.exp(_log_beta_kernel(a, b, x, y))
-        direct = kernel * _beta_fraction(a, b, x) / a
-        mirrored = 1.0 - kernel * _beta_fraction(b, a, y) / b
-        return (
-            F.when(x <= 0, F.lit(0.0)).when(y <= 0, F.lit(1.0))
-            .when(x < (a + 1.0) / (a + b + 2.0), direct).otherwise(mirrored)
-        )
+    def body(a: str, b: str, x: str, y: str) -> str:
+        return let(
+            lambda kernel: (
+                f"CASE WHEN {x} <= 0 THEN 0D WHEN {y} <= 0 THEN 1D "
+                f"WHEN {x} < ({a} + 1) / ({a} + {b} + 2) "
+                f"THEN {kernel} * {_beta_fraction(a, b, x)} / {a} "
+                f"ELSE 1 - {kernel} * {_beta_fraction(b, a, y)} / {b} END"),
+            f"exp({_log_beta_kernel(a, b, x, y)})")
 
-    x = x.cast("double")
-    y = 1.0 - x if complement is None else complement.cast("double")
-    return let(body, a.cast("double"), b.cast("double"), x, y)
+    return let(body, *[double(v) for v in (a, b, x, y)])
 
 
-def gamma_sf(a: Column, x: Column) -> Column:
+def beta_cdf(a: str, b: str, x: str, complement: str | None = None) -> Column:
+    """Regularised incomplete beta I_x(a, b); `complement` = 1 - x when known more exactly."""
+    return F.expr(_beta_cdf(a, b, x, f"1 - ({x})" if complement is None else complement))
+
+
+def _gamma_sf(a: str, x: str) -> str:
     """Regularised upper incomplete gamma Q(a, x)."""
 
-    def body(a: Column, x: Column) -> Column:
-        log_term = -stirling_remainder(a) - _deviance(a, x) - 0.5 * F.log(a) - LOG_SQRT_2PI
-        kernel = F.exp(log_term)  # x^a e^-x / Gamma(a + 1)
-        steps = 200 + F.ceil(12.0 * F.sqrt(a))
-        series = F.aggregate(
-            F.sequence(F.lit(1), steps.cast("int")),
-            F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-            lambda s, k: let(
-                lambda term, total: F.struct(term.alias("term"), (total + term).alias("total")),
-                s["term"] * x / (a + k), s["total"],
-            ),
-            lambda s: s["total"],
-        )
-        base = x + 1.0 - a
+    def body(a: str, x: str) -> str:
+        gap = f"({x} - {a})"
+        # x^a e^-x / Gamma(a + 1)
+        kernel = (f"exp({a} * log1p({gap} / {a}) - {gap} - {_stirling_remainder(a)} "
+                  f"- 0.5D * ln({a}) - {number(LOG_SQRT_2PI)})")
+        steps = f"sequence(1, CAST(200 + ceil(12 * sqrt({a})) AS INT))"
+        series = (
+            f"aggregate({steps}, named_struct('term', 1D, 'total', 1D), (s, k) -> "
+            f"named_struct('term', s.term * {x} / ({a} + k), "
+            f"'total', s.total + s.term * {x} / ({a} + k)), s -> s.total)")
+        base = f"({x} + 1 - {a})"
         fraction = _unit_fraction(
-            F.transform(
-                F.sequence(F.lit(1), steps.cast("int")),
-                lambda k: -k * (k - a) / ((base + 2.0 * k - 2.0) * (base + 2.0 * k)),
-            )
-        ) / base
-        return F.when(x <= 0, F.lit(1.0)).when(
-            x < a + 1.0, F.greatest(1.0 - kernel * series, F.lit(0.0))
-        ).otherwise(kernel * a * fraction)
+            f"transform({steps}, k -> -k * (k - {a}) / "
+            f"(({base} + 2 * k - 2) * ({base} + 2 * k)))")
+        return (
+            f"CASE WHEN {x} <= 0 THEN 1D "
+            f"WHEN {x} < {a} + 1 THEN greatest(1 - {kernel} * {series}, 0D) "
+            f"ELSE {kernel} * {a} * {fraction} / {base} END")
 
-    return let(body, a.cast("double"), x.cast("double"))
+    return let(body, double(a), double(x))
 
 
 # ---------------------------------------------------------------------------------- p-values
 
 
-def chi_square_sf(statistic: Column, df: Column) -> Column:
-    return gamma_sf(df / 2.0, statistic / 2.0)
+def chi_square_sf(statistic: str, df: str) -> Column:
+    return F.expr(_gamma_sf(f"({df}) / 2", f"({statistic}) / 2"))
 
 
-def f_sf(statistic: Column, df_between: Column, df_within: Column) -> Column:
-    def body(f: Column, d1: Column, d2: Column) -> Column:
-        whole = d2 + d1 * f
-        return beta_cdf(d2 / 2.0, d1 / 2.0, d2 / whole, d1 * f / whole)
-
-    return let(
-        body, statistic.cast("double"), df_between.cast("double"), df_within.cast("double")
-    )
+def f_sf(statistic: str, df_between: str, df_within: str) -> Column:
+    return F.expr(let(
+        lambda part, d1, d2: _beta_cdf(
+            f"{d2} / 2", f"{d1} / 2", f"{d2} / ({d2} + {part})", f"{part} / ({d2} + {part})"),
+        double(f"({statistic}) * ({df_between})"), double(df_between), double(df_within)))
 
 
-def correlation_p(r: Column, n: Column) -> Column:
+def correlation_p(r: str, n: str) -> Column:
     """Two-sided p of a correlation r over n pairs (Student t with n - 2 degrees of freedom)."""
+    return F.expr(let(
+        lambda r, n: _beta_cdf(f"({n} - 2) / 2", "0.5D", f"(1 - {r}) * (1 + {r})", f"{r} * {r}"),
+        double(r), double(n)))
 
-    def body(r: Column, n: Column) -> Column:
-        return beta_cdf((n - 2.0) / 2.0, F.lit(0.5), (1.0 - r) * (1.0 + r), r * r)
-
-    return let(body, r.cast("double"), n.cast("double"))
 
-
-def fair_binomial_p(k: Column, n: Column) -> Column:
+def fair_binomial_p(k: str, n: str) -> Column:
     """Exact two-sided p for k of n successes at probability 1/2."""
 
-    def body(k: Column, n: Column) -> Column:
-        low = F.least(k, n - k)
-        tail = beta_cdf(n - low, low + 1.0, F.lit(0.5), F.lit(0.5))
-        return F.when(2.0 * low == n, F.lit(1.0)).otherwise(F.least(2.0 * tail, F.lit(1.0)))
+    def body(low: str, n: str) -> str:
+        tail = _beta_cdf(f"{n} - {low}", f"{low} + 1", "0.5D", "0.5D")
+        return f"CASE WHEN 2 * {low} = {n} THEN 1D ELSE least(2 * {tail}, 1D) END"
 
-    return let(body, k.cast("double"), n.cast("double"))
+    return F.expr(let(body, double(f"least({k}, ({n}) - ({k}))"), double(n)))
 
 
-def kolmogorov_p(distance: Column, n: Column) -> Column:
+def kolmogorov_p(distance: str, n: str) -> Column:
     """Asymptotic two-sided p of a Kolmogorov-Smirnov distance over n values."""
 
-    def body(d: Column, root: Column) -> Column:
-        scaled = (root + 0.12 + 0.11 / root) * d
-        return let(tail, scaled)
-
-    def tail(scaled: Column) -> Column:
-        total = F.aggregate(
-            F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
-            lambda acc, j: acc
-            + F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0))
-            * F.exp(-2.0 * j * j * scaled * scaled),
-        )
-        clipped = F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
-        return F.when(scaled < 0.2, F.lit(1.0)).otherwise(clipped)
-
-    return let(body, distance.cast("double"), F.sqrt(n.cast("double")))
+    def tail(scaled: str) -> str:
+        total = (
+            "aggregate(sequence(1, 100), 0D, (total, j) -> total + "
+            f"(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END) * exp(-2D * j * j * {scaled} * {scaled}))")
+        return f"CASE WHEN {scaled} < 0.2D THEN 1D ELSE least(greatest({total}, 0D), 1D) END"
+
+    return F.expr(let(
+        lambda d, root: let(tail, f"({root} + 0.12D + 0.11D / {root}) * {d}"),
+        double(distance), f"sqrt({double(n)})"))

@@ -34,5 +34,6 @@ def anova_by_deviation(summary: DataFrame) -> DataFrame:
     statistic = F.when(
         defined, F.try_divide(F.col("ss_between") * d2, F.col("ss_within") * d1))
     joined = joined.withColumn("f", statistic)
-    p = F.when(F.col("f").isNotNull(), f_sf(F.col("f"), d1, d2))
+    p = F.when(
+        F.col("f").isNotNull(), f_sf("f", "n_features - 1", "n_values - n_features"))
     return joined.select("std_bucket", "n_features", "n_values", "f", p.alias("p"))

@@ -23,7 +23,7 @@ def chi_square_equal(counts: DataFrame) -> DataFrame:
     k, total = F.col("n_classes"), F.col("n").cast("double")
     statistic = F.when(k > 1, F.col("squares") * k / total - total).otherwise(F.lit(0.0))
     sums = sums.withColumn("chi2", F.greatest(statistic, F.lit(0.0)))
-    p = F.when(k > 1, chi_square_sf(F.col("chi2"), F.greatest(k - 1, F.lit(1)))).otherwise(
+    p = F.when(k > 1, chi_square_sf("chi2", "greatest(n_classes - 1, 1)")).otherwise(
         F.lit(0.0))
     return sums.select("feature", "n_classes", "n", "chi2", p.alias("p"))
 
@@ -42,5 +42,5 @@ def two_rarest(counts: DataFrame) -> DataFrame:
 def binomial_test(counts: DataFrame) -> DataFrame:
     """Exact two-sided test that the two rarest classes are equally likely."""
     pairs = two_rarest(counts).where(F.col("high").isNotNull())
-    p = fair_binomial_p(F.col("low"), F.col("low") + F.col("high"))
+    p = fair_binomial_p("low", "low + high")
     return pairs.select("feature", "low", "high", p.alias("p"))

@@ -170,7 +170,7 @@ def _finish(pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn(
         "r", F.when(F.col("degenerate"), F.lit(0.0))
         .when(F.col("feature_x") == F.col("feature_y"), F.lit(1.0)).otherwise(F.col("r")))
-    p = F.when(F.col("degenerate"), F.lit(0.0)).otherwise(correlation_p(F.col("r"), F.col("n")))
+    p = F.when(F.col("degenerate"), F.lit(0.0)).otherwise(correlation_p("r", "n"))
     pairs = pairs.withColumn("p", p)
     sides = F.when(
         F.col("feature_x") == F.col("feature_y"),

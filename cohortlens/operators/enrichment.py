@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.special import let
+from cohortlens.functions.special import double, let, number
 
 # Fixed value: size of the gene universe assumed by default.
 GENE_UNIVERSE = 30922
@@ -44,33 +42,24 @@ def contingency(overlap: DataFrame, universe: Column) -> DataFrame:
     )
 
 
-def _walk(k: Column, end: Column, step: int, ratio: Callable[[Column], Column]) -> Column:
-    """Likelihoods relative to the observed table, from its neighbour to `end`: (all, rare).
+def _walk(k: str, end: str, step: int, ratio: str) -> str:
+    """Likelihoods relative to the observed table, from its neighbour to `end`: (total, rare).
 
-    `ratio(x)` is the likelihood of x over that of the point before it on the walk; `rare` keeps
-    the points no likelier than the observed one.
+    `ratio` is the likelihood of x over that of the point before it on the walk; `rare` keeps the
+    points no likelier than the observed one.
     """
-    points = F.when(
-        (end - k) * step > 0,
-        F.sequence((k + step).cast("bigint"), end.cast("bigint"), F.lit(step).cast("bigint")),
-    ).otherwise(F.array().cast("array<bigint>"))
-    start = F.struct(
-        F.lit(1.0).alias("term"), F.lit(0.0).alias("all"), F.lit(0.0).alias("rare"))
-
-    def advance(s: Column, x: Column) -> Column:
-        return let(
-            lambda term: F.struct(
-                term.alias("term"), (s["all"] + term).alias("all"),
-                (s["rare"] + F.when(term <= 1.0 + TIE_TOLERANCE, term).otherwise(F.lit(0.0)))
-                .alias("rare"),
-            ),
-            s["term"] * ratio(x.cast("double")),
-        )
-
-    return F.aggregate(points, start, advance)
-
-
-def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
+    points = (
+        f"CASE WHEN ({end} - {k}) * {step} > 0 THEN sequence(CAST({k} + {step} AS BIGINT), "
+        f"CAST({end} AS BIGINT), {step}L) ELSE CAST(array() AS ARRAY<BIGINT>) END")
+    update = let(
+        lambda term: f"named_struct('term', {term}, 'total', w.total + {term}, 'rare', w.rare + "
+                     f"CASE WHEN {term} <= {number(1 + TIE_TOLERANCE)} THEN {term} ELSE 0D END)",
+        f"w.term * {ratio}")
+    return (f"aggregate({points}, named_struct('term', 1D, 'total', 0D, 'rare', 0D), "
+            f"(w, x) -> {update})")
+
+
+def fisher_p(a: str, b: str, c: str, d: str) -> Column:
     """Two-sided p: the share of all tables with these margins that are no likelier than this one.
 
     Likelihoods relative to the observed table follow from one neighbour to the next, so no
@@ -78,33 +67,31 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     plus ten deviations on either side; the rest is below the precision of a double.
     """
 
-    def body(k: Column, marked: Column, drawn: Column, total: Column) -> Column:
-        share = marked / total
-        variance = drawn * share * (1.0 - share) * F.coalesce(
-            F.try_divide(total - drawn, total - 1.0), F.lit(0.0))
-        width = F.ceil(10.0 * F.sqrt(F.greatest(variance, F.lit(0.0)))) + 50
-        mode = F.floor((marked + 1.0) * (drawn + 1.0) / (total + 2.0))
-        lowest = F.greatest(F.lit(0.0), marked + drawn - total)
-        highest = F.least(marked, drawn)
-        rest = total - marked - drawn
+    def walks(k: str, marked: str, drawn: str, total: str, mode: str, width: str) -> str:
+        rest = f"({total} - {marked} - {drawn})"
         up = _walk(
-            k, F.least(highest, F.greatest(k, mode) + width), 1,
-            lambda x: (marked - x + 1.0) * (drawn - x + 1.0) / (x * (rest + x)),
-        )
+            k, f"least({marked}, {drawn}, greatest({k}, {mode}) + {width})", 1,
+            f"({marked} - x + 1) * ({drawn} - x + 1) / (x * ({rest} + x))")
         down = _walk(
-            k, F.greatest(lowest, F.least(k, mode) - width), -1,
-            lambda x: (x + 1.0) * (rest + x + 1.0) / ((marked - x) * (drawn - x)),
-        )
+            k, f"greatest(0D, -{rest}, least({k}, {mode}) - {width})", -1,
+            f"(x + 1) * ({rest} + x + 1) / (({marked} - x) * ({drawn} - x))")
+        return let(
+            lambda up, down: f"least(1D, (1 + {up}.rare + {down}.rare) / "
+                             f"(1 + {up}.total + {down}.total))",
+            up, down)
+
+    def body(k: str, marked: str, drawn: str, total: str) -> str:
+        share = f"({marked} / {total})"
+        variance = (f"{drawn} * {share} * (1 - {share}) * "
+                    f"coalesce(try_divide({total} - {drawn}, {total} - 1), 0D)")
         return let(
-            lambda up, down: F.least(
-                F.lit(1.0),
-                (1.0 + up["rare"] + down["rare"]) / (1.0 + up["all"] + down["all"])),
-            up, down,
-        )
+            walks, k, marked, drawn, total,
+            f"CAST(floor(({marked} + 1) * ({drawn} + 1) / ({total} + 2)) AS DOUBLE)",
+            f"CAST(ceil(10 * sqrt(greatest({variance}, 0D))) + 50 AS DOUBLE)")
 
-    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
-    empty = (a + b == 0) | (c + d == 0) | (a + c == 0) | (b + d == 0)
-    return F.when(empty, F.lit(1.0)).otherwise(let(body, a, a + c, a + b, a + b + c + d))
+    empty = " OR ".join(f"{x} + {y} = 0" for x, y in ((a, b), (c, d), (a, c), (b, d)))
+    p = let(body, *[double(x) for x in (a, f"{a} + {c}", f"{a} + {b}", f"{a} + {b} + {c} + {d}")])
+    return F.expr(f"CASE WHEN {empty} THEN 1D ELSE {p} END")
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -120,8 +107,9 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def fisher_tests(tables: DataFrame) -> DataFrame:
     """Contingency tables to (pathway, a, b, c, d, odds_ratio, p)."""
-    cells = [F.col(name) for name in ("a", "b", "c", "d")]
-    return tables.withColumn("odds_ratio", odds_ratio(*cells)).withColumn("p", fisher_p(*cells))
+    cells = ("a", "b", "c", "d")
+    odds = odds_ratio(*[F.col(name) for name in cells])
+    return tables.withColumn("odds_ratio", odds).withColumn("p", fisher_p(*cells))
 
 
 def top_pathways(tests: DataFrame, k: int = 5) -> DataFrame:

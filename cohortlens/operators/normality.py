@@ -79,8 +79,8 @@ def _interior_moments(df: DataFrame, lo: Column, hi: Column, n: Column) -> DataF
     df = df.withColumn("pa", _score_probability(lo - 0.5, n)).withColumn(
         "pb", _score_probability(hi + 0.5, n))
     df = with_normal_quantile(with_normal_quantile(df, F.col("pa"), "za"), F.col("pb"), "zb")
-    df = df.withColumn("fa", normal_density(F.col("za"))).withColumn(
-        "fb", normal_density(F.col("zb")))
+    df = df.withColumn("fa", normal_density("za")).withColumn(
+        "fb", normal_density("zb"))
     scale = n + 0.25
     za, zb, fa, fb = (F.col(c) for c in ("za", "zb", "fa", "fb"))
 
@@ -163,9 +163,8 @@ def _with_anderson_term(runs: DataFrame) -> DataFrame:
     n, below, run = (F.col(c).cast("double") for c in ("n", "below", "run"))
     deviation = F.sqrt(F.col("var_pop") * n / (n - 1.0))
     runs = runs.withColumn("z", (F.col("value") - F.col("mean")) / deviation)
-    z = F.col("z")
-    runs = runs.withColumn("log_low", log_normal_cdf(z)).withColumn(
-        "log_high", log_normal_cdf(-z))
+    runs = runs.withColumn("log_low", log_normal_cdf("z")).withColumn(
+        "log_high", log_normal_cdf("(-z)"))
     # sums of 2i - 1 and 2(n - i) + 1 over the ranks of the run, as differences of squares
     rising = run * (2.0 * below + run)
     falling = run * (2.0 * (n - below) - run)
@@ -213,9 +212,9 @@ def _assemble(joined: DataFrame) -> DataFrame:
         joined, _score_probability(F.greatest(n - 1, F.lit(1)), n), "next")
     top, nxt, squares = F.col("top"), F.col("next"), F.col("score_squares")
     root = F.when(squares > 0, F.sqrt(squares))
-    u = 1.0 / F.sqrt(n)
-    joined = joined.withColumn("w_top", horner(LARGEST_WEIGHT, u) + top / root).withColumn(
-        "w_next", horner(SECOND_WEIGHT, u) + nxt / root)
+    joined = joined.withColumn("u", 1.0 / F.sqrt(n)).withColumn(
+        "w_top", F.expr(horner(LARGEST_WEIGHT, "u")) + top / root
+    ).withColumn("w_next", F.expr(horner(SECOND_WEIGHT, "u")) + nxt / root)
     w_top, w_next = F.col("w_top"), F.col("w_next")
     wide = n > 5
     phi = F.when(
@@ -265,7 +264,7 @@ def ks_uniform(values: DataFrame, alpha: float = 0.05, totals: DataFrame | None
     gap = F.greatest(
         (F.col("below") + F.col("run")) / n - expected, expected - F.col("below") / n)
     found = runs.groupBy("feature").agg(F.max(gap).alias("ks_d"), F.max("n").alias("n"))
-    p = kolmogorov_p(F.col("ks_d"), n)
+    p = kolmogorov_p("ks_d", "n")
     return found.select("feature", "n", "ks_d", p.alias("ks_p")).withColumn(
         "distribution",
         F.when(F.col("ks_p") >= alpha, F.lit("uniform")).otherwise(F.lit("unknown")),
