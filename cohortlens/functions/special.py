@@ -115,16 +115,45 @@ def normal_cdf(z: str) -> Column:
     return F.expr(f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END")
 
 
-def log_normal_cdf(z: str) -> Column:
-    """ln P(Z < z), also far in the lower tail where the probability underflows."""
-    tail = _normal_tail(f"abs({z})")
-    far = f"-({z}) * ({z}) / 2 - ln(abs({z})) - {number(LOG_SQRT_2PI)}"
-    return F.expr(
-        f"CASE WHEN {z} < -37 THEN {far} WHEN {z} > 0 THEN log1p(-{tail}) ELSE ln({tail}) END")
+def with_log_normal_cdf(df: DataFrame, z: Column, low: str, high: str) -> DataFrame:
+    """Add `low` = ln P(Z < z) and `high` = ln P(Z > z), accurate far in both tails.
+
+    Staged like the quantile below; both sides share one evaluation of the tail.
+    """
+    at, size, tail, rare, rest = (f"{low}__{part}" for part in ("z", "size", "tail", "rare", "rest"))
+    far = f"-{size} * {size} / 2 - ln({size}) - {number(LOG_SQRT_2PI)}"
+    staged = df.select(
+        "*", z.alias(at), F.expr(f"abs({at})").alias(size),
+        F.expr(_normal_tail(size)).alias(tail),
+        F.expr(f"CASE WHEN {size} > 37 THEN {far} ELSE ln({tail}) END").alias(rare),
+        F.expr(f"log1p(-{tail})").alias(rest),
+        F.expr(f"CASE WHEN {at} > 0 THEN {rest} ELSE {rare} END").alias(low),
+        F.expr(f"CASE WHEN {at} > 0 THEN {rare} ELSE {rest} END").alias(high),
+    )
+    return staged.drop(at, size, tail, rare, rest)
+
 
+def _quantile_ratio(numerator: Sequence[float], denominator: Sequence[float], step: str) -> str:
+    return f"{horner(numerator, step)} / {horner(denominator, step)}"
 
-def normal_density(z: str) -> Column:
-    return F.expr(f"exp(-{z} * {z} / 2) * {number(INV_SQRT_2PI)}")
+
+def normal_quantile(p: str) -> str:
+    """Normal quantile as text, for the few rows of a rare case; see `with_normal_quantile`."""
+
+    def outer(p: str, offset: str) -> str:
+        def tails(depth: str) -> str:
+            middle = let(lambda r: _quantile_ratio(QUANTILE_MIDDLE_NUM, QUANTILE_MIDDLE_DEN, r),
+                         f"{depth} - 1.6D")
+            far = let(lambda r: _quantile_ratio(QUANTILE_FAR_NUM, QUANTILE_FAR_DEN, r),
+                      f"{depth} - 5")
+            return f"sign({offset}) * (CASE WHEN {depth} <= 5 THEN {middle} ELSE {far} END)"
+
+        centre = let(lambda r: _quantile_ratio(QUANTILE_CENTRE_NUM, QUANTILE_CENTRE_DEN, r),
+                     f"0.180625D - {offset} * {offset}")
+        tail = let(tails, f"sqrt(-ln(least({p}, 1 - {p})))")
+        return f"CASE WHEN abs({offset}) <= 0.425D THEN {offset} * {centre} ELSE {tail} END"
+
+    return let(lambda p: let(outer, p, f"{p} - 0.5D"), p)
 
 
 def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
@@ -136,9 +165,6 @@ def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
     prob, offset, reach, step = (f"{name}__{part}" for part in ("p", "offset", "reach", "step"))
     central, near = f"abs({offset}) <= 0.425D", f"{reach} <= 5"
 
-    def ratio(numerator: Sequence[float], denominator: Sequence[float]) -> str:
-        return f"{horner(numerator, step)} / {horner(denominator, step)}"
-
     # later columns refer to earlier ones of the same select (lateral column aliases)
     staged = df.select(
         "*", p.alias(prob), F.expr(f"{prob} - 0.5D").alias(offset),
@@ -148,9 +174,9 @@ def with_normal_quantile(df: DataFrame, p: Column, name: str) -> DataFrame:
                f"ELSE {reach} - 5 END").alias(step),
         F.expr(
             f"CASE WHEN {central} "
-            f"THEN {offset} * {ratio(QUANTILE_CENTRE_NUM, QUANTILE_CENTRE_DEN)} "
-            f"WHEN {near} THEN sign({offset}) * {ratio(QUANTILE_MIDDLE_NUM, QUANTILE_MIDDLE_DEN)} "
-            f"ELSE sign({offset}) * {ratio(QUANTILE_FAR_NUM, QUANTILE_FAR_DEN)} END").alias(name),
+            f"THEN {offset} * {_quantile_ratio(QUANTILE_CENTRE_NUM, QUANTILE_CENTRE_DEN, step)} "
+            f"WHEN {near} THEN sign({offset}) * {_quantile_ratio(QUANTILE_MIDDLE_NUM, QUANTILE_MIDDLE_DEN, step)} "
+            f"ELSE sign({offset}) * {_quantile_ratio(QUANTILE_FAR_NUM, QUANTILE_FAR_DEN, step)} END").alias(name),
     )
     return staged.drop(prob, offset, reach, step)
 

@@ -107,7 +107,7 @@ def pair_moments(values: DataFrame, index: DataFrame, block: int = BLOCK_FEATURE
         F.pmod(F.xxhash64("sample_id"), F.lit(chunks)).alias("chunk"), "sample_id", "idx",
         (F.col("value") - F.col("mean")).alias("value"),
     )
-    own = F.floor(F.col("idx") / block).cast("int")
+    own = F.expr(f"CAST(idx div {block} AS INT)")
     # a block meets every block once: as the left side of later ones, as the right of earlier ones
     partners = F.transform(
         F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))),

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.special import (
-    horner, kolmogorov_p, log_normal_cdf, normal_density, with_normal_quantile,
+    INV_SQRT_2PI, double, horner, kolmogorov_p, let, normal_quantile, number, with_log_normal_cdf,
+    with_normal_quantile,
 )
 from cohortlens.operators.ranking import TASK_ROWS, ranked_runs
 from cohortlens.session import cut, lookup_side
@@ -71,47 +72,41 @@ def _score_probability(rank: Column, n: Column) -> Column:
     return (rank - 0.375) / (n + 0.25)
 
 
-def _interior_moments(df: DataFrame, lo: Column, hi: Column, n: Column) -> DataFrame:
-    """Add `score_sum`, `square_sum`: sums of scores and squared scores over ranks lo..hi.
+def _interior_moments(lo: str, hi: str, n: str) -> Column:
+    """struct(scores, squares): sums of scores and squared scores over the ranks lo..hi.
 
-    Euler-Maclaurin with half-integer ends; both ends must be EDGE ranks away from 1 and n.
+    Euler-Maclaurin with half-integer ends; both ends must be EDGE ranks away from 1 and n. Only
+    long runs need it, so it is lazy: rows that skip it pay nothing.
     """
-    df = df.withColumn("pa", _score_probability(lo - 0.5, n)).withColumn(
-        "pb", _score_probability(hi + 0.5, n))
-    df = with_normal_quantile(with_normal_quantile(df, F.col("pa"), "za"), F.col("pb"), "zb")
-    df = df.withColumn("fa", normal_density("za")).withColumn(
-        "fb", normal_density("zb"))
-    scale = n + 0.25
-    za, zb, fa, fb = (F.col(c) for c in ("za", "zb", "fa", "fb"))
-
-    def first(z: Column, f: Column) -> Column:
-        return 1.0 / (scale * f)
-
-    def third(z: Column, f: Column) -> Column:
-        return (1.0 + 2.0 * z * z) / F.pow(scale * f, F.lit(3.0))
-
-    scores = (
-        scale * (fa - fb) - (first(zb, fb) - first(za, fa)) / 24.0
-        + 7.0 * (third(zb, fb) - third(za, fa)) / 5760.0
-    )
 
-    def square_first(z: Column, f: Column) -> Column:
-        return 2.0 * z / (scale * f)
+    def sums(scale: str, pa: str, pb: str) -> str:
+        return let(
+            ends, scale, pa, pb, normal_quantile(pa), normal_quantile(pb))
 
-    def square_third(z: Column, f: Column) -> Column:
-        return (8.0 * z + 4.0 * z * z * z) / F.pow(scale * f, F.lit(3.0))
+    def ends(scale: str, pa: str, pb: str, za: str, zb: str) -> str:
+        def slope(z: str) -> str:
+            return f"{scale} * exp(-{z} * {z} / 2) * {number(INV_SQRT_2PI)}"
 
-    squares = (
-        scale * ((F.col("pb") - zb * fb) - (F.col("pa") - za * fa))
-        - (square_first(zb, fb) - square_first(za, fa)) / 24.0
-        + 7.0 * (square_third(zb, fb) - square_third(za, fa)) / 5760.0
-    )
-    empty = lo > hi
-    return (
-        df.withColumn("score_sum", F.when(empty, F.lit(0.0)).otherwise(scores))
-        .withColumn("square_sum", F.when(empty, F.lit(0.0)).otherwise(squares))
-        .drop("pa", "pb", "za", "zb", "fa", "fb")
-    )
+        return let(totals, scale, pa, pb, za, zb, slope(za), slope(zb))
+
+    def totals(scale, pa, pb, za, zb, fa, fb) -> str:
+        # f is scale * density; derivatives by rank of the score are 1/f and (1 + 2 z^2)/f^3,
+        # those of its square 2z/f and (8z + 4z^3)/f^3
+        scores = (
+            f"{fa} - {fb} - (1 / {fb} - 1 / {fa}) / 24 + 7 * ((1 + 2 * {zb} * {zb}) / "
+            f"pow({fb}, 3) - (1 + 2 * {za} * {za}) / pow({fa}, 3)) / 5760")
+        squares = (
+            f"{scale} * ({pb} - {pa}) - ({zb} * {fb} - {za} * {fa}) "
+            f"- (2 * {zb} / {fb} - 2 * {za} / {fa}) / 24 "
+            f"+ 7 * ((8 * {zb} + 4 * pow({zb}, 3)) / pow({fb}, 3) "
+            f"- (8 * {za} + 4 * pow({za}, 3)) / pow({fa}, 3)) / 5760")
+        return f"named_struct('scores', {scores}, 'squares', {squares})"
+
+    text = let(
+        lambda lo, hi, scale: let(
+            sums, scale, f"({lo} - 0.875D) / {scale}", f"({hi} + 0.125D) / {scale}"),
+        double(lo), double(hi), f"{double(n)} + 0.25D")
+    return F.expr(f"CASE WHEN {lo} <= {hi} THEN {text} END")
 
 
 def _ranks_one_by_one(lo: Column, hi: Column, n: Column, long_run: int) -> Column:
@@ -132,13 +127,9 @@ def _score_squares(totals: DataFrame, long_run: int) -> DataFrame:
         _ranks_one_by_one(F.lit(1).cast("bigint"), n, n, long_run)).alias("rank"))
     singles = with_normal_quantile(by_rank, _score_probability(F.col("rank"), n), "score")
     singles = singles.groupBy("n").agg(F.sum(F.col("score") * F.col("score")).alias("ends"))
-    interior = _interior_moments(
-        sizes.where(n > long_run), F.lit(EDGE + 1), n - EDGE, n
-    ).select("n", "square_sum")
-    both = singles.join(interior, "n", "left").select(
-        "n", (F.col("ends") + F.coalesce("square_sum", F.lit(0.0))).alias("score_squares")
-    )
-    return both
+    interior = F.when(n > long_run, _interior_moments(str(EDGE + 1), f"n - {EDGE}", "n"))
+    return singles.select("n", (
+        F.col("ends") + F.coalesce(interior["squares"], F.lit(0.0))).alias("score_squares"))
 
 
 def shapiro_w(values: DataFrame, totals: DataFrame | None = None, task_rows: int = TASK_ROWS,
@@ -162,14 +153,13 @@ def anderson_a2(values: DataFrame, totals: DataFrame | None = None, task_rows: i
 def _with_anderson_term(runs: DataFrame) -> DataFrame:
     n, below, run = (F.col(c).cast("double") for c in ("n", "below", "run"))
     deviation = F.sqrt(F.col("var_pop") * n / (n - 1.0))
-    runs = runs.withColumn("z", (F.col("value") - F.col("mean")) / deviation)
-    runs = runs.withColumn("log_low", log_normal_cdf("z")).withColumn(
-        "log_high", log_normal_cdf("(-z)"))
+    z = (F.col("value") - F.col("mean")) / deviation
+    runs = with_log_normal_cdf(runs, z, "log_low", "log_high")
     # sums of 2i - 1 and 2(n - i) + 1 over the ranks of the run, as differences of squares
     rising = run * (2.0 * below + run)
     falling = run * (2.0 * (n - below) - run)
     term = rising * F.col("log_low") + falling * F.col("log_high")
-    return runs.withColumn("anderson_term", term).drop("z", "log_low", "log_high")
+    return runs.withColumn("anderson_term", term).drop("log_low", "log_high")
 
 
 def _statistics(values: DataFrame, totals: DataFrame, task_rows: int, long_run: int) -> DataFrame:
@@ -179,14 +169,11 @@ def _statistics(values: DataFrame, totals: DataFrame, task_rows: int, long_run:
     runs = _runs_with_totals(values, totals, task_rows).where(F.col("var_pop") > 0)
     runs = _with_anderson_term(runs)
     lo, hi = below + 1, below + run
-    is_long = run > long_run
-    runs = _interior_moments(
-        runs, F.when(is_long, F.greatest(lo, F.lit(EDGE + 1))),
-        F.when(is_long, F.least(hi, n - EDGE)), n,
-    )
+    interior = F.when(run > long_run, _interior_moments(
+        f"greatest(below + 1, {EDGE + 1})", f"least(below + run, n - {EDGE})", "n"))
     pieces = runs.select(
         "feature", "n", (F.col("value") - F.col("mean")).alias("x"), "anderson_term",
-        F.coalesce("score_sum", F.lit(0.0)).alias("score_sum"),
+        F.coalesce(interior["scores"], F.lit(0.0)).alias("score_sum"),
         F.posexplode_outer(_ranks_one_by_one(lo, hi, n, long_run)).alias("nth", "rank"),
     )
     x, rank = F.col("x"), F.col("rank")

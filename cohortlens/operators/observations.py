@@ -20,7 +20,7 @@ FAMILIES = ("Binary", "Numerical", "Categorical", "Other")
 # can then be classified from one bigint minimum, which stays a hash aggregate (a minimum over
 # strings or structs would sort all rows first).
 _NUMBER, _ZERO_ONE, _UNKNOWN, _BOOLEAN = 1, 2, 4, 8
-_FLAG_SPAN = 16
+_FLAG_SPAN = 16  # four bits
 
 
 def drop_missing(obs: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def feature_families(obs: DataFrame) -> DataFrame:
                                 .alias("second_unknown"))
     )
     first, known, not_01 = F.col("first_value"), F.col("first_known"), F.col("first_not_01")
-    known_position = F.floor(known / _FLAG_SPAN)
+    known_position = F.shiftright(known, 4)
     # The deciding value is the first one, or the second when the first is unknown.
     blocked = (
         _has(first, _UNKNOWN) & F.col("second_unknown").isNotNull()
@@ -171,7 +171,7 @@ def feature_vectors(values: DataFrame, chunk: int = 4096) -> DataFrame:
 
     Pieces keep every group bounded; a short feature is one piece.
     """
-    piece = F.floor(F.col("sample_id") / chunk).cast("bigint")
+    piece = F.expr(f"sample_id div {int(chunk)}")
     cell = F.struct("sample_id", "value")
     return (
         values.groupBy("feature", piece.alias("piece"))
