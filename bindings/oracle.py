@@ -536,7 +536,9 @@ likelihoods AS (SELECT *, {pmf} AS lp FROM points),
 observed AS (SELECT pathway, lp AS lk FROM likelihoods WHERE x = k),
 tests AS (
   SELECT pathway, k AS a, s - k AS b, m - k AS c, u - (m + s - k) AS d,
-    CASE WHEN (s - k)*(m - k) > 0 THEN k*(u - (m + s - k))/((s - k)*(m - k)) END AS odds_ratio,
+    CASE WHEN s = 0 OR s = u OR m = 0 OR m = u THEN 'nan'::DOUBLE
+      WHEN (s - k)*(m - k) > 0 THEN k*(u - (m + s - k))/((s - k)*(m - k))
+      WHEN k*(u - (m + s - k)) > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS odds_ratio,
     least(1.0, sum(exp(lp))) AS p
   FROM likelihoods JOIN observed USING (pathway) WHERE lp <= lk + 1e-7
   GROUP BY pathway, k, s, m, u)"""
