@@ -38,7 +38,7 @@ def feature_index(values: DataFrame) -> DataFrame:
     return cut(numbered.select("feature", F.col("idx").cast("bigint").alias("idx"), "n", "mean"))
 
 
-def _block_moments(block: int):
+def _block_moments(block: int, packed: bool):
     """Task: moments of all feature pairs of two blocks within one chunk of samples."""
 
     def moments(key, pdf):
@@ -47,8 +47,12 @@ def _block_moments(block: int):
 
         left, right = int(key[0]), int(key[1])
         samples, row = np.unique(pdf["sample_id"].to_numpy(), return_inverse=True)
-        idx = pdf["idx"].to_numpy()
-        value = pdf["value"].to_numpy()
+        idx, value = pdf["idx"], pdf["value"]
+        if packed:  # one row per sample and block, cells as arrays
+            row = np.repeat(row, idx.str.len())
+            idx, value = np.concatenate(idx.to_list()), np.concatenate(value.to_list())
+        else:
+            idx, value = idx.to_numpy(), value.to_numpy()
 
         def dense(which):
             inside = idx // block == which
@@ -108,6 +112,13 @@ def pair_moments(values: DataFrame, index: DataFrame, block: int = BLOCK_FEATURE
         (F.col("value") - F.col("mean")).alias("value"),
     )
     own = F.expr(f"CAST(idx div {block} AS INT)")
+    if blocks > 1:
+        # cells are about to be copied to every block pair: pack them, a block of a sample per row
+        cells = cells.groupBy("chunk", "sample_id", own.alias("own")).agg(
+            F.collect_list(F.struct("idx", "value")).alias("cells")
+        ).select("chunk", "sample_id", "own", F.col("cells.idx").alias("idx"),
+                 F.col("cells.value").alias("value"))
+        own = F.col("own")
     # a block meets every block once: as the left side of later ones, as the right of earlier ones
     partners = F.transform(
         F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))),
@@ -119,7 +130,7 @@ def pair_moments(values: DataFrame, index: DataFrame, block: int = BLOCK_FEATURE
         "sample_id", "idx", "value",
     )
     partial = placed.groupBy("left", "right", "chunk").applyInPandas(
-        _block_moments(block), _SCHEMA)
+        _block_moments(block, blocks > 1), _SCHEMA)
     return partial.groupBy("i", "j").agg(
         *[F.sum(name).alias(name) for name in _MOMENTS],
         F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
@@ -253,12 +264,13 @@ def _rank_touched(values: DataFrame, touched: DataFrame, task_rows: int) -> Data
 
 def heatmap_cells(matrix: DataFrame) -> DataFrame:
     """(row, col, feature_x, feature_y, cell): positions in name order, values under 0.001 as 0."""
-    # one row per feature
+    matrix = cut(matrix)  # read twice below
     labels = matrix.select("feature_x").distinct()
+    # the numbering window runs over one row per feature
     order = labels.select(
         F.col("feature_x").alias("label"),
         (F.row_number().over(Window.orderBy("feature_x")) - 1).cast("bigint").alias("pos"))
-    order = lookup_side(cut(order))
+    order = lookup_side(order)
     rows = order.select(F.col("label").alias("feature_x"), F.col("pos").alias("row"))
     cols = order.select(F.col("label").alias("feature_y"), F.col("pos").alias("col"))
     cell = F.when(F.col("r") < 0.001, F.lit(0.0)).otherwise(F.col("r"))
