@@ -404,7 +404,10 @@ SELECT feature, n, {r6('ks_d')} AS ks_d, {r6('ks_p')} AS ks_p,
 
 
 def pairs(source: str) -> str:
-    return f"""aligned AS (
+    return f"""feature_names AS (SELECT DISTINCT feature FROM {source}),
+all_pairs AS (
+  SELECT a.feature AS feature_x, b.feature AS feature_y FROM feature_names a, feature_names b),
+aligned AS (
   SELECT a.feature AS feature_x, b.feature AS feature_y, a.x AS x, b.x AS y
   FROM {source} a JOIN {source} b ON a.sample_id = b.sample_id)"""
 
@@ -417,9 +420,10 @@ grouped AS (
     covar_pop({x}, {y}) AS sxy, stddev_pop({x}) AS sx, stddev_pop({y}) AS sy
   FROM {rows} GROUP BY 1, 2),
 coefficients AS (
-  SELECT feature_x, feature_y, n, degenerate, CASE WHEN degenerate THEN 0.0
+  SELECT feature_x, feature_y, coalesce(n, 0) AS n, coalesce(degenerate, true) AS degenerate,
+    CASE WHEN coalesce(degenerate, true) THEN 0.0
     WHEN feature_x = feature_y THEN 1.0 ELSE greatest(-1.0, least(1.0, sxy/(sx*sy))) END AS r
-  FROM grouped),
+  FROM all_pairs LEFT JOIN grouped USING (feature_x, feature_y)),
 matrix AS (
   SELECT *, CASE WHEN degenerate THEN 0.0 ELSE {correlation_p('r', 'n')} END AS p
   FROM coefficients)"""
@@ -429,8 +433,9 @@ MATRIX_COLUMNS = f"feature_x, feature_y, n, {r6('r')} AS r, {r6('p')} AS p, dege
 
 ORACLE["pairwise_align"] = f"""
 WITH {GAPPY}, {pairs('gappy')}
-SELECT feature_x, feature_y, count(*) AS n, {r6('avg(x)')} AS mean_x, {r6('avg(y)')} AS mean_y
-FROM aligned WHERE feature_x <= feature_y GROUP BY 1, 2"""
+SELECT feature_x, feature_y, count(x) AS n, {r6('avg(x)')} AS mean_x, {r6('avg(y)')} AS mean_y
+FROM all_pairs LEFT JOIN aligned USING (feature_x, feature_y)
+WHERE feature_x <= feature_y GROUP BY 1, 2"""
 
 ORACLE["pearson_matrix"] = f"""
 WITH {BOTH_STUDIES}, {pairs('both_studies')}, {matrix('', 'x', 'y', 'aligned')}

@@ -38,7 +38,7 @@ def feature_index(values: DataFrame) -> DataFrame:
     return cut(numbered.select("feature", F.col("idx").cast("bigint").alias("idx"), "n", "mean"))
 
 
-def _block_moments(block: int, packed: bool):
+def _block_moments(block: int, features: int, packed: bool):
     """Task: moments of all feature pairs of two blocks within one chunk of samples."""
 
     def moments(key, pdf):
@@ -86,7 +86,7 @@ def _block_moments(block: int, packed: bool):
         min_y, max_y = (m.T for m in extremes(y, has_x))
         i = np.arange(block)[:, None] + left * block
         j = np.arange(block)[None, :] + right * block
-        keep = (n > 0) & (i <= j)
+        keep = (i <= j) & (j < features)  # also pairs without a common sample
         i, j = np.broadcast_arrays(i, j)
         columns = {
             "i": i, "j": j, "n": n.astype(np.int64), "sx": x0.T @ my, "sy": mx.T @ y0,
@@ -130,7 +130,7 @@ def pair_moments(values: DataFrame, index: DataFrame, block: int = BLOCK_FEATURE
         "sample_id", "idx", "value",
     )
     partial = placed.groupBy("left", "right", "chunk").applyInPandas(
-        _block_moments(block, blocks > 1), _SCHEMA)
+        _block_moments(block, size[0], blocks > 1), _SCHEMA)
     return partial.groupBy("i", "j").agg(
         *[F.sum(name).alias(name) for name in _MOMENTS],
         F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
@@ -149,18 +149,21 @@ def _named(pairs: DataFrame, index: DataFrame) -> DataFrame:
 
 def aligned_pairs(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int = CHUNK_SAMPLES
                   ) -> DataFrame:
-    """What pairwise deletion leaves of every pair: common samples and the means over them."""
+    """What pairwise deletion leaves of every pair: common samples and the means over them.
+
+    A pair without common samples has n = 0 and null means.
+    """
     index = feature_index(values)
     pairs = _named(pair_moments(values, index, block, chunk), index)
     return pairs.select(
         "feature_x", "feature_y", "n",
-        (F.col("centre_x") + F.col("sx") / F.col("n")).alias("mean_x"),
-        (F.col("centre_y") + F.col("sy") / F.col("n")).alias("mean_y"),
+        (F.col("centre_x") + F.try_divide("sx", "n")).alias("mean_x"),
+        (F.col("centre_y") + F.try_divide("sy", "n")).alias("mean_y"),
     )
 
 
 def _coefficient() -> Column:
-    n = F.col("n")
+    n = F.when(F.col("n") > 0, F.col("n"))
     shared = F.col("sxy") - F.col("sx") * F.col("sy") / n
     spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
     spread_y = F.col("syy") - F.col("sy") * F.col("sy") / n

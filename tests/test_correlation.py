@@ -29,6 +29,9 @@ def study():
     few2 = np.full(240, np.nan)
     few2[:50] = rng.normal(0, 1, 50)
     data["few2"] = few2
+    apart = np.full(240, np.nan)  # no sample in common with `few2`
+    apart[100:] = rng.normal(0, 1, 140)
+    data["apart"] = apart
     return data
 
 
@@ -38,8 +41,6 @@ def expected(study, kind):
         for g, y in study.items():
             both = ~np.isnan(x) & ~np.isnan(y)
             u, v = x[both], y[both]
-            if both.sum() == 0:
-                continue
             if len(u) <= 2 or len(set(u)) < 2 or len(set(v)) < 2:
                 out[f, g] = (len(u), 0.0, True)
                 continue

@@ -2,7 +2,6 @@ import math
 from fractions import Fraction
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlens.operators import correction as C
 from cohortlens.operators import enrichment as E

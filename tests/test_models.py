@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlens.operators import elimination as EL
 from cohortlens.operators import linear_models as L
