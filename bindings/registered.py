@@ -22,6 +22,7 @@ from cohortlens.operators import splits as S
 from cohortlens.plans import cross_validation as CV
 from cohortlens.plans import enrichment as PE
 from cohortlens.plans import general_testing as GT
+from cohortlens.session import cut
 from cohortlens.sources import readers, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,7 +165,7 @@ def family_infer(spark, d):
 @query
 def family_route(spark, d):
     study = X.mixed_study(spark, d)
-    families = O.feature_families(study)
+    families = cut(O.feature_families(study))
     parts = [
         O.of_family(study, families, name).groupBy("feature").agg(
             F.lit(name).alias("family"), F.count(F.lit(1)).alias("n"))
@@ -176,7 +177,7 @@ def family_route(spark, d):
 @query
 def typed_values(spark, d):
     study = X.mixed_study(spark, d)
-    typed = O.typed_values(study, O.feature_families(study))
+    typed = O.typed_values(study, cut(O.feature_families(study)))
     return typed.groupBy("feature", "family").agg(
         F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"),
         F.count_if("unparsed").alias("n_unparsed"), r6(F.avg("value")).alias("mean"),
@@ -240,7 +241,7 @@ def feature_stats(spark, d):
 @query
 def family_counts(spark, d):
     study = X.mixed_study(spark, d)
-    families = O.feature_families(study)
+    families = cut(O.feature_families(study))
     verdicts = N.normality(O.numeric_values(O.drop_missing(study), families))
     return O.family_counts(families, verdicts)
 

@@ -267,7 +267,7 @@ def _rank_touched(values: DataFrame, touched: DataFrame, task_rows: int) -> Data
 
 def heatmap_cells(matrix: DataFrame) -> DataFrame:
     """(row, col, feature_x, feature_y, cell): positions in name order, values under 0.001 as 0."""
-    matrix = cut(matrix)  # read twice below
+    matrix = cut(matrix.select("feature_x", "feature_y", "r"))  # read twice below
     labels = matrix.select("feature_x").distinct()
     # the numbering window runs over one row per feature
     order = labels.select(

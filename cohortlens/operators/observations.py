@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.tokens import (
     is_boolean_token, is_missing, is_unknown, to_number,
 )
+from cohortlens.session import lookup_side
 
 FAMILIES = ("Binary", "Numerical", "Categorical", "Other")
 
@@ -106,17 +107,23 @@ def feature_families(obs: DataFrame) -> DataFrame:
 
 
 def of_family(obs: DataFrame, families: DataFrame, family: str) -> DataFrame:
-    """Observations of the features that belong to `family`."""
+    """Observations of the features that belong to `family`.
+
+    `families` is looked at twice (size check and join), so it should be a table or `cut`. While it
+    is small the observations are filtered in place, without a shuffle by feature.
+    """
     wanted = families.where(F.col("family") == family).select("feature")
-    return obs.join(wanted, "feature", "left_semi")
+    return obs.join(lookup_side(wanted), "feature", "left_semi")
 
 
 def typed_values(obs: DataFrame, families: DataFrame) -> DataFrame:
     """Non-missing values with `value` parsed where the feature is numerical.
 
-    A later non-number in a numerical feature becomes null and is counted as unparsed.
+    A later non-number in a numerical feature becomes null and is flagged as unparsed. `families`
+    should be a table or `cut`, as in `of_family`.
     """
-    labelled = drop_missing(obs).join(families.select("feature", "family"), "feature")
+    labelled = drop_missing(obs).join(
+        lookup_side(families.select("feature", "family")), "feature")
     number = F.when(F.col("family") == "Numerical", to_number(F.col("raw")))
     return labelled.select(
         "feature", "sample_id", "family", "raw", number.alias("value"),

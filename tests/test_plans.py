@@ -59,6 +59,11 @@ def test_summaries_are_hash_aggregates(spark):
     assert "SortAggregate" not in plan(queries()["family_infer"](spark, SF))
 
 
+def test_small_family_table_is_broadcast(spark):
+    text = plan(queries()["typed_values"](spark, SF))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_empty_gene_list(spark):
     links, ids = X.brand_links(spark, SF), X.returned_parts(spark, SF).where("gene_id < 0")
     for correction in ("Bonferroni", "HB", "Sidak", None):
