@@ -12,6 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlens.llm.common import slices, table
 
@@ -166,7 +167,8 @@ def pack(parts: DataFrame, groups: int, capacity: int = LENGTH, seed: int = 11)
         frame["offset"] = offset
         return frame[[*names, "sequence_id", "offset"]]
 
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()),
+                         StructField("offset", LongType())])
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups))
     return parts.withColumn("_group", group.cast("int")).groupBy("_group").applyInPandas(fill, schema)
 

@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cohortlens.llm import packing, quality_rules, sharding, url_filter
+from cohortlens.llm import (
+    language_id,
+    minhash_dedup,
+    packing,
+    pii,
+    quality_rules,
+    sharding,
+    url_filter,
+)
 
 QUERIES = {
+    "op1_minhash_dedup": minhash_dedup.query,
     "op3_jump_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
+    "op5_pii": pii.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_language_id": language_id.query,
     "op10_packing": packing.query,
     "pipeline": corpus_pipeline.run,
 }
