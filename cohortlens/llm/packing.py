@@ -15,92 +15,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlens.llm.common import slices, table
+from cohortlens.llm.segments import SegmentMemory
 
 LENGTH, END = 1024, 0
 #: Text bytes whose pieces are packed together, on average.
 GROUP_BYTES = 6_000_000
-#: Words a worker remembers the ids of; beyond it the memory starts afresh.
-REMEMBERED = 1 << 19
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordEncoder:
-    """Ids of whole texts by the tokenizers library, asking it once per distinct word.
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_memories: dict[str, SegmentMemory] = {}
 
-    No match of the splitting pattern reaches from a non-blank to a space behind it, so a text may
-    be cut before every single space between two non-blanks. Texts with other runs of blanks are
-    encoded whole.
-    """
 
-    def __init__(self, path: str):
+def memory(path: str) -> SegmentMemory:
+    """The tokenizer file behind a memory that lasts as long as the worker."""
+    if path not in _memories:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 15, dtype=np.int64)
-        self.size = np.zeros(1 << 15, dtype=np.int64)
-        self.plain = np.zeros(1 << 15, dtype=bool)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        first, total = len(self.number), sum(map(len, ids))
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while first + len(words) > len(self.start):
-            for name in ("start", "size", "plain"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        stop = first + len(words)
-        self.size[first:stop] = sizes
-        self.start[first:stop] = self.used + np.cumsum(sizes) - sizes
-        self.plain[first:stop] = [
-            w == "" or len(w) > 1 and not w[1].isspace() and not w[-1].isspace() for w in words]
-        self.pool[self.used:self.used + total] = np.fromiter(
-            (i for own in ids for i in own), dtype=np.uint32, count=total)
-        self.used += total
-        self.number.update(zip(words, range(first, stop)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
-            self._forget()
-        cut = []
-        for text in texts:
-            words = text.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
-            cut.append(words)
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in self.number))
-        if new:
-            self._learn(new)
-        out = []
-        for text, words in zip(texts, cut):
-            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            if len(at) > 1 and not (self.plain[at[1:]].all()
-                                    and (words[0] == "" or not words[0][-1].isspace())):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, dtype=np.uint32))
-                continue
-            sizes = self.size[at]
-            ends = np.cumsum(sizes)
-            inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-            out.append(self.pool[np.repeat(self.start[at], sizes) + inside])
-        return out
-
-
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        tokenizer = Tokenizer.from_file(path)
+        _memories[path] = SegmentMemory(lambda words: [
+            e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+    return _memories[path]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids: bool = False,
@@ -114,7 +50,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[list] = [[] for _ in names]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), memory(path).encode(texts)):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), length):
                     own = ids[start:start + length]
