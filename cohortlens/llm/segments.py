@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 #: Segments remembered; beyond it the memory starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 19
 
 
 class SegmentMemory:
@@ -45,7 +46,7 @@ class SegmentMemory:
         self.plain[first:stop] = [len(s) > 1 and not s[1].isspace() and not s[-1].isspace()
                                   for s in segments]
         self.pool[self.used:self.used + total] = np.fromiter(
-            (i for own in ids for i in own), dtype=np.uint32, count=total)
+            chain.from_iterable(ids), dtype=np.uint32, count=total)
         self.used += total
         self.number.update(zip(segments, range(first, stop)))
 
@@ -57,7 +58,7 @@ class SegmentMemory:
             parts = text.split(" ")
             parts[1:] = [" " + p for p in parts[1:]]
             cut.append(parts)
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.number))
+        new = list(set(chain.from_iterable(cut)).difference(self.number))
         if new:
             self._add(new)
         out = []
