@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from cohortlens.llm import (
+    byte_bpe,
+    embedding_dedup,
     language_id,
     minhash_dedup,
     packing,
@@ -15,11 +17,13 @@ from cohortlens.llm import (
 
 QUERIES = {
     "op1_minhash_dedup": minhash_dedup.query,
+    "op2_byte_bpe": byte_bpe.query,
     "op3_jump_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
     "op5_pii": pii.query,
     "op7_quality_rules": quality_rules.query,
     "op8_language_id": language_id.query,
+    "op9_embedding_dedup": embedding_dedup.query,
     "op10_packing": packing.query,
     "pipeline": corpus_pipeline.run,
 }

@@ -10,6 +10,9 @@ import numpy as np
 #: Segments remembered; beyond it the memory starts afresh.
 REMEMBERED = 3 << 19
 
+#: Punctuation that never joins a word before it.
+TAIL = ".,;:!?"
+
 
 class SegmentMemory:
     """`learn` gives the numbers of each of a list of strings.
@@ -31,8 +34,28 @@ class SegmentMemory:
         self.size = np.zeros(1 << 15, dtype=np.int64)
         self.plain = np.zeros(1 << 15, dtype=bool)
 
+    def _ids(self, segment: str) -> np.ndarray:
+        k = self.number[segment]
+        return self.pool[self.start[k]:self.start[k] + self.size[k]]
+
     def _add(self, segments: list[str]) -> None:
-        ids = self.learn(segments)
+        """Learn the segments; of those that end in punctuation behind a letter, where every
+        pattern parts, the word and the punctuation are learnt and joined."""
+        split = {}
+        for segment in segments:
+            stem = segment.rstrip(TAIL)
+            if stem and stem != segment and stem[-1] < "\u0250" and stem[-1].isalpha():
+                split[segment] = (stem, segment[len(stem):])
+        parts = set(chain.from_iterable(split.values())).union(s for s in segments if s not in split)
+        new = list(parts.difference(self.number))
+        if new:
+            self._store(new, self.learn(new))
+        if split:
+            joined = [s for s in split if s not in self.number]
+            self._store(joined, [np.concatenate([self._ids(stem), self._ids(tail)])
+                                 for stem, tail in map(split.__getitem__, joined)])
+
+    def _store(self, segments: list[str], ids: list) -> None:
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         first, stop, total = len(self.number), len(self.number) + len(ids), int(sizes.sum())
         while self.used + total > len(self.pool):

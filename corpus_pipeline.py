@@ -3,16 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import packing, quality_rules
+from cohortlens.llm import language_id, minhash_dedup, packing, pii, quality_rules
 from cohortlens.llm.common import stored, table
 
+#: A document goes where the best language is hardly likelier than others.
+LEAST_LANGUAGE_SCORE = 0.3
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality_rules.kept_documents(docs)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network knows; it learns from those that came in."""
+    judged = language_id.identify(docs, language_id.fit(docs))
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return judged.where(known).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. Of rows that repeat
+    an id in one group all stay."""
+    found = minhash_dedup.near_duplicates(docs).where(~F.col("kept"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    hidden = pii.redact(docs, pii.fit(docs))
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences, with their ids."""
     return packing.pack_documents(docs, with_ids=True)
@@ -20,15 +44,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
+    ("language id", language),
+    ("near-dedup", near_dedup),
+    ("personal data", personal_data),
     ("packing", packed),
 ]
-#: Language model, bottom-k sketches and tagger have no SQL form; tests hold run() against the
-#: operators' own brute-force checks.
+#: The language network, the sketches and the tagger have no SQL form; tests hold run() against
+#: brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
