@@ -25,7 +25,7 @@ SKETCH, MISS = 64, 1e-6
 HUBS = 3
 TURNS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x38495AB5A0761D64,
          0x6C62272E07BB0142, 0x27D4EB2F165667C5, 0x165667B19E3779F9, 0x4F1BBCDCBFA53E0B)
-TILE = 256
+TILE, COLUMNS = 256, 4096
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Words a worker remembers the hashes of.
 REMEMBERED = 1 << 20
@@ -114,14 +114,15 @@ def inverted_lists(sets: DataFrame, like: Likeness) -> DataFrame:
     long lists. Sets meet within bands of size, each set standing in its own band and the next, as
     linked sizes differ by the threshold at most. Lists of one member are dropped.
     """
-    posted = sets.select("rep", "n", F.explode("sketch").alias("value"))
+    posted = sets.select("rep", F.explode("sketch").alias("value"))
     often = posted.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     held = F.least("n", F.lit(SKETCH))
     sure = F.ceil(F.col("n") * like.percent / 100).cast("long")
     overlap = F.when(F.col("n") * 100 <= SKETCH * like.percent, sure).otherwise(
         F.least(sure, F.lit(like.sketch_overlap())))
-    shared = posted.join(often, "value").groupBy("rep", "n").agg(
-        F.sort_array(F.collect_list(F.struct("times", "value"))).alias("ranked"))
+    shared = posted.join(often, "value").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("times", "value"))).alias("ranked")).join(
+        sets.select("rep", "n"), "rep")
     # values of one list alone are the rarest; they come first and lead to nobody
     take = F.greatest(F.lit(0), F.size("ranked") - overlap + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / like.percent) + 1e-9).cast("int")
@@ -208,12 +209,13 @@ def unresolved(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
     return named.join(mixed.select("value", "band"), ["value", "band"], "left_semi")
 
 
-def across(lists: DataFrame, sets: DataFrame, parts: DataFrame, like: Likeness) -> DataFrame:
-    """All pairs of different components within the unresolved lists that share enough values.
+def across(lists: DataFrame, texts: DataFrame, parts: DataFrame, like: Likeness) -> DataFrame:
+    """Links between different components within the unresolved lists: one for each two components
+    and tile, which connects as much as all of them.
 
     Members outside a list's largest component meet that component once for all lists, and each
-    other within the list. Both are dealt out as tiles of bounded size that are compared inside a
-    task, so no row stands for a pair before it has passed.
+    other within the list. Both are dealt out as tiles of bounded size; a task compares the full
+    sets of its tile, so no row stands for a pair that is not linked.
     """
     by_label = lists.groupBy("value", "band", "label").agg(F.count(F.lit(1)).alias("n"))
     # the largest component of a list; n and label are read back out of the one number
@@ -223,7 +225,6 @@ def across(lists: DataFrame, sets: DataFrame, parts: DataFrame, like: Likeness)
     grown = F.col("most") > 1
     odd = stored(named.where(~grown | (F.col("label") != F.col("main"))).select(
         "value", "band", "rep", "label", F.when(grown, F.col("main")).alias("main")))
-    side = sets.select("rep", "n", "sketch")
 
     # 1. odd members against every member of the main component, in rectangles of chunks
     probes = stored(odd.where("main is not null").select("main", "rep", "label").distinct())
@@ -258,34 +259,32 @@ def across(lists: DataFrame, sets: DataFrame, parts: DataFrame, like: Likeness)
         "rep", "label")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        values, at = np.unique(np.concatenate(frame["sketch"].to_list()), return_inverse=True)
-        rows = np.repeat(np.arange(len(frame)), frame["sketch"].str.len())
-        out = []
-        side, rep, label, n = (frame[c].to_numpy() for c in ("side", "rep", "label", "n"))
-        for probes in np.array_split(np.flatnonzero(side != 0), -(-(side != 0).sum() // TILE) or 1):
-            bases = np.flatnonzero(side != 1)
-            if not len(probes) or not len(bases):
-                continue
-            spot = np.full(len(frame), -1)
-            marks = []
-            for some in (probes, bases):
-                spot[:] = -1
-                spot[some] = np.arange(len(some))
-                inside = spot[rows] >= 0
-                mark = np.zeros((len(some), len(values)), dtype=np.float32)
-                mark[spot[rows[inside]], at[inside]] = 1
-                marks.append(mark)
-            shared = marks[0] @ marks[1].T
-            least = np.minimum(
-                like.sketch_overlap(),
-                np.ceil(np.maximum(n[probes][:, None], n[bases][None]) * like.percent / 100))
-            p, b = np.nonzero((shared >= least) & (label[probes][:, None] != label[bases][None]))
-            out.append(np.sort(np.stack([rep[probes[p]], rep[bases[b]]], axis=1), axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        hashes = WordHashes()
+        sets = [shingle_hashes(t, like.width, hashes) for t in frame["text"]]
+        n = np.array([len(s) for s in sets])
+        values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), n)
+        column = np.cumsum(times > 1) - 1  # a value of one set alone is shared by none
+        rows, at = rows[times[at] > 1], column[at[times[at] > 1]]
+        side, rep, label = (frame[c].to_numpy() for c in ("side", "rep", "label"))
+        probes, bases = np.flatnonzero(side != 0), np.flatnonzero(side != 1)
+        shared = np.zeros((len(probes), len(bases)), dtype=np.float32)
+        for start in range(0, int((times > 1).sum()), COLUMNS):
+            own = (at >= start) & (at < start + COLUMNS)
+            mark = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            mark[rows[own], at[own] - start] = 1
+            shared += mark[probes] @ mark[bases].T
+        union = n[probes][:, None] + n[bases][None] - shared
+        p, b = np.nonzero((shared * 100 >= union * like.percent) & (union > 0)
+                          & (label[probes][:, None] != label[bases][None]))
+        p, b = probes[p], bases[b]
+        met = np.sort(np.stack([label[p], label[b]], axis=1), axis=1)
+        _, first_of = np.unique(met, axis=0, return_index=True)
+        pairs = np.sort(np.stack([rep[p[first_of]], rep[b[first_of]]], axis=1), axis=1)
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    return first.unionByName(second).join(side, "rep").groupBy("kind", "key", "band", "i", "j").applyInPandas(
-        compare, "a long, b long").where("a <> b").distinct()
+    return first.unionByName(second).join(texts.toDF("rep", "text"), "rep").groupBy(
+        "kind", "key", "band", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
 def links(docs: DataFrame, sketched: DataFrame, like: Likeness, id_col: str, text: str) -> DataFrame:
@@ -323,7 +322,7 @@ def links(docs: DataFrame, sketched: DataFrame, like: Likeness, id_col: str, tex
             F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
         more = stored(verified(estimated(pairs, sets, like), texts, like))
         found = stored(found.unionByName(more))
-    full = verified(estimated(across(rest, sets, parts, like), sets, like), texts, like)
+    full = verified(across(rest, texts, parts, like), texts, like)
     return stored(found.unionByName(full))
 
 
