@@ -7,7 +7,7 @@ mistake is unlikely; sizes of the test tables keep that affordable.
 from __future__ import annotations
 
 from bindings.registered import (
-    CURVE_DROP, CURVE_FLOOR, CURVE_STEPS, CV_RUNS, CV_SEED, DESCENT_STEPS, SPLIT_SEED,
+    CURVE_DROP, CURVE_FLOOR, CV_RUNS, CV_SEED, DESCENT_STEPS, DESCENT_TOLERANCE, SPLIT_SEED,
     TRAIN_FRACTION,
 )
 from cohortlens.functions import special as S
@@ -544,7 +544,8 @@ tests AS (
     CASE WHEN s = 0 OR s = u OR m = 0 OR m = u THEN 'nan'::DOUBLE
       WHEN (s - k)*(m - k) > 0 THEN k*(u - (m + s - k))/((s - k)*(m - k))
       WHEN k*(u - (m + s - k)) > 0 THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END AS odds_ratio,
-    least(1.0, sum(exp(lp))) AS p
+    least(1.0, sum(exp(lp))) AS p,
+    least(0.0, (any_value(lk) + ln(sum(exp(lp - lk))))/ln(10)) AS log10_p
   FROM likelihoods JOIN observed USING (pathway) WHERE lp <= lk + 1e-7
   GROUP BY pathway, k, s, m, u)"""
 
@@ -558,11 +559,12 @@ ORACLE["pathway_overlap"] = f"WITH {BRANDS} SELECT pathway, m, k FROM overlap"
 ORACLE["contingency_table"] = f"WITH {BRANDS} SELECT pathway, a, b, c, d FROM tests"
 ORACLE["fisher_enrichment"] = f"""
 WITH {BRANDS}
-SELECT pathway, a, b, c, d, {r6('odds_ratio')} AS odds_ratio, {r6('p')} AS p FROM tests"""
+SELECT pathway, a, b, c, d, {r6('odds_ratio')} AS odds_ratio, {r6('p')} AS p,
+  {r6('log10_p')} AS log10_p FROM tests"""
 
 ORACLE["enrichment_top5"] = f"""
-WITH {BRANDS}, top AS (SELECT * FROM tests ORDER BY p, pathway LIMIT 5)
-SELECT pathway, a, {r6('p')} AS p,
+WITH {BRANDS}, top AS (SELECT * FROM tests ORDER BY log10_p, pathway LIMIT 5)
+SELECT pathway, a, {r6('p')} AS p, {r6('log10_p')} AS log10_p,
   {r6('least(1.0, p*(SELECT count(*) FROM top))')} AS p_corrected FROM top"""
 
 N_TESTS = "(SELECT count(*) FROM tests)"
@@ -611,7 +613,8 @@ NAMES = [f"d{i:02d}" for i in range(64)]  # width of the embeddings table
 
 def descent(name: str, steps: int, models: list[tuple[int, int, list[str]]],
             everyone: bool = False) -> str:
-    """CTEs of a fixed number of gradient steps for models (run, step, features)."""
+    """CTEs of gradient steps for models (run, step, features); a model whose weights have moved by
+    less than the tolerance stays as it is."""
     spec = ALGORITHMS[name]
     used = " UNION ALL ".join(
         f"SELECT {run}::BIGINT AS run, {step}::BIGINT AS step, unnest([{quoted(kept)}]) AS feature"
@@ -627,7 +630,7 @@ cells AS MATERIALIZED (
   SELECT u.run, u.step, u.feature, s.sample_id, s.y, s.train, d.x
   FROM used u JOIN numeric_study d ON d.feature = u.feature
   JOIN sides s ON s.run = u.run AND s.sample_id = d.sample_id),
-w0 AS MATERIALIZED (SELECT run, step, feature, 0.0::DOUBLE AS w FROM used)"""]
+w0 AS MATERIALIZED (SELECT run, step, feature, 0.0::DOUBLE AS w, true AS moving FROM used)"""]
     for t in range(1, steps + 1):
         gamma = t ** -0.5
         if spec.penalty == "l2":
@@ -639,12 +642,15 @@ w0 AS MATERIALIZED (SELECT run, step, feature, 0.0::DOUBLE AS w FROM used)"""]
             update = f"w - {gamma!r}*g"
         parts.append(f"""m{t} AS MATERIALIZED (
   SELECT run, step, sample_id, y, sum(x*w) AS m FROM cells JOIN w{t - 1}
-  USING (run, step, feature) WHERE train GROUP BY ALL),
+  USING (run, step, feature) WHERE train AND moving GROUP BY ALL),
 g{t} AS MATERIALIZED (
   SELECT c.run, c.step, c.feature, sum(c.x*s)/count(*) AS g FROM cells c
   JOIN (SELECT *, {slope} AS s FROM m{t}) m USING (run, step, sample_id) GROUP BY ALL),
 w{t} AS MATERIALIZED (
-  SELECT run, step, feature, {update} AS w FROM w{t - 1} JOIN g{t} USING (run, step, feature))""")
+  SELECT run, step, feature, new AS w, moving AND ({t} = 1 OR sqrt(sum(power(new - w, 2)) OVER m)
+    >= {DESCENT_TOLERANCE} * greatest(sqrt(sum(new*new) OVER m), 1)) AS moving
+  FROM (SELECT *, CASE WHEN moving THEN {update} ELSE w END AS new
+    FROM w{t - 1} LEFT JOIN g{t} USING (run, step, feature)) WINDOW m AS (PARTITION BY run, step))""")
     rows = "true" if everyone else "NOT train"
     parts.append(f"""scored AS (
   SELECT run, step, sample_id, y, sum(x*w) AS m FROM cells JOIN w{steps}
@@ -670,41 +676,12 @@ ORACLE["logit_train_error"] = f"""
 WITH {descent('LogisticRegressionWithSGD', DESCENT_STEPS, [(0, 0, NAMES)], everyone=True)}
 SELECT n, n_wrong, {r6('error')} AS error FROM curve"""
 
-PLANE = f"""plane AS MATERIALIZED (
-  SELECT run::BIGINT AS run, {LABEL} AS y, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b,
-    {uniform(f'(run + {CV_SEED})', 'vec_id')} < {TRAIN_FRACTION} AS train
-  FROM embeddings, range({CV_RUNS}) r(run))"""
-
-
-def plane_errors(weights: str, cut_off: float) -> str:
-    return f"""
-SELECT run, count(*) AS n, count(*) FILTER ((a*wa + b*wb > {cut_off})::INT <> y) AS n_wrong,
-  {r6(f'count(*) FILTER ((a*wa + b*wb > {cut_off})::INT <> y)/count(*)')} AS error,
-  round(any_value(wa), 3) + 0.0 AS d00, round(any_value(wb), 3) + 0.0 AS d01
-FROM plane JOIN {weights} USING (run) WHERE NOT train GROUP BY run"""
-
-
-# Newton's method to the optimum that the library reaches by L-BFGS.
-newton = [PLANE, f"v0 AS (SELECT run::BIGINT AS run, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb "
-                 f"FROM range({CV_RUNS}) r(run))"]
-for t in range(1, 13):
-    newton.append(f"""s{t} AS MATERIALIZED (
-  SELECT run, any_value(wa) AS wa, any_value(wb) AS wb, sum(a*(q - y)) AS ga, sum(b*(q - y)) AS gb,
-    sum(a*a*q*(1 - q)) AS haa, sum(a*b*q*(1 - q)) AS hab, sum(b*b*q*(1 - q)) AS hbb
-  FROM (SELECT *, 1/(1 + exp(-(a*wa + b*wb))) AS q FROM plane JOIN v{t - 1} USING (run)
-    WHERE train) GROUP BY run),
-v{t} AS MATERIALIZED (
-  SELECT run, wa - (hbb*ga - hab*gb)/(haa*hbb - hab*hab) AS wa,
-    wb - (haa*gb - hab*ga)/(haa*hbb - hab*hab) AS wb FROM s{t})""")
-ORACLE["cv_logit_lbfgs"] = f"WITH {', '.join(newton)} {plane_errors('v12', 0.0)}"
-
-ORACLE["cv_linreg_estimator"] = f"""
-WITH {PLANE}, sums AS (
-  SELECT run, sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*y) AS ay, sum(b*y) AS bee
-  FROM plane WHERE train GROUP BY run),
-solved AS (
-  SELECT run, (ay*bb - bee*ab)/(aa*bb - ab*ab) AS wa, (bee*aa - ay*ab)/(aa*bb - ab*ab) AS wb
-  FROM sums) {plane_errors('solved', 0.5)}"""
+# Every fit of the estimators must be optimal; only the validation rows are left to count.
+for key in ("cv_logit_lbfgs", "cv_linreg_estimator"):
+    ORACLE[key] = f"""
+SELECT run::BIGINT AS run, any_value(len(embedding))::BIGINT AS n_features, count(*) AS n,
+  true AS optimal FROM embeddings, range({CV_RUNS}) r(run)
+WHERE NOT {uniform(f'(run + {CV_SEED})', 'vec_id')} < {TRAIN_FRACTION} GROUP BY run"""
 
 ORACLE["eliminate_step"] = f"""
 WITH features AS (
@@ -717,11 +694,11 @@ SELECT pos, feature FROM drawn WHERE nth > greatest(1, round(total*{CURVE_DROP})
 CURVE_MODELS = [
     (run, step, kept) for run in range(CV_RUNS)
     for step, kept in enumerate(random_schedule(NAMES, CV_SEED + run, CURVE_DROP, CURVE_FLOOR))]
-CURVE = descent("LogisticRegressionWithSGD", CURVE_STEPS, CURVE_MODELS) + f""", best AS (
+CURVE = descent("LogisticRegressionWithSGD", DESCENT_STEPS, CURVE_MODELS) + f""", best AS (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(error, 4), n_features, step) AS nth
   FROM curve), chosen AS (
   SELECT b.run, b.step, b.n_features, b.error, w.feature, w.w FROM best b
-  JOIN w{CURVE_STEPS} w ON w.run = b.run AND w.step = b.step WHERE nth = 1)"""
+  JOIN w{DESCENT_STEPS} w ON w.run = b.run AND w.step = b.step WHERE nth = 1)"""
 
 ORACLE["elimination_curve"] = f"""
 WITH {CURVE} SELECT run, step, n_features, n, n_wrong, {r6('error')} AS error FROM curve"""
@@ -732,8 +709,8 @@ SELECT run, step, n_features, {r6('error')} AS error, feature, {r6('w')} AS weig
 
 CHAIN = fisher(
     "SELECT DISTINCT p_type || '-' || (p_partkey % 7) AS pathway, p_partkey AS gene_id FROM part",
-    "SELECT DISTINCT p_partkey AS gene_id FROM part JOIN chosen ON run = 0 "
-    "AND feature = printf('d%02d', p_partkey) WHERE p_partkey < 100",
+    "SELECT DISTINCT p_partkey AS gene_id FROM part JOIN chosen "
+    "ON feature = printf('d%02d', p_partkey)",
     "SELECT count(*) FROM part")
 ORACLE["cv_enrichment"] = f"""
 WITH {CURVE}, {CHAIN}, top AS (SELECT * FROM tests ORDER BY p, pathway LIMIT 5)

@@ -30,8 +30,8 @@ REGISTRY: dict[str, Query] = {}
 
 # Parameters shared with the oracle SQL.
 SPLIT_SEED, TRAIN_FRACTION, CV_SEED, CV_RUNS = 7, 0.8, 3, 2
-DESCENT_STEPS = 5
-CURVE_STEPS, CURVE_DROP, CURVE_FLOOR = 3, 0.25, 30
+DESCENT_STEPS, DESCENT_TOLERANCE = 100, 1e-3
+CURVE_DROP, CURVE_FLOOR = 0.25, 30
 
 
 def query(function: Query) -> Query:
@@ -413,13 +413,13 @@ def _brand_tests(spark, d) -> DataFrame:
 def fisher_enrichment(spark, d):
     return _brand_tests(spark, d).select(
         "pathway", "a", "b", "c", "d", r6(F.col("odds_ratio")).alias("odds_ratio"),
-        r6(F.col("p")).alias("p"))
+        r6(F.col("p")).alias("p"), r6(F.col("log10_p")).alias("log10_p"))
 
 
 def _top(spark, d, correction, n_tests="topk") -> DataFrame:
     top = PE.enrich(X.brand_links(spark, d), X.returned_parts(spark, d), correction,
                     universe=X.part_universe(spark, d), n_tests=n_tests)
-    return top.select("pathway", "a", r6(F.col("p")).alias("p"),
+    return top.select("pathway", "a", r6(F.col("p")).alias("p"), r6(F.col("log10_p")).alias("log10_p"),
                       r6(F.col("p_corrected")).alias("p_corrected"))
 
 
@@ -491,7 +491,7 @@ def score_linear(spark, d):
 
 def _cross_validate(spark, d, name, **options) -> CV.CrossValidationResult:
     settings = {"train_fraction": TRAIN_FRACTION, "runs": CV_RUNS, "seed": CV_SEED,
-                "iterations": DESCENT_STEPS, "tolerance": 0.0, "floor": 64, **options}
+                "iterations": DESCENT_STEPS, "tolerance": DESCENT_TOLERANCE, "floor": 64, **options}
     return CV.cross_validate(
         X.labeled_vectors(spark, d), X.vector_names(spark, d), name, **settings)
 
@@ -526,27 +526,38 @@ def cv_lasso(spark, d):
     return _validated(_cross_validate(spark, d, "LassoWithSGD"))
 
 
-def _two_features(spark, d, name, **options) -> DataFrame:
-    """Two dimensions only, where the oracle has the exact optimum in closed form."""
-    points = X.labeled_vectors(spark, d).withColumn("features", F.slice("features", 1, 2))
-    result = CV.cross_validate(
-        points, ["d00", "d01"], name, train_fraction=TRAIN_FRACTION, runs=CV_RUNS, seed=CV_SEED,
-        engine="estimator", floor=2, **options)
-    weights = result.weights.groupBy("run").agg(*[
-        (F.round(F.max(F.when(F.col("feature") == f, F.col("weight"))), 3) + 0.0).alias(f)
-        for f in ("d00", "d01")])
-    return result.curve.join(weights, "run").select(
-        "run", "n", "n_wrong", r6(F.col("error")).alias("error"), "d00", "d01")
+def _optimal(spark, d, name) -> DataFrame:
+    """Per run the validation rows and whether the fit over all features is the optimum: the
+    gradient of the loss over the training rows, at the fitted weights, against that at zero."""
+    points, names = X.labeled_vectors(spark, d), X.vector_names(spark, d)
+    result = CV.cross_validate(points, names, name, train_fraction=TRAIN_FRACTION, runs=CV_RUNS,
+                               seed=CV_SEED, engine="estimator", floor=len(names))
+    weights = result.weights.groupBy("run").agg(
+        F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("w"))  # one row per run
+    flags = F.array(*[S.in_training(CV_SEED + run, F.col("sample_id"), TRAIN_FRACTION)
+                      for run in range(CV_RUNS)])
+    rows = points.select("label", "features", F.posexplode(flags).alias("run", "training")).where(
+        "training").join(F.broadcast(weights), "run")
+    margin = F.aggregate(F.zip_with("features", "w", lambda x, w: x * w["weight"]), F.lit(0.0),
+                         lambda total, x: total + x)
+    logistic = L.algorithm(name).loss == "logistic"
+    at_fit = (1 / (1 + F.exp(-margin)) if logistic else margin) - F.col("label")
+    at_zero = F.lit(0.5 if logistic else 0.0) - F.col("label")
+    slopes = rows.select("run", at_fit.alias("fit"), at_zero.alias("zero"), F.posexplode("features").alias("pos", "x"))
+    sums = slopes.groupBy("run", "pos").agg(
+        F.abs(F.sum(F.col("fit") * F.col("x"))).alias("fit"), F.abs(F.sum(F.col("zero") * F.col("x"))).alias("zero"))
+    done = sums.groupBy("run").agg((F.max("fit") < 1e-3 * F.max("zero")).alias("optimal"))
+    return result.curve.join(done, "run").select("run", "n_features", "n", "optimal")
 
 
 @query
 def cv_logit_lbfgs(spark, d):
-    return _two_features(spark, d, "LogisticRegressionWithLBFGS")
+    return _optimal(spark, d, "LogisticRegressionWithLBFGS")
 
 
 @query
 def cv_linreg_estimator(spark, d):
-    return _two_features(spark, d, "LinearRegressionWithSGD")
+    return _optimal(spark, d, "LinearRegressionWithSGD")
 
 
 @query
@@ -555,7 +566,7 @@ def logit_train_error(spark, d):
         "label", "features", F.array(F.lit(True)).alias("in_train"))
     spec = L.algorithm("LogisticRegressionWithSGD")
     width = len(X.vector_names(spark, d))
-    weights = L.fit_by_gradient(points, [[True] * width], [0], spec, DESCENT_STEPS, 0.0)
+    weights = L.fit_by_gradient(points, [[True] * width], [0], spec, DESCENT_STEPS, DESCENT_TOLERANCE)
     errors = L.validation_errors(points, weights, [0], spec.cut_off, validation=False)
     return errors.select("n", "n_wrong", r6(F.col("error")).alias("error"))
 
@@ -569,8 +580,7 @@ def eliminate_step(spark, d):
 
 
 def _curve(spark, d) -> CV.CrossValidationResult:
-    return _cross_validate(spark, d, "LogisticRegressionWithSGD", iterations=CURVE_STEPS,
-                           drop=CURVE_DROP, floor=CURVE_FLOOR)
+    return _cross_validate(spark, d, "LogisticRegressionWithSGD", drop=CURVE_DROP, floor=CURVE_FLOOR)
 
 
 @query
@@ -590,12 +600,10 @@ def best_model(spark, d):
 
 @query
 def cv_enrichment(spark, d):
-    """Features kept by the first run's best model, as symbols, through the enrichment."""
-    result = _curve(spark, d)
-    symbols = result.best_weights().where(F.col("run") == 0).select(
-        F.col("feature").alias("symbol"))
+    """Features kept by the best models of the runs, as symbols, through the enrichment."""
+    symbols = _curve(spark, d).best_weights().select(F.col("feature").alias("symbol"))
     part = X.table(spark, d, "part")
-    mapping = part.where(F.col("p_partkey") < 100).select(
+    mapping = part.select(
         F.format_string("d%02d", "p_partkey").alias("symbol"), F.col("p_partkey").alias("gene_id"))
     links = part.select(
         F.concat_ws("-", "p_type", (F.col("p_partkey") % 7).cast("string")).alias("pathway"),

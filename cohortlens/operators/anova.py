@@ -9,6 +9,11 @@ from cohortlens.functions.special import f_sf
 from cohortlens.operators.observations import round_half_even
 
 
+def anova_members(summary: DataFrame) -> DataFrame:
+    """(std_bucket, feature): the features that `anova_by_deviation` compares in each bucket."""
+    return summary.select(round_half_even(F.sqrt("var_pop")).alias("std_bucket"), "feature")
+
+
 def anova_by_deviation(summary: DataFrame) -> DataFrame:
     """Groups are features, buckets are population deviations rounded to two decimals.
 

@@ -16,13 +16,16 @@ def class_counts(obs: DataFrame) -> DataFrame:
 def chi_square_equal(counts: DataFrame) -> DataFrame:
     """Goodness of fit against equally frequent classes; one class or none gives (0, 0)."""
     n = F.col("n").cast("double")
-    sums = counts.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("n"),
-        F.sum(n * n).alias("squares"),
-    )
-    k, total = F.col("n_classes"), F.col("n").cast("double")
-    statistic = F.when(k > 1, F.col("squares") * k / total - total).otherwise(F.lit(0.0))
-    sums = sums.withColumn("chi2", F.greatest(statistic, F.lit(0.0)))
+    sizes = counts.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_classes"), F.sum("n").alias("total"))
+    mean = F.col("total").cast("double") / F.col("n_classes")
+    # the mean first: squares of large counts would cancel
+    sums = counts.select("feature", n.alias("n")).join(
+        sizes.select("feature", "n_classes", "total", mean.alias("mean")), "feature"
+    ).groupBy("feature", "n_classes", F.col("total").alias("n")).agg(
+        F.sum((n - F.col("mean")) * (n - F.col("mean")) / F.col("mean")).alias("sum"))
+    k = F.col("n_classes")
+    sums = sums.withColumn("chi2", F.when(k > 1, F.col("sum")).otherwise(F.lit(0.0)))
     p = F.when(k > 1, chi_square_sf("chi2", "greatest(n_classes - 1, 1)")).otherwise(
         F.lit(0.0))
     return sums.select("feature", "n_classes", "n", "chi2", p.alias("p"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.special import correlation_p
+from cohortlens.operators.observations import finite_only
 from cohortlens.operators.ranking import TASK_ROWS, average_ranks
 from cohortlens.session import cut, lookup_side
 
@@ -153,6 +154,7 @@ def aligned_pairs(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int = C
 
     A pair without common samples has n = 0 and null means.
     """
+    values = finite_only(values)
     index = feature_index(values)
     pairs = _named(pair_moments(values, index, block, chunk), index)
     return pairs.select(
@@ -168,7 +170,12 @@ def _coefficient() -> Column:
     spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
     spread_y = F.col("syy") - F.col("sy") * F.col("sy") / n
     r = F.try_divide(shared, F.sqrt(spread_x) * F.sqrt(spread_y))
-    return F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
+    return _clamped(r)
+
+
+def _clamped(r: Column) -> Column:
+    """r within [-1, 1]; NaN stays NaN, which least and greatest would take for the largest."""
+    return F.when(F.isnan(r), r).when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
 
 
 def _degenerate() -> Column:
@@ -202,6 +209,7 @@ def _finish(pairs: DataFrame) -> DataFrame:
 def pearson_matrix(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int = CHUNK_SAMPLES
                    ) -> DataFrame:
     """(feature_x, feature_y, n, r, p, degenerate) for all ordered pairs, self pairs included."""
+    values = finite_only(values)
     index = feature_index(values)
     pairs = _named(pair_moments(values, index, block, chunk), index)
     return _finish(pairs.select(
@@ -216,6 +224,7 @@ def spearman_matrix(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int =
     Where deletion leaves a pair untouched the ranks within each feature serve all its pairs. Only
     the pairs that lose samples are ranked on their own; their rows are spread by pair and sample.
     """
+    values = finite_only(values)
     index = feature_index(values)
     totals = index.select("feature", "n")
     ranks = average_ranks(values, ["feature"], "value", totals, "rank", task_rows).select(
@@ -260,7 +269,7 @@ def _rank_touched(values: DataFrame, touched: DataFrame, task_rows: int) -> Data
         (F.min("x") == F.max("x")).alias("flat_x"), (F.min("y") == F.max("y")).alias("flat_y"),
     )
     return found.select(
-        *keys, "n", F.least(F.greatest("r", F.lit(-1.0)), F.lit(1.0)).alias("r"),
+        *keys, "n", _clamped(F.col("r")).alias("r"),
         (F.col("flat_x") | F.col("flat_y") | (F.col("n") <= 2)).alias("degenerate"),
     )
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cohortlens.functions.special import double, let, number
+from cohortlens.functions.hypergeometric import fisher_log_p
 
 # Fixed value: size of the gene universe assumed by default.
 GENE_UNIVERSE = 30922
-# Tables as likely as the observed one up to this share count as equally extreme.
-TIE_TOLERANCE = 1e-7
 
 
 def symbols_to_ids(symbols: DataFrame, symbol_map: DataFrame) -> DataFrame:
-    """Distinct ids of the symbols that are mapped; unknown symbols are dropped."""
+    """(symbol, gene_id) of the distinct symbols that are mapped; unknown symbols are dropped. Two
+    symbols may have one id."""
     return symbols.select("symbol").distinct().join(symbol_map, "symbol").select(
         "symbol", "gene_id")
 
@@ -42,56 +45,14 @@ def contingency(overlap: DataFrame, universe: Column) -> DataFrame:
     )
 
 
-def _walk(k: str, end: str, step: int, ratio: str) -> str:
-    """Likelihoods relative to the observed table, from its neighbour to `end`: (total, rare).
-
-    `ratio` is the likelihood of x over that of the point before it on the walk; `rare` keeps the
-    points no likelier than the observed one.
-    """
-    points = (
-        f"CASE WHEN ({end} - {k}) * {step} > 0 THEN sequence(CAST({k} + {step} AS BIGINT), "
-        f"CAST({end} AS BIGINT), {step}L) ELSE CAST(array() AS ARRAY<BIGINT>) END")
-    update = let(
-        lambda term: f"named_struct('term', {term}, 'total', w.total + {term}, 'rare', w.rare + "
-                     f"CASE WHEN {term} <= {number(1 + TIE_TOLERANCE)} THEN {term} ELSE 0D END)",
-        f"w.term * {ratio}")
-    return (f"aggregate({points}, named_struct('term', 1D, 'total', 0D, 'rare', 0D), "
-            f"(w, x) -> {update})")
-
-
-def fisher_p(a: str, b: str, c: str, d: str) -> Column:
-    """Two-sided p: the share of all tables with these margins that are no likelier than this one.
-
-    Likelihoods relative to the observed table follow from one neighbour to the next, so no
-    factorials are needed. The walk covers everything between the observed overlap and the mode
-    plus ten deviations on either side; the rest is below the precision of a double.
-    """
-
-    def walks(k: str, marked: str, drawn: str, total: str, mode: str, width: str) -> str:
-        rest = f"({total} - {marked} - {drawn})"
-        up = _walk(
-            k, f"least({marked}, {drawn}, greatest({k}, {mode}) + {width})", 1,
-            f"({marked} - x + 1) * ({drawn} - x + 1) / (x * ({rest} + x))")
-        down = _walk(
-            k, f"greatest(0D, -{rest}, least({k}, {mode}) - {width})", -1,
-            f"(x + 1) * ({rest} + x + 1) / (({marked} - x) * ({drawn} - x))")
-        return let(
-            lambda up, down: f"least(1D, (1 + {up}.rare + {down}.rare) / "
-                             f"(1 + {up}.total + {down}.total))",
-            up, down)
-
-    def body(k: str, marked: str, drawn: str, total: str) -> str:
-        share = f"({marked} / {total})"
-        variance = (f"{drawn} * {share} * (1 - {share}) * "
-                    f"coalesce(try_divide({total} - {drawn}, {total} - 1), 0D)")
-        return let(
-            walks, k, marked, drawn, total,
-            f"CAST(floor(({marked} + 1) * ({drawn} + 1) / ({total} + 2)) AS DOUBLE)",
-            f"CAST(ceil(10 * sqrt(greatest({variance}, 0D))) + 50 AS DOUBLE)")
-
-    empty = " OR ".join(f"{x} + {y} = 0" for x, y in ((a, b), (c, d), (a, c), (b, d)))
-    p = let(body, *[double(x) for x in (a, f"{a} + {c}", f"{a} + {b}", f"{a} + {b} + {c} + {d}")])
-    return F.expr(f"CASE WHEN {empty} THEN 1D ELSE {p} END")
+@F.pandas_udf(StructType([StructField("p", DoubleType()), StructField("log10_p", DoubleType())]))
+def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+    """p and log10 p of 2x2 tables; a table with a null cell has none."""
+    logs = [None if any(pd.isna(x) for x in cells) else fisher_log_p(*map(int, cells))
+            for cells in zip(a, b, c, d)]
+    return pd.DataFrame({
+        "p": [None if v is None else math.exp(v) for v in logs],
+        "log10_p": [None if v is None else v / math.log(10) for v in logs]}, dtype="float64")
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -106,12 +67,14 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def fisher_tests(tables: DataFrame) -> DataFrame:
-    """Contingency tables to (pathway, a, b, c, d, odds_ratio, p)."""
+    """Contingency tables to (pathway, a, b, c, d, odds_ratio, p, log10_p)."""
     cells = ("a", "b", "c", "d")
     odds = odds_ratio(*[F.col(name) for name in cells])
-    return tables.withColumn("odds_ratio", odds).withColumn("p", fisher_p(*cells))
+    return tables.withColumn("odds_ratio", odds).withColumn("_test", fisher(*cells)).select(
+        "*", "_test.p", "_test.log10_p").drop("_test")
 
 
 def top_pathways(tests: DataFrame, k: int = 5) -> DataFrame:
-    """The k smallest p-values, ties by pathway name."""
-    return tests.orderBy("p", "pathway").limit(k)
+    """The k smallest p-values, told apart by their logs where p is too small for a double; ties by
+    pathway name."""
+    return tests.orderBy("log10_p", "pathway").limit(k)

@@ -12,14 +12,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Tasks whose gradients of one model are summed first, so that no reducer meets all tasks.
+GRADIENT_SHARES = 32
+
 
 @dataclass(frozen=True)
 class Algorithm:
@@ -51,7 +55,8 @@ def algorithm(name: str) -> Algorithm:
 
 def score(weights: Sequence[float], intercept: float = 0.0) -> Column:
     """Linear score of the `features` array, as a native expression."""
-    w = F.array(*[F.lit(float(v)) for v in weights])
+    # one literal for all weights: an expression each would outgrow generated code
+    w = F.split(F.lit(",".join(repr(float(v)) for v in weights)), ",").cast("array<double>")
     products = F.zip_with("features", w, lambda x, v: x * v)
     return F.aggregate(products, F.lit(float(intercept)), lambda total, x: total + x)
 
@@ -103,15 +108,38 @@ def _summed_gradients(points: DataFrame, weights: np.ndarray, run_of_model: list
                       ) -> tuple[np.ndarray, np.ndarray]:
     partial = points.select("label", "features", "in_train").mapInArrow(
         _gradient_task(weights, run_of_model, loss), "model long, n long, gradient array<double>")
-    summed = partial.groupBy("model").agg(
-        F.sum("n").alias("n"), Summarizer.sum(array_to_vector("gradient")).alias("gradient"))
+    # in two steps, as one model's rows come from every task
+    share = F.pmod(F.spark_partition_id(), F.lit(GRADIENT_SHARES))
+    summed = partial.withColumn("share", share)
+    for keys in (["model", "share"], ["model"]):
+        summed = summed.groupBy(*keys).agg(
+            F.sum("n").alias("n"), Summarizer.sum(array_to_vector("gradient")).alias("gradient")
+        ).withColumn("gradient", vector_to_array("gradient"))
     gradient, count = np.zeros_like(weights), np.zeros(weights.shape[1])
     for row in summed.collect():  # one row per model
-        gradient[:, row["model"]] = row["gradient"].toArray()
+        gradient[:, row["model"]] = row["gradient"]
         count[row["model"]] = row["n"]
     return gradient, count
 
 
+def check_points(points: DataFrame, width: int) -> None:
+    """Raise where a vector is null, of another width than the names, or holds a null or non-finite
+    cell, or where a label is missing; one pass, the message gives the counts."""
+    cells = F.coalesce("features", F.array().cast("array<double>"))
+    bad = {
+        "null vectors": F.col("features").isNull(),
+        f"vectors of another width than {width}": F.col("features").isNotNull() & (
+            F.size(cells) != width),
+        "vectors with a null or non-finite cell": F.exists(
+            cells, lambda x: F.coalesce(~(F.abs(x) < float("inf")), F.lit(True))),
+        "missing or non-finite labels": F.coalesce(~(F.abs("label") < float("inf")), F.lit(True)),
+    }
+    counts = points.agg(*[F.count_if(test).alias(what) for what, test in bad.items()]).first()
+    found = [f"{counts[what]} {what}" for what in bad if counts[what]]
+    if found:
+        raise ValueError("points cannot be used: " + ", ".join(found))
+
+
 def fit_by_gradient(points: DataFrame, masks: np.ndarray, run_of_model: Sequence[int],
                     spec: Algorithm, iterations: int = 100, tolerance: float = 1e-3
                     ) -> np.ndarray:
@@ -150,7 +178,7 @@ def fit_by_gradient(points: DataFrame, masks: np.ndarray, run_of_model: Sequence
 
 def _estimator(name: str, iterations: int):
     common = {"featuresCol": "used", "labelCol": "label", "fitIntercept": False,
-              "maxIter": iterations}
+              "standardization": False, "maxIter": iterations}
     spec = ALGORITHMS[name]
     if spec.loss == "hinge":
         return LinearSVC(regParam=spec.strength, **common)
@@ -164,13 +192,15 @@ def fit_by_estimator(points: DataFrame, masks: np.ndarray, run_of_model: Sequenc
                      iterations: int = 100) -> np.ndarray:
     """The same models by `pyspark.ml` estimators, one fit each."""
     masks = np.asarray(masks, dtype=bool)
-    vectors = points.select("label", "in_train", array_to_vector("features").alias("all"))
+    vectors = points.select("label", "in_train", array_to_vector("features").alias("all")).persist(
+        StorageLevel.MEMORY_AND_DISK)
     weights = np.zeros(masks.shape)
     for model, mask in enumerate(masks):
         kept = np.flatnonzero(mask)
         slicer = VectorSlicer(inputCol="all", outputCol="used", indices=[int(i) for i in kept])
         training = slicer.transform(vectors.where(F.col("in_train")[run_of_model[model]]))
         weights[model, kept] = _estimator(name, iterations).fit(training).coefficients.toArray()
+    vectors.unpersist()
     return weights
 
 

@@ -14,6 +14,7 @@ from cohortlens.functions.special import (
     INV_SQRT_2PI, double, horner, kolmogorov_p, let, normal_quantile, number, with_log_normal_cdf,
     with_normal_quantile,
 )
+from cohortlens.operators.observations import finite_only
 from cohortlens.operators.ranking import TASK_ROWS, ranked_runs
 from cohortlens.session import cut, lookup_side
 
@@ -54,9 +55,10 @@ def anderson_threshold(n: Column, level: float = 5.0) -> Column:
 
 
 def order_totals(values: DataFrame) -> DataFrame:
-    """(feature, n, mean, var_pop, min_value, max_value), fixed for the passes that follow."""
+    """(feature, n, mean, var_pop, min_value, max_value) of the finite values, fixed for the passes
+    that follow."""
     value = F.col("value")
-    return cut(values.groupBy("feature").agg(
+    return cut(finite_only(values).groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.mean(value).alias("mean"),
         F.var_pop(value).alias("var_pop"), F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
@@ -64,7 +66,7 @@ def order_totals(values: DataFrame) -> DataFrame:
 
 
 def _runs_with_totals(values: DataFrame, totals: DataFrame, task_rows: int) -> DataFrame:
-    runs = ranked_runs(values, ["feature"], "value", totals, task_rows)
+    runs = ranked_runs(finite_only(values), ["feature"], "value", totals, task_rows)
     return runs.join(lookup_side(totals), "feature")
 
 
@@ -217,7 +219,8 @@ def _assemble(joined: DataFrame) -> DataFrame:
     # three values have the exact weights sqrt(1/2), 0, -sqrt(1/2)
     total = F.when(n == 3, spread * 0.5 ** 0.5).otherwise(total)
     defined = (n >= 3) & (F.col("var_pop") > 0)
-    w = F.when(defined, F.least(total * total / (n * F.col("var_pop")), F.lit(1.0)))
+    w = total * total / (n * F.col("var_pop"))
+    w = F.when(defined, F.when(w > 1, F.when(F.isnan(w), w).otherwise(F.lit(1.0))).otherwise(w))
     a2 = F.when(F.col("var_pop") > 0, -n - F.col("anderson_total") / n)
     return joined.select("feature", "n", w.alias("shapiro_w"), a2.alias("anderson_a2"))
 

@@ -17,17 +17,27 @@ from cohortlens.session import lookup_side
 
 FAMILIES = ("Binary", "Numerical", "Categorical", "Other")
 
-# Flags of a value, packed into the low bits of its position: the value at the smallest position
-# can then be classified from one bigint minimum, which stays a hash aggregate (a minimum over
-# strings or structs would sort all rows first).
+# Flags of a value. Families follow from the smallest ids under conditions on them: bigint minima
+# stay a hash aggregate (a minimum over strings or structs would sort all rows first).
 _NUMBER, _ZERO_ONE, _UNKNOWN, _BOOLEAN = 1, 2, 4, 8
-_FLAG_SPAN = 16  # four bits
 
 
 def drop_missing(obs: DataFrame) -> DataFrame:
     return obs.where(~is_missing(F.col("raw")))
 
 
+def finite_only(values: DataFrame) -> DataFrame:
+    """(.., value) rows that statistics are taken over: null, NaN and infinite values count as
+    missing everywhere, so a feature keeps its other values."""
+    return values.where(F.abs("value") < float("inf"))  # NaN is larger than any number
+
+
+def non_finite_counts(values: DataFrame) -> DataFrame:
+    """(feature, n_non_finite): the values that `finite_only` leaves out, null ones not counted."""
+    left_out = F.col("value").isNotNull() & ~(F.abs("value") < float("inf"))
+    return values.groupBy("feature").agg(F.count_if(left_out).alias("n_non_finite"))
+
+
 def _flags(raw: Column, number: Column) -> Column:
     def bit(condition: Column, value: int) -> Column:
         return F.when(condition, F.lit(value)).otherwise(F.lit(0))
@@ -56,7 +66,7 @@ def feature_families(obs: DataFrame) -> DataFrame:
         )
     )
     flags = F.col("flags")
-    packed = F.col("sample_id") * _FLAG_SPAN + flags
+    position = F.col("sample_id")
     # two independent hashes stand in for "at least two distinct values"
     first_hash, second_hash = F.xxhash64("lowered"), F.hash("lowered")
     present = flags.isNotNull()
@@ -69,9 +79,15 @@ def feature_families(obs: DataFrame) -> DataFrame:
         .alias("differs_1"),
         (F.min(F.when(present, second_hash)) != F.max(F.when(present, second_hash)))
         .alias("differs_2"),
-        F.min(packed).alias("first_value"),
-        F.min(F.when(~_has(flags, _UNKNOWN), packed)).alias("first_known"),
-        F.min(F.when(~_has(flags, _ZERO_ONE), packed)).alias("first_not_01"),
+        # the smallest id under each condition; a flag holds for the first value of some kind where
+        # the smallest id with the flag is the smallest of the kind
+        F.min(F.when(present, position)).alias("first_value"),
+        F.min(F.when(_has(flags, _UNKNOWN), position)).alias("first_unknown"),
+        F.min(F.when(~_has(flags, _UNKNOWN), position)).alias("first_known"),
+        *[F.min(F.when(~_has(flags, _UNKNOWN) & _has(flags, flag), position)).alias(f"known_{name}")
+          for name, flag in (("number", _NUMBER), ("boolean", _BOOLEAN), ("zero_one", _ZERO_ONE))],
+        F.min(F.when(~_has(flags, _ZERO_ONE), position)).alias("first_not_01"),
+        F.min(F.when(~_has(flags, _ZERO_ONE) & _has(flags, _NUMBER), position)).alias("not_01_number"),
     )
 
     # Second unknown answer of a feature: the ranking limit is applied before the shuffle.
@@ -82,21 +98,21 @@ def feature_families(obs: DataFrame) -> DataFrame:
         .groupBy("feature").agg(F.max(F.when(F.col("nth") == 2, F.col("sample_id")))
                                 .alias("second_unknown"))
     )
-    first, known, not_01 = F.col("first_value"), F.col("first_known"), F.col("first_not_01")
-    known_position = F.shiftright(known, 4)
+    known, not_01 = F.col("first_known"), F.col("first_not_01")
     # The deciding value is the first one, or the second when the first is unknown.
     blocked = (
-        _has(first, _UNKNOWN) & F.col("second_unknown").isNotNull()
-        & (F.col("second_unknown") < known_position)
+        F.col("first_value").eqNullSafe(F.col("first_unknown")) & F.col("second_unknown").isNotNull()
+        & (F.col("second_unknown") < known)
     )
-    by_token = F.when(_has(known, _BOOLEAN), F.lit("Binary")).otherwise(F.lit("Categorical"))
+    by_token = F.when(F.col("known_boolean").eqNullSafe(known), F.lit("Binary")).otherwise(
+        F.lit("Categorical"))
     family = (
         F.when((F.col("n_valid") < 4) | ~(F.col("differs_1") | F.col("differs_2")), "Other")
         .when(known.isNull(), "Other")
-        .when(blocked | ~_has(known, _NUMBER), by_token)
-        .when(~_has(known, _ZERO_ONE), "Numerical")
+        .when(blocked | ~F.col("known_number").eqNullSafe(known), by_token)
+        .when(~F.col("known_zero_one").eqNullSafe(known), "Numerical")
         .when(not_01.isNull(), "Binary")
-        .when(_has(not_01, _NUMBER), "Numerical")
+        .when(F.col("not_01_number").eqNullSafe(not_01), "Numerical")
         .otherwise(by_token)
     )
     return summary.join(second_unknown, "feature", "left").select(
@@ -197,9 +213,13 @@ def patient_maps(values: DataFrame) -> DataFrame:
 
 def drop_positions(points: DataFrame, positions: list[int]) -> DataFrame:
     """Remove vector positions, several at once."""
-    gone = F.array(*[F.lit(p) for p in positions]).cast("array<int>")
-    kept = F.filter("features", lambda _, i: ~F.array_contains(gone, i))
-    return points.withColumn("features", kept)
+    gone = set(positions)
+    width = max(gone, default=-1) + 1
+    # one mask literal looked up by position; positions beyond it stay
+    mask = F.split(F.lit(",".join("false" if i in gone else "true" for i in range(width))), ",").cast(
+        "array<boolean>")
+    kept = F.filter("features", lambda _, i: F.coalesce(F.get(mask, i), F.lit(True)))
+    return points.withColumn("features", kept) if gone else points
 
 
 def distinct_in_order(items: DataFrame, key: str, position: str) -> DataFrame:

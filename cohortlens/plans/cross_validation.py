@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.elimination import best_models, next_features, random_schedule
 from cohortlens.operators.linear_models import (
-    algorithm, fit_by_estimator, fit_by_gradient, validation_errors,
+    algorithm, check_points, fit_by_estimator, fit_by_gradient, validation_errors,
 )
 from cohortlens.operators.splits import in_training
 
@@ -104,6 +104,7 @@ def cross_validate(points: DataFrame, features: Sequence[str], name: str, *,
     seeds = [seed + run for run in range(runs)]
     prepared = prepare(points, seeds, train_fraction).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        check_points(prepared, len(features))
         if order == "random":
             models, weights = _random_models(
                 prepared, features, name, seeds, drop, floor, engine, iterations, tolerance)

@@ -6,9 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def update_existing(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """`target` with every field of `updates` set where the key exists in both."""
-    fields = [name for name in updates.columns if name != key]
+def update_existing(target: DataFrame, updates: DataFrame, key: str,
+                    order: str | None = None) -> DataFrame:
+    """`target` with every field of `updates` set where the key exists in both.
+
+    Of several updates of a key the one with the largest `order` (a column of `updates`, not
+    written) counts, without one the largest row, so that a key never gives two rows.
+    """
+    fields = [name for name in updates.columns if name not in (key, order)]
+    if fields:
+        rank = [F.col(order)] if order else []
+        updates = updates.groupBy(key).agg(
+            F.max(F.struct(*rank, *fields)).alias("last")).select(
+            key, *[F.col("last")[name].alias(name) for name in fields])
+    else:
+        updates = updates.select(key).distinct()
     new = updates.select(
         F.col(key).alias("update_key"), *[F.col(name).alias(f"new_{name}") for name in fields]
     )

@@ -1,8 +1,10 @@
 import math
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import pytest
 
+from cohortlens.functions.hypergeometric import fisher_log_p
 from cohortlens.operators import correction as C
 from cohortlens.operators import enrichment as E
 
@@ -48,9 +50,51 @@ def test_fisher_large_counts(spark):
 
     want = sum(math.exp(log_pmf(x)) for x in range(400, 1800) if log_pmf(x) <= log_pmf(k) + 1e-7)
     assert E.fisher_tests(row).first()["p"] == pytest.approx(want, rel=1e-4)
-    # an impossible overlap for chance underflows to zero
-    far = spark.createDataFrame([("x", 50_000, 50_000, 50_000, 10 ** 9)], row.schema)
-    assert E.fisher_tests(far).first()["p"] == 0.0
+    # an impossible overlap for chance underflows to zero; its log does not
+    far = E.fisher_tests(spark.createDataFrame([("x", 50_000, 50_000, 50_000, 10 ** 9)], row.schema)).first()
+    assert far["p"] == 0.0 and -300_000 < far["log10_p"] < -100_000
+
+
+def exact_log10(a, b, c, d):
+    """Sum of all likelihoods by their ratios, in decimals of 60 digits."""
+    marked, drawn, rest = a + c, a + b, d - a
+    with localcontext() as context:
+        context.prec, context.Emin, context.Emax = 60, -10 ** 9, 10 ** 9
+        weights, w = {a: Decimal(1)}, Decimal(1)
+        for x in range(a, min(marked, drawn)):
+            w = w * (marked - x) * (drawn - x) / ((x + 1) * (rest + x + 1))
+            weights[x + 1] = w
+        w = Decimal(1)
+        for x in range(a, max(0, -rest), -1):
+            w = w * x * (rest + x) / ((marked - x + 1) * (drawn - x + 1))
+            weights[x - 1] = w
+        rare = sum(v for v in weights.values() if v <= 1 + Decimal("1e-7"))
+        return float((rare / sum(weights.values())).log10())
+
+
+STRONG = [(5550, 4450, 994450, 995550), (6000, 4000, 994000, 996000), (800, 200, 99200, 99800),
+          (700, 300, 99300, 99700), (20, 980, 99980, 899020), (4450, 5550, 995550, 994450)]
+# overlaps 12, 20 and 40 deviations from the expected 500 of 1,000 drawn
+STRONG += [(500 + s * t * 16, 500 - s * t * 16, 50_000 - s * t * 16, 50_000 + s * t * 16)
+           for t in (12, 20, 31) for s in (1, -1)] + [(3000 + s * 40 * 37, 3000 - s * 40 * 37, 97_000, 97_000)
+                                                      for s in (1, -1)]
+
+
+@pytest.mark.parametrize("table", STRONG)
+def test_strong_tables_equal_exact_sums(table):
+    want = exact_log10(*table)
+    got = fisher_log_p(*table) / math.log(10)
+    assert abs(got - want) * math.log(10) < 1e-9 * max(1.0, abs(want) / 100)
+
+
+def test_order_that_depends_on_the_far_tail(spark):
+    """The near tails alone would rank these two the other way round."""
+    tables = {"even": (800, 200, 99_200, 99_800), "odd": (799, 201, 99_000, 99_801)}
+    exact = {k: exact_log10(*t) for k, t in tables.items()}
+    rows = spark.createDataFrame([(k, *t) for k, t in tables.items()],
+                                 "pathway string, a bigint, b bigint, c bigint, d bigint")
+    order = [r["pathway"] for r in E.top_pathways(E.fisher_tests(rows)).collect()]
+    assert order == sorted(exact, key=exact.get)
 
 
 def test_overlap_counts_distinct(spark):
