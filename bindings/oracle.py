@@ -192,6 +192,14 @@ SELECT file_id, unnest(range(len(names)))::BIGINT AS pos, unnest(names) AS featu
   SELECT doc_id AS file_id, string_split(split_part(text, chr(10), 1), ' ') AS names
   FROM documents)"""
 
+ORACLE["feature_names_line"] = """
+SELECT unnest(range(len(names)))::BIGINT AS pos, unnest(names) AS feature FROM (
+  SELECT string_split(string_agg(n_name, ' ' ORDER BY n_name), ' ') AS names FROM nation)"""
+
+ORACLE["feature_lines"] = f"""
+SELECT 'v' || vec_id AS feature, unnest(range(len(embedding)))::BIGINT AS sample_id,
+  {r6('unnest(embedding)::DOUBLE')} AS value FROM embeddings"""
+
 ORACLE["study_scan"] = """
 SELECT source || '-' || doc_id AS "FeatureName", md5(text) AS digest,
   length(text)::BIGINT AS n_chars
@@ -385,6 +393,22 @@ WITH {NUMERIC_VERDICT}
 SELECT feature, n, {r6('w')} AS w, {r6('a2')} AS a2, anderson_critical, shapiro_critical,
   distribution FROM verdict"""
 
+ORACLE["anderson_levels"] = f"""
+WITH {NUMERIC}, {order_statistics('numeric_study', scored=False)}, {ANDERSON}
+SELECT feature, level, round(value/(1 + 4.0/n - 25.0/(n*n)), 3) AS critical,
+  a2 < round(value/(1 + 4.0/n - 25.0/(n*n)), 3) AS below
+FROM stats LEFT JOIN anderson USING (feature, n), (VALUES (15.0::DOUBLE, 0.576::DOUBLE),
+  (10.0, 0.656), (5.0, 0.787), (2.5, 0.918), (1.0, 1.092)) v(level, value)"""
+
+ORACLE["non_finite_counts"] = f"""
+WITH {NUMERIC} SELECT feature, count(*) FILTER (odd) AS n_non_finite, count(*) FILTER (NOT odd) AS n,
+  {r6('avg(x) FILTER (NOT odd)')} AS mean
+FROM (SELECT *, sample_id % 50 = 0 OR sample_id % 70 = 1 AS odd FROM numeric_study) GROUP BY feature"""
+
+ORACLE["anova_members"] = f"""
+WITH {NUMERIC}, spread AS (SELECT feature, stddev_pop(x) AS s FROM numeric_study GROUP BY feature)
+SELECT round_even(s, 2) AS std_bucket, feature FROM spread"""
+
 ORACLE["ks_uniform"] = f"""
 WITH {GAPPY}, limits AS (
   SELECT feature, count(*) AS n, min(x) AS lo, max(x) AS hi FROM gappy GROUP BY 1),
@@ -441,6 +465,13 @@ ORACLE["pearson_matrix"] = f"""
 WITH {BOTH_STUDIES}, {pairs('both_studies')}, {matrix('', 'x', 'y', 'aligned')}
 SELECT {MATRIX_COLUMNS} FROM matrix"""
 
+ORACLE["pearson_non_finite"] = f"""
+WITH {NUMERIC}, finite AS (SELECT * FROM numeric_study
+  WHERE NOT (sample_id % 50 = 0 AND feature = 'd03')
+    AND (NOT (sample_id % 70 = 1 AND feature < 'd02') OR sample_id % 50 = 0 AND feature = 'd03')),
+{pairs('finite')}, {matrix('', 'x', 'y', 'aligned')}
+SELECT {MATRIX_COLUMNS} FROM matrix"""
+
 ORACLE["spearman_matrix"] = f"""
 WITH {GAPPY}, {pairs('gappy')}, pair_ranks AS (
   SELECT feature_x, feature_y,
@@ -567,6 +598,14 @@ WITH {BRANDS}, top AS (SELECT * FROM tests ORDER BY log10_p, pathway LIMIT 5)
 SELECT pathway, a, {r6('p')} AS p, {r6('log10_p')} AS log10_p,
   {r6('least(1.0, p*(SELECT count(*) FROM top))')} AS p_corrected FROM top"""
 
+ORACLE["enrichment_document"] = f"""
+WITH {BRANDS}, top AS (SELECT * FROM tests ORDER BY log10_p, pathway LIMIT 5),
+ranked AS (SELECT *, row_number() OVER (ORDER BY log10_p, pathway) - 1 AS pos FROM top)
+SELECT pos, pathway, {r6('least(1.0, p*(SELECT count(*) FROM top))')} AS p,
+  (SELECT pathway FROM ranked WHERE pos = 0) AS top, (SELECT count(*) FROM ids) AS n_genes,
+  'Bonferroni' AS correction, 'returned parts' AS custom, 'Completed' AS status FROM ranked"""
+ORACLE["gene_listing"] = ORACLE["symbol_to_id"]
+
 N_TESTS = "(SELECT count(*) FROM tests)"
 SIDAK = f"least(1.0, p*0.05/(1 - power(0.95, 1.0/{N_TESTS})))"
 ORACLE["correct_bonferroni"] = f"""

@@ -71,6 +71,23 @@ def feature_names(spark, d):
     return readers.header_names(files).select("file_id", big(F.col("pos")).alias("pos"), "feature")
 
 
+@query
+def feature_names_line(spark, d):
+    """The names of the nations as one header line."""
+    lines = X.table(spark, d, "nation").agg(
+        F.array_join(F.array_sort(F.collect_list("n_name")), " ").alias("line"))
+    return readers.feature_names(lines).select(big(F.col("pos")).alias("pos"), "feature")
+
+
+@query
+def feature_lines(spark, d):
+    lines = X.table(spark, d, "embeddings").select(F.concat(
+        F.lit("v"), "vec_id", F.lit("\t"),
+        F.array_join(F.col("embedding").cast("array<double>"), "\t")).alias("line"))
+    return readers.feature_lines(lines).select(
+        "feature", "sample_id", r6(to_number(F.col("raw"))).alias("value"))
+
+
 @query
 def study_scan(spark, d):
     documents = X.table(spark, d, "documents").select(
@@ -293,6 +310,42 @@ def normality_verdict(spark, d):
         "anderson_critical", "shapiro_critical", "distribution")
 
 
+@query
+def anderson_levels(spark, d):
+    """Verdict of the Anderson-Darling test at every level."""
+    found = N.anderson_a2(X.numeric_study(spark, d))
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), N.anderson_threshold(F.col("n"), level).alias("critical"))
+                       for level in (15.0, 10.0, 5.0, 2.5, 1.0)])
+    return found.select("feature", "anderson_a2", F.inline(levels)).select(
+        "feature", "level", "critical", (F.col("anderson_a2") < F.col("critical")).alias("below"))
+
+
+@query
+def non_finite_counts(spark, d):
+    """Embedding cells with every 50th vector infinite and every 70th not a number."""
+    key = F.col("sample_id")
+    odd = F.when(key % 50 == 0, F.lit(float("inf"))).when(key % 70 == 1, F.lit(float("nan")))
+    study = X.numeric_study(spark, d).withColumn("value", F.coalesce(odd, "value"))
+    kept = O.finite_only(study).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"))
+    return O.non_finite_counts(study).join(kept, "feature")
+
+
+@query
+def pearson_non_finite(spark, d):
+    key = F.col("sample_id")
+    odd = F.when((key % 50 == 0) & (F.col("feature") == "d03"), F.lit(float("-inf"))).when(
+        (key % 70 == 1) & (F.col("feature") < "d02"), F.lit(float("nan")))
+    study = X.numeric_study(spark, d).withColumn("value", F.coalesce(odd, "value"))
+    return _matrix(C.pearson_matrix(study))
+
+
+@query
+def anova_members(spark, d):
+    study = X.numeric_study(spark, d)
+    return A.anova_members(N.order_totals(study))
+
+
 @query
 def ks_uniform(spark, d):
     return N.ks_uniform(X.gappy_study(spark, d)).select(
@@ -428,6 +481,29 @@ def enrichment_top5(spark, d):
     return _top(spark, d, "Bonferroni")
 
 
+@query
+def enrichment_document(spark, d):
+    ids = X.returned_parts(spark, d)
+    top = PE.enrich(X.brand_links(spark, d), ids, "Bonferroni", universe=X.part_universe(spark, d))
+    document = PE.enrichment_document(top, ids, "Bonferroni", "returned parts")
+    return document.select(
+        F.posexplode("TopPathways").alias("pos", "t"), "KeggTopPathway", "NumberOfGenes", "Correction",
+        "CustomField", "Status").select(
+        big(F.col("pos")).alias("pos"), F.col("t.pathway").alias("pathway"), r6(F.col("t.p")).alias("p"),
+        F.col("KeggTopPathway").alias("top"), F.col("NumberOfGenes").alias("n_genes"),
+        F.col("Correction").alias("correction"), F.col("CustomField").alias("custom"),
+        F.col("Status").alias("status"))
+
+
+@query
+def gene_listing(spark, d):
+    symbols = X.table(spark, d, "orders").select(
+        F.format_string("Customer#%09d", F.col("o_custkey") * 2).alias("symbol"))
+    mapping = X.table(spark, d, "customer").select(
+        F.col("c_name").alias("symbol"), F.col("c_custkey").alias("gene_id"))
+    return PE.gene_listing(symbols, mapping)
+
+
 def _corrected(spark, d, method) -> DataFrame:
     return M.correct(_brand_tests(spark, d).select("pathway", "p"), method).select(
         "pathway", r6(F.col("p")).alias("p"), r6(F.col("p_corrected")).alias("p_corrected"))

@@ -53,16 +53,20 @@ def with_names(top: DataFrame, names: DataFrame) -> DataFrame:
     return top.join(names, "pathway", "left")
 
 
-def enrichment_document(top: DataFrame, gene_ids: DataFrame) -> DataFrame:
-    """One result row: the top pathways in order of p and the size of the gene list."""
-    pathways = top.agg(F.array_sort(F.collect_list(F.struct("p", "pathway", "p_corrected")))
+def enrichment_document(top: DataFrame, gene_ids: DataFrame, correction: str | None = None,
+                        custom: str | None = None) -> DataFrame:
+    """One result row: the top pathways in order of p, the first of them, the size of the gene list
+    and the settings. The list itself is the table `gene_listing`."""
+    pathways = top.agg(F.array_sort(F.collect_list(F.struct("log10_p", "pathway", "p_corrected")))
                        .alias("ranked")).select(
         F.transform("ranked", lambda t: F.struct(
             t["pathway"].alias("pathway"), t["p_corrected"].alias("p"))).alias("TopPathways"))
     size = gene_ids.agg(F.count_distinct("gene_id").alias("NumberOfGenes"))
     return pathways.join(F.broadcast(size), F.lit(True)).select(  # one row each
-        "TopPathways", "NumberOfGenes", F.current_timestamp().alias("EndTime"),
-        F.lit("Completed").alias("Status"))
+        "TopPathways", F.get("TopPathways", F.lit(0))["pathway"].alias("KeggTopPathway"),
+        "NumberOfGenes", F.lit(correction).cast("string").alias("Correction"),
+        F.lit(custom).cast("string").alias("CustomField"),
+        F.current_timestamp().alias("EndTime"), F.lit("Completed").alias("Status"))
 
 
 def gene_listing(symbols: DataFrame, symbol_map: DataFrame) -> DataFrame:

@@ -6,17 +6,30 @@ Each parser takes a DataFrame with a string column, so that the same code serves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.tokens import to_number
+from cohortlens.session import cut, lookup_side
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a row id that follows file order."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("sample_id"), F.col("value").alias("line")
-    )
+    """Text lines with a row id: the file's place in name order times 2^40 plus the line's place in
+    the file. Ids do not depend on how files are split: lines are numbered within each split, and
+    the lines of the splits before are added.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    splits = rows.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file, then per split
+    files = splits.select("file").distinct().withColumn("place", F.row_number().over(Window.orderBy("file")) - 1)
+    starts = cut(splits.join(files, "file").select(
+        "file", "block", (F.col("place") * (1 << 40) + F.coalesce(F.sum("n").over(before), F.lit(0))
+                          - F.col("first")).alias("shift")))
+    return rows.join(lookup_side(starts), ["file", "block"]).select(
+        (F.col("row") + F.col("shift")).alias("sample_id"), "line")
 
 
 def labeled_points(lines: DataFrame, line: str = "line", id_col: str = "sample_id") -> DataFrame:

@@ -109,3 +109,20 @@ def test_one_update_per_key(spark):
 def test_members_of_buckets(spark):
     summary = spark.createDataFrame([("a", 1.0), ("b", 1.001), ("c", 9.0)], "feature string, var_pop double")
     assert sorted(map(tuple, anova.anova_members(summary).collect())) == [(1.0, "a"), (1.0, "b"), (3.0, "c")]
+
+
+def test_line_ids_do_not_depend_on_splits(spark, tmp_path):
+    from cohortlens.sources import readers
+
+    for name, n in (("b.txt", 700), ("a.txt", 900)):
+        (tmp_path / name).write_text("".join(f"{name} {k}\n" for k in range(n)))
+    seen = []
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        seen.append(sorted((r["sample_id"], r["line"]) for r in readers.read_lines(spark, str(tmp_path)).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == seen[1]
+    assert [line for _, line in seen[0]] == [f"a.txt {k}" for k in range(900)] + [f"b.txt {k}" for k in range(700)]
+    assert seen[0][0][0] == 0 and seen[0][900][0] == 1 << 40
