@@ -7,6 +7,7 @@ from cohortlens.llm import (
     byte_bpe,
     embedding_dedup,
     language_id,
+    license_scan,
     minhash_dedup,
     packing,
     pii,
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_jump_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
     "op5_pii": pii.query,
+    "op6_license_scan": license_scan.query,
     "op7_quality_rules": quality_rules.query,
     "op8_language_id": language_id.query,
     "op9_embedding_dedup": embedding_dedup.query,
@@ -29,5 +31,6 @@ QUERIES = {
 }
 ORACLE = {
     "op4_url_filter": url_filter.ORACLE,
+    "op6_license_scan": license_scan.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
