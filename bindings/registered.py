@@ -378,7 +378,8 @@ def spearman_matrix(spark, d):
 
 @query
 def corr_heatmap(spark, d):
-    cells = C.heatmap_cells(C.pearson_matrix(X.numeric_study(spark, d)))
+    study = X.numeric_study(spark, d)
+    cells = C.heatmap_cells(C.pearson_matrix(study), study.select("feature"))
     return cells.select("row", "col", "feature_x", "feature_y", r6(F.col("cell")).alias("cell"))
 
 

@@ -274,14 +274,17 @@ def _rank_touched(values: DataFrame, touched: DataFrame, task_rows: int) -> Data
     )
 
 
-def heatmap_cells(matrix: DataFrame) -> DataFrame:
-    """(row, col, feature_x, feature_y, cell): positions in name order, values under 0.001 as 0."""
-    matrix = cut(matrix.select("feature_x", "feature_y", "r"))  # read twice below
-    labels = matrix.select("feature_x").distinct()
+def heatmap_cells(matrix: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """(row, col, feature_x, feature_y, cell): positions in name order, values under 0.001 as 0.
+
+    `features` (feature) names the rows where the caller has them at hand; otherwise they are read
+    off the diagonal, which evaluates `matrix` once more. Nothing of the matrix is written out.
+    """
+    if features is None:
+        features = matrix.where("feature_x = feature_y").select(F.col("feature_x").alias("feature"))
     # the numbering window runs over one row per feature
-    order = labels.select(
-        F.col("feature_x").alias("label"),
-        (F.row_number().over(Window.orderBy("feature_x")) - 1).cast("bigint").alias("pos"))
+    order = features.select(F.col("feature").alias("label")).distinct().select(
+        "label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("pos"))
     order = lookup_side(order)
     rows = order.select(F.col("label").alias("feature_x"), F.col("pos").alias("row"))
     cols = order.select(F.col("label").alias("feature_y"), F.col("pos").alias("col"))
