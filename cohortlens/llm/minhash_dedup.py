@@ -147,8 +147,11 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs whose union sketch (the SKETCH smallest values of both) does not rule the link out."""
-    side = sets.select("rep", "n", "sketch")
+    """Pairs whose union sketch (the SKETCH smallest values of both) does not rule the link out. The
+    upper halves of the values are sent; they keep the order, and the bounds leave room for two
+    that coincide."""
+    upper = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
+    side = sets.select("rep", "n", upper.alias("sketch"))
     joined = pairs.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
     least = like.sketch_overlap()
 
@@ -164,10 +167,10 @@ def estimated(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
                 both = set(s_a).intersection(s_b)
                 union = sorted(set(s_a).union(s_b))
                 if n_a + n_b - len(both) <= SKETCH and large <= SKETCH:
-                    ok.append(len(both) * 100 >= like.percent * len(union))
+                    ok.append((len(both) + 1) * 100 >= like.percent * len(union))
                 else:
                     last = union[:SKETCH][-1]
-                    ok.append(sum(v <= last for v in both) >= min(least, len(union)))
+                    ok.append(sum(v <= last for v in both) >= min(least, len(union)) - 1)
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)).filter(mask) for c in "ab"], names=["a", "b"])
@@ -301,10 +304,18 @@ def links(docs: DataFrame, sketched: DataFrame, like: Likeness, id_col: str, tex
     ).drop("digest"))
     plain = inverted_lists(sets, like)
     lists = stored(with_hubs(plain, TURNS[:HUBS]))
-    ids = stored(lists.select(F.col("rep").alias("id")).distinct())
-    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where(
-        "text is not null").join(lookup_side(ids), "id", "left_semi"))
-    found = stored(verified(estimated(hub_pairs(lists), sets, like), texts, like))
+    met = stored(sets.join(lists.select("rep").distinct(), "rep", "left_semi"))
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return stored(whole.join(lookup_side(ids.distinct()), "id", "left_semi"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = stored(estimated(pairs, met, like))
+        ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+        return stored(verified(likely, texts_of(ends), like))
+
+    found = confirmed(hub_pairs(lists))
     left = None
     for turn in range(1, len(TURNS) // HUBS + 1):
         parts = stored(components(found))
@@ -320,9 +331,11 @@ def links(docs: DataFrame, sketched: DataFrame, like: Likeness, id_col: str, tex
         pairs = hub_pairs(again).join(label.toDF("a", "l_a"), "a", "left").join(
             label.toDF("b", "l_b"), "b", "left").where(
             F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
-        more = stored(verified(estimated(pairs, sets, like), texts, like))
-        found = stored(found.unionByName(more))
-    full = verified(across(rest, texts, parts, like), texts, like)
+        found = stored(found.unionByName(confirmed(pairs)))
+    apart = rest.select(F.col("rep").alias("id")).unionByName(
+        parts.join(rest.select(F.col("label").alias("component")).distinct(), "component", "left_semi").select("id"))
+    texts = texts_of(apart)
+    full = verified(stored(across(rest, texts, parts, like)), texts, like)
     return stored(found.unionByName(full))
 
 
