@@ -20,8 +20,11 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The splitting pattern, white space being the Unicode property.
 PATTERN = regex.compile(public_tokenizers.PATTERN.replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})")
                         .replace(r"|\s+", r"|\p{White_Space}+").replace(r"[^\s", r"[^\p{White_Space}"))
-#: Characters of a block, whose distinct words are merged once, and slots of the rank map.
-BLOCK_CHARS, SLOTS = 8_000_000, 262_139
+#: Characters of a block, whose distinct words are merged once.
+BLOCK_CHARS = 8_000_000
+#: Sizes of the two hashes of the rank map, both prime, their factors, and what an empty cell
+#: holds.
+GROUPS, SLOTS, MIX, SPREAD, NOTHING = 32_749, 131_071, 1_640_531, 1_299_709, 1 << 62
 #: A fold takes as many steps as a word has merges, each over the whole word; longer words reach it
 #: with their merges done by `merged`, which needs n log n steps.
 LONG_WORD = 256
@@ -38,39 +41,53 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
             for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
 
 
-def rank_map(pairs: dict[tuple[int, int], int]) -> Column:
-    """The pairs as a literal: an array of slots by hash, each with the packed pairs of that hash."""
-    slots: list[list[int]] = [[] for _ in range(SLOTS)]
+def rank_map(pairs: dict[tuple[int, int], int]) -> tuple[Column, Column]:
+    """The pairs as two literal arrays, so that a lookup is two array reads: `shift` by a first hash
+    of the key says how far to move from a second hash in `cells`, which hold key and id packed.
+    Shifts are chosen so that every pair has a cell of its own."""
+    groups: dict[int, list[tuple[int, int]]] = {}
     for (left, right), rank in pairs.items():
         key = left << 16 | right
-        slots[key % SLOTS].append(key << 16 | rank)
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<array<bigint>>")
+        groups.setdefault(key * MIX % GROUPS, []).append((key, rank))
+    shift, cells = [0] * GROUPS, [NOTHING] * (2 * SLOTS)
+    for group, own in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+        if len({key * SPREAD % SLOTS for key, _ in own}) < len(own):
+            raise ValueError("two pairs agree in both hashes")
+        move = next(m for m in range(SLOTS) if all(cells[key * SPREAD % SLOTS + m] == NOTHING for key, _ in own))
+        shift[group] = move
+        for key, rank in own:
+            cells[key * SPREAD % SLOTS + move] = key << 16 | rank
 
+    def literal(values: list[int], kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
-def fold_merges(word: Column, slots: Column) -> Column:
+    return literal(shift, "bigint"), literal(cells, "bigint")
+
+
+def fold_merges(word: Column, ranks: tuple[Column, Column]) -> Column:
     """Ids of a word given as ids of its bytes: the leftmost pair of lowest rank is merged until no
     pair has a rank."""
-    def rank(left: Column, right: Column) -> Column:
-        key = left.cast("long") * 65536 + right
-        hit = F.filter(F.get(slots, F.pmod(key, F.lit(SLOTS)).cast("int")),
-                       lambda packed: F.shiftright(packed, 16) == key)
-        return F.get(hit, F.lit(0)).bitwiseAND(F.lit(65535)).cast("int")
+    shift, cells = ranks
+
+    def rank(key: Column) -> Column:
+        """The id of the pair; of a pair that is none, some number beyond all ids."""
+        at = F.pmod(key * SPREAD, F.lit(SLOTS)) + F.get(shift, F.pmod(key * MIX, F.lit(GROUPS)))
+        return F.get(cells, at).bitwiseXOR(F.shiftleft(key, 16))
 
     def step(state: Column, _: Column) -> Column:
         ids = state["ids"]
-        ranks = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda left, i: F.coalesce(
-            rank(left, F.get(ids, i + 1)), F.lit(65536)))
+        keys = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda left, i: left * 65536 + F.get(ids, i + 1))
 
         def merge(found: Column) -> Column:
-            best = F.array_min(found)
-            at = F.array_position(found, best).cast("int")
-            joined = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best),
-                              F.slice(ids, at + 2, F.size(ids)))
-            return F.when(best < 65536, F.struct(joined.alias("ids"), F.lit(True).alias("more"))).otherwise(
-                F.struct(ids.alias("ids"), F.lit(False).alias("more")))
+            return F.transform(F.array(F.array_min(found)), lambda best: F.when(
+                best < 65536, F.transform(F.array(F.array_position(found, best).cast("int")), lambda at: F.struct(
+                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+                    F.lit(True).alias("more")))[0]
+            ).otherwise(F.struct(ids.alias("ids"), F.lit(False).alias("more"))))[0]
 
-        # transform over a one-element array computes the ranks once for all their uses
-        return F.when(state["more"] & (F.size(ids) > 1), F.transform(F.array(ranks), merge)[0]).otherwise(state)
+        # transform over a one-element array computes a value once for all its uses
+        return F.when(state["more"] & (F.size(ids) > 1), F.transform(
+            F.array(F.transform(keys, rank)), merge)[0]).otherwise(state)
 
     return F.when(F.size(word) < 2, word).otherwise(F.aggregate(
         F.slice(word, 2, F.size(word)), F.struct(word.alias("ids"), F.lit(True).alias("more")), step,
@@ -99,7 +116,7 @@ def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [i for i, ok in zip(ids, alive) if ok]
 
 
-BLOCKS = "docs array<long>, doc_words array<array<int>>, words array<array<int>>"
+BLOCKS = "docs array<long>, doc_words array<array<int>>, words array<array<bigint>>"
 
 
 def blocks(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
@@ -127,7 +144,7 @@ def blocks(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
             return ids
 
         def block() -> pa.RecordBatch:
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32())))
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64())))
             values = ([docs_], [lists], [[start(w) for w in words]])
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(values, kinds)], names=["docs", "doc_words", "words"])
@@ -153,9 +170,9 @@ def blocks(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row: the ids of the whole text; empty for null. Copies are
     encoded like any text; each block holds a bounded amount of text, a longer text is its own."""
-    slots = rank_map(pair_ranks(read_ranks(path)))
+    ranks = rank_map(pair_ranks(read_ranks(path)))
     folded = blocks(docs, path, id_col, text).select(
-        "docs", "doc_words", F.transform("words", lambda w: fold_merges(w, slots)).alias("ids"))
+        "docs", "doc_words", F.transform("words", lambda w: fold_merges(w, ranks)).alias("ids"))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
