@@ -135,7 +135,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Tagger | None)
 
 def labelled_windows(docs: DataFrame, id_col: str, text: str) -> list[tuple[str, list[Span]]]:
     """Windows with the spans of the exact patterns in them, of a bounded sample of documents
-    drawn by a hash of their id."""
+    drawn by a hash of their id: some around spans, some around other digits and at signs."""
     n = docs.count()
     draw = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     some = docs.where(draw * n < SAMPLE_DOCS).select(F.col(text).alias("text")).where("text is not null")
@@ -145,8 +145,10 @@ def labelled_windows(docs: DataFrame, id_col: str, text: str) -> list[tuple[str,
             parts, labels = [], []
             for value in batch.column(0).to_pylist():
                 spans, rng = base_spans(value), random.Random(len(value))
-                for low, high in regions_of(value)[:WINDOWS_PER_DOC]:
-                    start = max(0, min(low + rng.randrange(16), high - WINDOW))
+                places = [max(0, a - rng.randrange(max(1, WINDOW - (b - a)))) for _, a, b in spans]
+                near = [rng.randrange(low, max(low + 1, high - WINDOW + 1)) for low, high in regions_of(value)]
+                for start in [k for own in (places, near)
+                              for k in rng.sample(own, min(len(own), WINDOWS_PER_DOC))]:
                     parts.append(value[start:start + WINDOW])
                     labels.append(written([
                         (k, max(a, start) - start, min(b, start + WINDOW) - start)
