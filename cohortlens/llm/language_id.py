@@ -20,6 +20,8 @@ WINDOW, PAD, WIDTHS = 256, 256, (2, 3, 4)
 #: Bound of the training sample: documents of each language and windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
 CHUNK = 192
+#: Small samples are gone through as often as this many batches need.
+LEAST_STEPS = 300
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -80,7 +82,7 @@ def train(windows: list[bytes], labels: list[str], dims: int = 8, per_width: int
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
     second = {n: np.zeros_like(getattr(net, n)) for n in names}
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, LEAST_STEPS // -(-len(x) // batch))):
         order = rng.permutation(len(x))
         for start in range(0, len(x), batch):
             own = order[start:start + batch]

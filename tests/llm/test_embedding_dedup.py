@@ -17,7 +17,7 @@ def true_links(rows, bound=0.95):
 
     for i, a in enumerate(usable):
         for b in usable[i + 1:]:
-            x, y = np.array(rows[a][1]), np.array(rows[b][1])
+            x, y = (np.array(rows[k][1]) / np.abs(rows[k][1]).max() for k in (a, b))
             if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= bound:
                 degree[a] += 1
                 degree[b] += 1

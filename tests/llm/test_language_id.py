@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from cohortlens.llm import language_id as g
 from tests.llm.helpers import DOCS, documents
 
@@ -18,7 +20,7 @@ def test_learns_from_its_part_only(spark):
         "doc_id", "text", "if(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, 'xx', 'de') as lang")
     net = g.fit(docs)
     assert net.languages == ["de"]
-    held = g.identify(docs, net).where(g.in_held_out(docs["doc_id"])).collect()
+    held = g.identify(docs, net).where(g.in_held_out(F.col("doc_id"))).collect()
     assert held and {(r["lang_pred"], r["score"]) for r in held} == {("de", 1.0)}
 
 
