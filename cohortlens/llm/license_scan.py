@@ -165,15 +165,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ).withColumnRenamed("id", "doc_id")
 
 
-def _oracle() -> str:
+def tree_path() -> Column:
+    """Documents as files of a tree whose inner folders hold files too: source / five thousands /
+    five hundreds / hundreds / id, of which every fifth document of a source stops at one of the
+    three folders above."""
+    doc = F.col("doc_id")
+    turn = F.floor(doc / 20) % 15
+    steps = [F.when(turn >= k, F.floor(doc / size).cast("string")) for k, size in enumerate((5000, 500, 100), 1)]
+    return F.concat_ws("/", "source", *steps, F.concat(doc.cast("string"), F.lit(".txt")))
+
+
+def tree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in `tree_path`; each that states a licence itself is a licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return scan(docs, "doc_id", tree_path(), states_folder=F.lit(True)).withColumnRenamed("id", "doc_id")
+
+
+def _oracle(path: str | None = None, stated: str | None = None) -> str:
     index = TemplateIndex()
+    path = path or "source || '/' || (doc_id // 1000) || '/' || (doc_id // 10) || '/' || doc_id || '.txt'"
+    stated = stated or (f"coalesce(regexp_matches(lower(split_part(text, chr(10), 1)), "
+                        f"'{index.pattern()}'), false)")
     idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in sorted(index.idf.items()))
     rows = ", ".join(f"({k}, '{name}', '{t}', {w!r}::DOUBLE)" for k, name, t, w in index.rows)
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH idf(token, idf) AS (VALUES {idf}), template(k, name, token, weight) AS (VALUES {rows}),
-docs AS (SELECT doc_id, source || '/' || (doc_id // 1000) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' AS path,
-    {lower} AS t, coalesce(regexp_matches(lower(split_part(text, chr(10), 1)), '{index.pattern()}'), false) AS stated
+docs AS (SELECT doc_id, {path} AS path,
+    {lower} AS t, {stated} AS stated
   FROM documents),
 pieces AS (SELECT doc_id, list_filter(regexp_split_to_array(
     regexp_replace(t, '([.!?;])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: s <> '') AS p FROM docs),
@@ -201,3 +220,8 @@ FROM named LEFT JOIN nearest USING (doc_id)"""
 
 
 ORACLE = _oracle()
+_TURN = "(doc_id // 20) % 15"
+TREE_ORACLE = _oracle(
+    f"concat_ws('/', source, CASE WHEN {_TURN} >= 1 THEN (doc_id // 5000)::VARCHAR END, "
+    f"CASE WHEN {_TURN} >= 2 THEN (doc_id // 500)::VARCHAR END, "
+    f"CASE WHEN {_TURN} >= 3 THEN (doc_id // 100)::VARCHAR END, doc_id || '.txt')", "true")

@@ -23,6 +23,7 @@ QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_pii": pii.query,
     "op6_license_scan": license_scan.query,
+    "op6_license_tree": license_scan.tree_query,
     "op7_quality_rules": quality_rules.query,
     "op8_language_id": language_id.query,
     "op9_embedding_dedup": embedding_dedup.query,
@@ -32,5 +33,6 @@ QUERIES = {
 ORACLE = {
     "op4_url_filter": url_filter.ORACLE,
     "op6_license_scan": license_scan.ORACLE,
+    "op6_license_tree": license_scan.TREE_ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }

@@ -73,6 +73,13 @@ def test_query_equals_the_sql(spark):
     assert difference(s.query(spark, SF), duck(SF), s.ORACLE) is None
 
 
+def test_documents_in_a_tree_inherit_from_several_levels(spark):
+    rows = s.tree_query(spark, SF)
+    assert difference(rows, duck(SF), s.TREE_ORACLE) is None
+    up = {r["path"].count("/") - 1 - r["folder"].count("/") for r in rows.where("origin = 'inherited'").collect()}
+    assert len(up - {0}) > 1
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id int, path string, text string")
     assert s.scan(empty, "id", F.col("path")).count() == 0
