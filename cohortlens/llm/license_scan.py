@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import stored, table
+from cohortlens.llm.quality_rules import STOP_WORDS
 from cohortlens.session import lookup_side
 
 #: Usual notices of each licence.
@@ -31,7 +32,58 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+_GNU = (("GPL", "GNU General Public License"), ("LGPL", "GNU Lesser General Public License"),
+        ("AGPL", "GNU Affero General Public License"))
+_GNU_DATES = (("GPL-2.0", "2, June 1991"), ("GPL-3.0", "3, 29 June 2007"), ("LGPL-2.1", "2.1, February 1999"),
+              ("LGPL-3.0", "3, 29 June 2007"), ("AGPL-3.0", "3, 19 November 2007"))
+_SPDX = ("Apache-2.0 Apache-1.1 MIT MIT-0 ISC Zlib BSL-1.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD MPL-1.1 MPL-2.0 "
+         "EPL-1.0 EPL-2.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 "
+         "CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 Unlicense WTFPL").split()
+#: Titles, usual headers, SPDX lines and longer passages; compared with windows of their own length.
+PASSAGES = (
+    *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
+    *((name, f"SPDX-License-Identifier: {name}{form}") for name, _ in (*_GNU_DATES, ("GPL-1.0", ""))
+      for form in ("", "-only", "-or-later")),
+    *((name, f"{dict(_GNU)[name.split('-')[0]]} Version {date}") for name, date in _GNU_DATES),
+    *((f"{short}-{number}", f"you can redistribute it and/or modify it under the terms of the {title} as published by the "
+       f"Free Software Foundation; {form}")
+      for short, title in _GNU for number, word in (("2.0", "2"), ("2.1", "2.1"), ("3.0", "3"))
+      if (short, number) in {(n.split("-")[0], n.split("-")[1]) for n, _ in _GNU_DATES}
+      for form in (f"either version {word} of the License, or (at your option) any later version",
+                   f"version {word} of the License")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+     "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative "
+     "Works of, publicly display, publicly perform, sublicense, and distribute the Work"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "The MIT License (MIT) Copyright (c)"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+     "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all "
+     "of his or her rights to the work worldwide under copyright law"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+     "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+)
 THRESHOLD = 0.8
+#: Words that other texts hold often; they seed a window only where rarer ones do not suffice.
+COMMON = frozenset(STOP_WORDS) | {"only", "nd"}
 #: A file of such a name states the licence of its folder as a whole.
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -63,15 +115,33 @@ class TemplateIndex:
                 rest -= (weights[t] / norm) ** 2
         self.anchors = sorted(anchors)
         self.threshold = threshold
+        self.seeds, self.longest = [], max(sum(c.values()) for c in counts)
+        for k, ((_, text), c) in enumerate(zip(templates, counts)):
+            words = tokens_of(text)
+            rest, norm = 1.0, sum((n * self.idf[t]) ** 2 for t, n in c.items())
+            # rare words before short and common ones; without any of them no window reaches the threshold
+            for t in sorted(c, key=lambda t: (t in COMMON, len(t) < 3 or t.isdigit(), times[t], -len(t), t)):
+                if rest < threshold ** 2 - 1e-9:
+                    break
+                # lines and pairs of them are compared with short notices already
+                breaks = 2 if templates[k] in TEMPLATES else 0
+                self.seeds += [(k, t, at, len(words), breaks) for at, word in enumerate(words) if word == t]
+                rest -= (c[t] * self.idf[t]) ** 2 / norm
 
     def pattern(self) -> str:
         return f"(^|[^a-z0-9])({'|'.join(self.anchors)})([^a-z0-9]|$)"
 
+    def seed_pattern(self) -> str:
+        return f"(^|[^a-z0-9])({'|'.join(sorted({s[1] for s in self.seeds}))})([^a-z0-9]|$)"
+
+
+def pieces(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "[\r\n]+"), lambda s: s != "")
+
 
 def notices(text: Column) -> Column:
     """Sentences and lines of a whole text, each alone and with the one after it."""
-    pieces = F.filter(F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "[\r\n]+"), lambda s: s != "")
-    return F.transform(F.array(pieces), lambda p: F.concat(p, F.transform(
+    return F.transform(F.array(pieces(text)), lambda p: F.concat(p, F.transform(
         F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda s, i: F.concat(s, F.lit(" "), F.get(p, i + 1)))))[0]
 
 
@@ -103,26 +173,82 @@ def own_licenses(files: DataFrame, index: TemplateIndex) -> DataFrame:
     return best.select("id", "path", "mark", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
 
 
+def windowed_licenses(files: DataFrame, index: TemplateIndex) -> DataFrame:
+    """As `own_licenses`, over windows of words: each seed word of a template in the text lays one
+    window of the template's length where the template would lie."""
+    spark, reach = files.sparkSession, index.longest
+    key = ["id", "path", "mark"]
+    seeds = sorted({s[1] for s in index.seeds})
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def around(words: Column) -> Column:
+        """Seed words of the text with `reach` words on either side."""
+        at = F.filter(F.transform(words, lambda w, i: F.struct(w.token.alias("token"), i.alias("i"))),
+                      lambda s: s.token.isin(seeds))
+        return F.transform(at, lambda s: F.struct(
+            s.token.alias("token"), s.i.alias("i"), F.greatest(s.i - reach, F.lit(0)).alias("first"),
+            F.slice(words, F.greatest(s.i - reach, F.lit(0)) + 1, 2 * reach).alias("words")))
+
+    words = F.flatten(F.transform(pieces(F.col("lowered")), lambda p, k: F.transform(
+        F.array_remove(F.split(p, "[^a-z0-9]+"), ""), lambda w: F.struct(w.alias("token"), k.alias("piece")))))
+    hits = files.select(*key, lowered.alias("lowered")).where(F.col("lowered").rlike(index.seed_pattern())).select(
+        *key, F.inline(F.transform(F.array(words), around)[0]))
+    cells: dict[int, list] = {}
+    for k, _, t, w in index.rows:
+        cells.setdefault(k, []).append((t, w * w))
+    laid = F.broadcast(spark.createDataFrame(
+        [(*seed, cells[seed[0]]) for seed in index.seeds], "template int, token string, at int, length int, breaks int, "
+        "cells array<struct<token string, square double>>"))
+    # the root of a template's squared weights within a window bounds its cosine
+    covered = F.aggregate("cells", F.lit(0.0), lambda total, c: total + F.when(
+        F.array_contains(F.col("words.token"), c.token), c.square).otherwise(0.0))
+    start = F.greatest(F.col("i") - F.col("at"), F.lit(0))
+    windows = hits.join(laid, "token").select(
+        *key, "template", start.alias("start"), F.slice("words", start - F.col("first") + 1, F.col("length")).alias("words"),
+        "breaks", "cells").where((F.element_at("words", -1).piece - F.element_at("words", 1).piece >= F.col("breaks"))
+                                 & (covered >= index.threshold ** 2 - 1e-9)
+                                 ).drop("cells").dropDuplicates([*key, "template", "start"])
+    counted = windows.select(*key, "template", "start", F.explode("words.token").alias("token")).groupBy(
+        *key, "template", "start", "token").agg(F.count(F.lit(1)).alias("n"))
+    idf = F.broadcast(spark.createDataFrame(sorted(index.idf.items()), "token string, idf double"))
+    templates = F.broadcast(spark.createDataFrame(
+        [(k, t, w) for k, _, t, w in index.rows], "template int, token string, weight double"))
+    weighed = counted.join(idf, "token", "left").join(templates, ["template", "token"], "left").withColumn(
+        "w", F.col("n") * F.coalesce("idf", F.lit(index.other)))
+    scored = weighed.groupBy(*key, "template", "start").agg(
+        (F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
+    names = F.broadcast(spark.createDataFrame(
+        sorted({(k, name) for k, name, _, _ in index.rows}), "template int, license string"))
+    return scored.where(F.col("score") >= index.threshold - 1e-9).join(names, "template").groupBy(*key).agg(
+        F.min(F.struct((-F.round("score", 6)).alias("minus"), "license")).alias("b")).select(
+        *key, F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
+
+
 def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
 def scan(files: DataFrame, id_col: str, path: Column, text: str = "text", states_folder: Column | None = None,
-         index: TemplateIndex | None = None) -> DataFrame:
+         index: TemplateIndex | None = None, passages: TemplateIndex | None = None) -> DataFrame:
     """(id, path, own_license, own_score, license, origin, folder) of every row of `files`.
 
-    A file has the licence that a notice in its whole text states (origin `own`); otherwise that of
+    A file has the licence that a notice in its whole text states (origin `own`): a line, a sentence
+    or two of them against `index`, and in texts where none of these does, windows of words against
+    `passages`, by default PASSAGES, and TEMPLATES over three lines or more. Otherwise it has that of
     the nearest folder above it, its own first, for which a licence file in the folder states one
     (`inherited`, with that folder); otherwise none (`none`). Files named like LICENSE or COPYING,
     or those that `states_folder` selects, are licence files; of several in one folder the smallest
     path counts. Null text has no notice, null path no folder. Repeated rows are judged alike.
     """
     index = index or TemplateIndex()
+    passages = passages or TemplateIndex(TEMPLATES + PASSAGES)
     stated = F.rlike(F.col("path"), F.lit(LICENSE_FILE)) if states_folder is None else states_folder
     rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text).alias("text")).select(
         "id", "path", "text", F.xxhash64("text").alias("mark"), F.coalesce(stated, F.lit(False)).alias("stated"))
-    own = stored(own_licenses(rows, index))
     keys = [F.col("r." + c).eqNullSafe(F.col("o." + c)) for c in ("id", "path", "mark")]
+    short = stored(own_licenses(rows, index))
+    rest = rows.alias("r").join(short.alias("o"), keys[0] & keys[1] & keys[2], "left_anti")
+    own = short.unionByName(stored(windowed_licenses(rest, passages)))
     named = stored(rows.select("id", "path", "mark", "stated").alias("r").join(
         own.alias("o"), keys[0] & keys[1] & keys[2], "left").select(
         "r.id", "r.path", "r.stated", folder_of(F.col("r.path")).alias("dir"), "o.license", "o.score"))

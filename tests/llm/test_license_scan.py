@@ -83,3 +83,26 @@ def test_documents_in_a_tree_inherit_from_several_levels(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id int, path string, text string")
     assert s.scan(empty, "id", F.col("path")).count() == 0
+
+
+def test_headers_titles_and_wrapped_notices(spark):
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+           "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    mit = ("MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a "
+           "copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+           "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+           "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+           "following conditions:\n\nThe above copyright notice shall be included in all copies.")
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+           "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.")
+    cases = [
+        (gpl, "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + prose(300, 4), "GPL-3.0"),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n" + prose(300, 5), "Apache-2.0"),
+        (mit, "MIT"), (mpl, "MPL-2.0"), ("# SPDX-License-Identifier: MIT\nimport os\n" + prose(50, 6), "MIT"),
+        ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        (prose(900, 7) + "\nThis work is\nlicensed under the GNU\nGeneral Public License,\nversion 2", "GPL-2.0"),
+        ("SPDX-License-Identifier: Other-9", None), (prose(2000, 8), None),
+        ("the general version of this public license was released to any person under the sun in 2007", None),
+    ]
+    got = scanned(spark, [(f"d{k}/x", t) for k, (t, _) in enumerate(cases)])
+    assert [got[k]["license"] for k in range(len(cases))] == [c[1] for c in cases]
