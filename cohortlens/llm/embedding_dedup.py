@@ -15,12 +15,14 @@ from cohortlens.llm.common import components, slices, stored, table
 
 #: Vectors of a shard, queries that search it in one task, clusters at most.
 SHARD, QUERIES, MOST_CLUSTERS = 3000, 6000, 4096
-#: Bound of the sample that clusters are fitted on, and of the one that audits recall.
-SAMPLE, AUDIT = 20_000, 256
+#: Bound of the sample that clusters are fitted on, and of the one that audits recall: it grows up
+#: to the second bound until so many of its vectors have true links.
+SAMPLE, AUDIT, MOST_AUDIT, ENOUGH = 20_000, 256, 16_384, 32
 #: Out-degree, near and random candidates of the pruning, its slack; beam and entry points.
 DEGREE, NEAR, RANDOM, SLACK = 16, 40, 24, 1.2
 BEAM, MEDOIDS = 24, 8
-#: Clusters that a vector belongs to, and those that it searches, widened until the audit is met.
+#: Clusters that a vector belongs to, and those that it searches, widened until the audit is met,
+#: beyond the last by doubling up to all.
 MEMBERSHIPS, PROBES, RECALL = 2, (3, 6, 12), 0.95
 
 
@@ -280,19 +282,30 @@ def search(rows: DataFrame, probes: int, bound: float) -> DataFrame:
         seek, "vec_id long, found long, root long")
 
 
-def audit(classes: DataFrame, found: DataFrame, bound: float) -> float:
-    """Share of the true links of a bounded sample of vectors that were found: the sample is
-    compared with all vectors, in blocks."""
+def true_links(classes: DataFrame, bound: float) -> tuple[DataFrame, bool]:
+    """((rep, expected) of a sample with the true links of its vectors, whether these are enough to
+    audit with). The sample grows until enough of its vectors have links; they are compared with all
+    vectors, in blocks."""
     total = classes.count()
     draw = F.pmod(F.xxhash64("rep", F.lit(43)), F.lit(1 << 30)) / float(1 << 30)
-    sample = classes.where(draw * total < AUDIT).select("rep", "unit").collect()
+    wanted = AUDIT
+    while True:
+        sample = classes.where(draw * total < wanted).select("rep", "unit").collect()
+        true = stored(expected_links(classes, sample, bound))
+        linked = true.where("expected > 0").count()
+        if linked >= ENOUGH or wanted >= total or wanted >= MOST_AUDIT:
+            return true, linked >= ENOUGH or wanted >= total
+        wanted = min(wanted * 8, MOST_AUDIT)
+
+
+def expected_links(classes: DataFrame, sample: list, bound: float) -> DataFrame:
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {len(r["unit"]) for r in sample}:
         own = [r for r in sample if len(r["unit"]) == dim]
         by_dim[dim] = np.array([r["rep"] for r in own]), np.array([r["unit"] for r in own])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 256):
             cols = batch.to_pydict()
             for dim, (ids, x) in by_dim.items():
                 own = [k for k, u in enumerate(cols["unit"]) if len(u) == dim]
@@ -300,19 +313,27 @@ def audit(classes: DataFrame, found: DataFrame, bound: float) -> float:
                     times = np.array([cols["times"][k] for k in own])
                     reps = np.array([cols["rep"][k] for k in own])
                     hit = (x @ np.array([cols["unit"][k] for k in own]).T >= bound) & (ids[:, None] != reps[None])
+                    expected = hit @ times
+                    some = expected > 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids), pa.array((hit * times[None]).sum(1))], names=["rep", "expected"])
+                        [pa.array(ids[some]), pa.array(expected[some])], names=["rep", "expected"])
 
-    true = classes.select("rep", "times", "unit").mapInArrow(count, "rep long, expected long").groupBy("rep").agg(
+    return classes.select("rep", "times", "unit").mapInArrow(count, "rep long, expected long").groupBy("rep").agg(
         F.sum("expected").alias("expected"))
-    row = true.join(found, "rep", "left").agg(
-        F.sum("expected").alias("expected"), F.sum(F.least("expected", F.coalesce("found", F.lit(0)))).alias("found")).first()
-    return 1.0 if not row["expected"] else row["found"] / row["expected"]
+
+
+def audit(true: DataFrame, found: DataFrame) -> float:
+    """Recall over the links or as a mean over the vectors that have any, whichever is less."""
+    got = F.least("expected", F.coalesce("found", F.lit(0)))
+    row = true.join(found, "rep", "left").where("expected > 0").agg(
+        F.sum("expected").alias("expected"), F.sum(got).alias("found"), F.avg(got / F.col("expected")).alias("each")).first()
+    return 1.0 if not row["expected"] else min(row["found"] / row["expected"], row["each"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
                     bound: float = 0.95) -> tuple[DataFrame, float]:
-    """((vec_id, n_links, component_id, kept) of every row, audited recall).
+    """((vec_id, n_links, component_id, kept) of every row, audited recall: nan where too few of the
+    largest sample have links to measure it, after a search of all clusters).
 
     Equal vectors are one class whose copies link with each other and with all that one links with.
     Vectors that are null, zero or not finite, and rows without id, link with nothing: no links,
@@ -326,12 +347,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         F.first("dim").alias("dim")))
     centers = fit_clusters(classes)
     most = max(map(len, centers.values()), default=0)
+    true, enough = true_links(classes, bound)
+    wider = [*PROBES]
+    while wider[-1] < most:
+        wider.append(2 * wider[-1])
     recall, found, edges = 1.0, None, None
-    for probes in PROBES:
+    for probes in wider:
         seen = stored(search(stored(assigned(classes, centers, probes)), probes, bound))
         found = stored(seen.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("found").alias("found")))
         edges = seen.where("vec_id <> root").select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
-        recall = audit(classes, found, bound)
+        recall = audit(true, found) if enough else float("nan")
         if recall >= RECALL or probes >= most:
             break
     parts = components(edges).toDF("rep", "component")
@@ -345,5 +370,5 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result, _ = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    return result
+    result, recall = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return result.withColumn("audited_recall", F.lit(float(recall)))

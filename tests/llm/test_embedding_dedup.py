@@ -78,3 +78,19 @@ def test_components_of_chains_and_hubs(spark):
     hub = [(100, 100 + k) for k in range(1, 50)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(chain + hub + hub + [(7, 7)], "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 150)}
+
+
+def test_audit_draws_until_links_are_met_and_counts_each_vector(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[2900:2950] = x[2950:] + rng.normal(scale=0.01, size=(50, 16))
+    units = e.unit_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), "id", "v")
+    classes = units.selectExpr("vec_id as rep", "1L as times", "unit").localCheckpoint()
+    true, enough = e.true_links(classes, 0.95)
+    assert enough and true.count() >= e.ENOUGH
+    nothing = spark.createDataFrame([], "rep long, found long")
+    assert e.audit(true, nothing) == 0.0
+    rows = [(k, 1000) for k in range(100)] + [(k, 1) for k in range(100, 140)]
+    dense = spark.createDataFrame(rows, "rep long, expected long")
+    found = spark.createDataFrame(rows[:100], "rep long, found long")
+    assert e.audit(dense, found) < 0.75
