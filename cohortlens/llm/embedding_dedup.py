@@ -211,10 +211,13 @@ def in_range(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, own: np.ndar
 
 def search(rows: DataFrame, probes: int, bound: float) -> DataFrame:
     """(vec_id, found, root) rows: for a query the copies in range of it that one shard owns, and
-    for every vector in a link the smallest id that the shard's links connect it with."""
-    member = rows.select("rep", "times", "unit", F.posexplode(F.slice("near", 1, MEMBERSHIPS)).alias("k", "cluster"))
+    for every vector in a link the smallest id that the shard's links connect it with. A link counts in
+    the first cluster of the vector found that the query probes."""
+    own_clusters = F.slice("near", 1, MEMBERSHIPS)
+    member = rows.select("rep", "times", "unit", own_clusters.alias("own"), F.posexplode(own_clusters).alias("k", "cluster"))
     sizes = member.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("tiles"))
-    asking = rows.select("rep", "unit", F.explode(F.slice("near", 1, probes)).alias("cluster"))
+    probed = F.slice("near", 1, probes)
+    asking = rows.select("rep", "unit", probed.alias("probed"), F.explode(probed).alias("cluster"))
     asked = asking.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
     plan = stored(sizes.join(asked, "cluster"))  # one row per cluster
 
@@ -235,9 +238,10 @@ def search(rows: DataFrame, probes: int, bound: float) -> DataFrame:
         build, "rep long, edges array<long>")
     graph = stored(shards.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")))
     nodes = placed.join(graph, "rep").select(
-        "cluster", "tile", every("turns").alias("turn"), "rep", "times", "unit", "edges", (F.col("k") == 0).alias("home"))
+        "cluster", "tile", every("turns").alias("turn"), "rep", "times", "unit", "edges",
+        F.slice("own", F.lit(1), F.col("k")).alias("before"))
     queries = asking.join(plan, "cluster").withColumn("turn", chunk("turns")).select(
-        "cluster", every("tiles").alias("tile"), "turn", "rep", "unit")
+        "cluster", every("tiles").alias("tile"), "turn", "rep", "unit", "probed")
 
     def seek(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["vec_id", "found", "root"]
@@ -259,8 +263,14 @@ def search(rows: DataFrame, probes: int, bound: float) -> DataFrame:
         q, node = in_range(x, edges, queries_, own, bound)
         other = reps[node] != asks[q]
         q, node = q[other], node[other]
-        weight = left["times"].to_numpy() * left["home"].to_numpy()
-        found = np.bincount(q, weights=weight[node], minlength=len(asks)).astype(np.int64)
+        first = np.ones(len(q), dtype=bool)
+        before, probed_ = left["before"].to_list(), np.stack(right["probed"].to_list())
+        for k in range(MEMBERSHIPS - 1):
+            earlier = np.array([b[k] if len(b) > k else -1 for b in before])
+            for c in range(probed_.shape[1]):
+                first &= earlier[node] != probed_[q, c]
+        weight = left["times"].to_numpy()
+        found = np.bincount(q, weights=weight[node] * first, minlength=len(asks)).astype(np.int64)
         ids = np.unique(np.concatenate([asks[q], reps[node]]))
         a, b = np.searchsorted(ids, asks[q]), np.searchsorted(ids, reps[node])
         root = np.arange(len(ids))

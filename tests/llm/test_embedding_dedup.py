@@ -94,3 +94,15 @@ def test_audit_draws_until_links_are_met_and_counts_each_vector(spark):
     dense = spark.createDataFrame(rows, "rep long, expected long")
     found = spark.createDataFrame(rows[:100], "rep long, found long")
     assert e.audit(dense, found) < 0.75
+
+
+def test_links_met_outside_the_home_cluster_count_once(spark):
+    # 2 lies at home in cluster 1 and, second, in cluster 0: query 1 probes only cluster 0, query 3 both
+    rows = [(1, 1, [1.0, 0.0], [0, 9]), (2, 1, [1.0, 0.01], [1, 0]), (3, 1, [1.0, 0.02], [0, 1])]
+    table = spark.createDataFrame(rows, "rep long, times long, unit array<double>, near array<int>")
+    near = table.selectExpr("rep", "times", "unit", "near")
+    seen = e.search(near, 1, 0.95).groupBy("vec_id").sum("found")
+    one = {r[0]: r[1] for r in seen.collect()}
+    assert one[1] == 2
+    both = {r[0]: r[1] for r in e.search(near, 2, 0.95).groupBy("vec_id").sum("found").collect()}
+    assert both[3] == 2 and both[1] == 2
