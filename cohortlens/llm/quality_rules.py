@@ -19,6 +19,20 @@ STOP_WORDS = (
     "el los las y que en por con para una del se no su al lo como"
 ).split()
 
+#: The same of further languages in Latin letters.
+FURTHER_STOP_WORDS = (
+    "il di che non per della sono con dei nel è più questo anche gli "
+    "o os da do dos das em não uma mais foi ao como mas "
+    "het een van niet dat voor met zijn op ook maar wordt door naar "
+    "och att det som för på är av inte den til ikke og jeg har fra "
+    "nie się na jest że do jak ale przez są oraz co v ve je že se by jako "
+    "bir bu için ile olarak daha çok gibi ja ei hän oli mutta kuin että niin ovat "
+    "és egy hogy nem az volt meg și nu este care din mai cu "
+    "yang dan dengan untuk dari ini itu tidak pada là của và có cho không những các được"
+).split()
+#: Letters of these languages; the rule of stop words is for texts mainly in such letters.
+LISTED_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -102,6 +116,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(whole, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).alias("n_symbols"),
         F.length(whole).alias("chars"),
+        (F.length(F.regexp_replace(whole, f"[^{LISTED_LETTERS}]+", "")) * 2
+         >= F.length(F.regexp_replace(whole, "[^\\p{L}]+", ""))).alias("listed"),
     ))
     q = F.col("quality")
     step = step.withColumn("quality", F.struct(
@@ -111,8 +127,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.size(q.lines) - F.size(F.array_distinct(q.lines))).cast("long").alias("n_dup_lines"),
         repeated_words(q.words).alias("n_repeat_words"),
         F.size(q.lines).alias("n_lines"),
-        F.size(F.filter(q.words, lambda w: F.lower(w).isin(STOP_WORDS))).alias("n_stop"),
-        q.chars.alias("chars"),
+        F.size(F.filter(q.words, lambda w: F.lower(w).isin(STOP_WORDS + FURTHER_STOP_WORDS))).alias("n_stop"),
+        q.chars.alias("chars"), q.listed.alias("listed"),
     ))
     return step.withColumn("quality", F.struct(
         q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words,
@@ -120,7 +136,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.try_divide(q.n_symbols, q.n_words).alias("symbols_per_word"),
         F.try_divide(q.n_symbols, q.chars).alias("symbol_char_share"),
         F.try_divide(q.n_dup_lines, q.n_lines).alias("dup_line_share"),
-        F.try_divide(q.n_stop, q.n_words).alias("stop_word_share"),
+        F.when(q.listed, F.try_divide(q.n_stop, q.n_words)).alias("stop_word_share"),
     ))
 
 

@@ -54,3 +54,15 @@ def test_query_runs_without_python_and_equals_the_sql(spark):
 @pytest.mark.parametrize("measure", [r.measure for r in q.RULES])
 def test_rules_name_measures(spark, measure):
     assert measure in q.measures(documents(spark, ["a"])).select("quality.*").columns
+
+
+def test_clean_texts_in_other_languages_stay(spark):
+    texts = [
+        "Вчера утром мы долго гуляли вдоль реки и говорили о книгах, которые каждый из нас прочитал прошлой зимой, пока за окном шёл тихий снег",
+        "Χθες το πρωί περπατήσαμε πολλή ώρα δίπλα στο ποτάμι και μιλήσαμε για βιβλία που είχε διαβάσει ο καθένας μας τον περασμένο χειμώνα στο χωριό",
+        "مشينا صباح أمس طويلا على ضفة النهر وتحدثنا عن الكتب التي قرأها كل واحد منا في الشتاء الماضي حين كان الثلج يتساقط بهدوء خلف النافذة",
+        "어제 아침 우리는 강가를 오래 걸으며 지난 겨울에 각자 읽은 책 이야기를 나누었고 창밖에는 조용히 눈이 내렸으며 아이들은 마당에서 오랫동안 즐겁게 뛰어 놀고 있었다 그리고 밤이 왔다",
+        "Eilen aamulla kävelimme pitkään joen rantaa pitkin ja puhuimme kirjoista joita kukin meistä oli lukenut viime talvena kun lumi satoi hiljaa ikkunan takana ja lapset leikkivät",
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + ["xq zv " + " ".join(f"brk{k}t" for k in range(40))])], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in q.kept_documents(rows).collect()) == list(range(5))
