@@ -7,6 +7,7 @@ from cohortlens.llm import (
     byte_bpe,
     embedding_dedup,
     language_id,
+    lexical_search,
     license_scan,
     minhash_dedup,
     packing,
@@ -14,6 +15,7 @@ from cohortlens.llm import (
     quality_rules,
     sharding,
     url_filter,
+    vector_codes,
 )
 
 QUERIES = {
@@ -28,6 +30,8 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_packing": packing.query,
+    "op11_lexical_search": lexical_search.query,
+    "op13_vector_codes": vector_codes.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -35,4 +39,6 @@ ORACLE = {
     "op6_license_scan": license_scan.ORACLE,
     "op6_license_tree": license_scan.TREE_ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
