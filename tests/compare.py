@@ -39,7 +39,7 @@ def difference(df, con, sql: str) -> str | None:
     kinds = {c[0]: str(c[1]) for c in relation.description}
     if sorted(columns) != names:
         return f"columns {names} / {sorted(columns)}"
-    loose = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    loose = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     for name, kind in df.dtypes:
         if loose.get(kind, kind) != kinds[name]:
             return f"type of {name}: {kind} / {kinds[name]}"
