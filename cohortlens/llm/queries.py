@@ -14,6 +14,7 @@ from cohortlens.llm import (
     pii,
     quality_rules,
     sharding,
+    suffix_dedup,
     url_filter,
     vector_codes,
 )
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.query,
     "op10_packing": packing.query,
     "op11_lexical_search": lexical_search.query,
+    "op12_suffix_dedup": suffix_dedup.query,
     "op13_vector_codes": vector_codes.query,
     "pipeline": corpus_pipeline.run,
 }
