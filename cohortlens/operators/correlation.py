@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.special import correlation_p
 from cohortlens.operators.observations import finite_only
-from cohortlens.operators.ranking import TASK_ROWS, average_ranks
+from cohortlens.operators.spearman import BLOCK_FEATURES as SPEARMAN_BLOCK
+from cohortlens.operators.spearman import CHUNK_SAMPLES as SPEARMAN_CHUNK
+from cohortlens.operators.spearman import (
+    PIECE_ROWS, number_features, one_per_cell, rank_moments,
+)
 from cohortlens.session import cut, lookup_side
 
 # Features per block and samples per chunk: two blocks of one chunk are about 32 MB of doubles.
@@ -54,6 +58,9 @@ def _block_moments(block: int, features: int, packed: bool):
             idx, value = np.concatenate(idx.to_list()), np.concatenate(value.to_list())
         else:
             idx, value = idx.to_numpy(), value.to_numpy()
+        # of a repeated feature and sample the largest value is written last
+        order = np.argsort(value, kind="stable")
+        row, idx, value = row[order], idx[order], value[order]
 
         def dense(which):
             inside = idx // block == which
@@ -208,7 +215,8 @@ def _finish(pairs: DataFrame) -> DataFrame:
 
 def pearson_matrix(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int = CHUNK_SAMPLES
                    ) -> DataFrame:
-    """(feature_x, feature_y, n, r, p, degenerate) for all ordered pairs, self pairs included."""
+    """(feature_x, feature_y, n, r, p, degenerate) for all ordered pairs, self pairs included. Of a
+    repeated feature and sample the largest value counts, whatever the order of rows."""
     values = finite_only(values)
     index = feature_index(values)
     pairs = _named(pair_moments(values, index, block, chunk), index)
@@ -217,61 +225,17 @@ def pearson_matrix(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int =
     ))
 
 
-def spearman_matrix(values: DataFrame, block: int = BLOCK_FEATURES, chunk: int = CHUNK_SAMPLES,
-                    task_rows: int = TASK_ROWS) -> DataFrame:
-    """As `pearson_matrix`, on ranks taken among the samples both features have.
-
-    Where deletion leaves a pair untouched the ranks within each feature serve all its pairs. Only
-    the pairs that lose samples are ranked on their own; their rows are spread by pair and sample.
-    """
-    values = finite_only(values)
-    index = feature_index(values)
-    totals = index.select("feature", "n")
-    ranks = average_ranks(values, ["feature"], "value", totals, "rank", task_rows).select(
-        "feature", "sample_id", F.col("rank").alias("value"))
-    centred = index.withColumn("mean", (F.col("n") + 1) / 2.0)
-    sizes = index.select(F.col("feature"), F.col("n").alias("n_own"))
-    pairs = cut(
-        _named(pair_moments(ranks, centred, block, chunk), centred)
-        .select("feature_x", "feature_y", "n", _coefficient().alias("r"),
-                _degenerate().alias("degenerate"))
-    )
-    small_sizes = lookup_side(sizes)
-    sized = pairs.join(
-        small_sizes.select(F.col("feature").alias("feature_x"), F.col("n_own").alias("n_x")),
-        "feature_x",
-    ).join(
-        small_sizes.select(F.col("feature").alias("feature_y"), F.col("n_own").alias("n_y")),
-        "feature_y",
-    )
-    whole = (F.col("n") == F.col("n_x")) & (F.col("n") == F.col("n_y"))
-    untouched = sized.where(whole | F.col("degenerate")).select(*pairs.columns)
-    touched = cut(sized.where(~whole & ~F.col("degenerate"))
-                  .select("feature_x", "feature_y", "n"))
-    if touched.isEmpty():
-        return _finish(untouched)
-    return _finish(untouched.unionByName(_rank_touched(values, touched, task_rows)))
-
-
-def _rank_touched(values: DataFrame, touched: DataFrame, task_rows: int) -> DataFrame:
-    keys = ["feature_x", "feature_y"]
-    pairs = lookup_side(touched.select(*keys))
-    left = values.select(F.col("feature").alias("feature_x"), "sample_id", F.col("value").alias("x"))
-    right = values.select(
-        F.col("feature").alias("feature_y"), "sample_id", F.col("value").alias("y"))
-    common = left.join(pairs, "feature_x").join(right, ["sample_id", "feature_y"])
-    totals = touched.select(*keys, "n")
-    ranked = average_ranks(common, keys, "x", totals, "rank_x", task_rows)
-    ranked = average_ranks(ranked, keys, "y", totals, "rank_y", task_rows)
-    found = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.corr("rank_x", "rank_y").alias("r"),
-        (F.min("x") == F.max("x")).alias("flat_x"), (F.min("y") == F.max("y")).alias("flat_y"),
-    )
-    return found.select(
-        *keys, "n", _clamped(F.col("r")).alias("r"),
-        (F.col("flat_x") | F.col("flat_y") | (F.col("n") <= 2)).alias("degenerate"),
-    )
+def spearman_matrix(values: DataFrame, block: int = SPEARMAN_BLOCK, chunk: int = SPEARMAN_CHUNK,
+                    piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """As `pearson_matrix`, on ranks taken among the samples both features have; ties get the mean
+    rank. Of a repeated feature and sample the largest value counts."""
+    values = one_per_cell(finite_only(values))
+    numbered = number_features(values)
+    pairs = rank_moments(values, numbered, block, chunk, piece_rows)
+    pairs = _named(pairs, numbered.withColumn("mean", F.lit(0.0)))
+    return _finish(pairs.select(
+        "feature_x", "feature_y", "n", _coefficient().alias("r"), _degenerate().alias("degenerate")
+    ))
 
 
 def heatmap_cells(matrix: DataFrame, features: DataFrame | None = None) -> DataFrame:

@@ -82,14 +82,44 @@ def ranked_runs(rows: DataFrame, keys: list[str], value: str, totals: DataFrame,
     )
 
 
+def with_pieces(rows: DataFrame, keys: list[str], value: str, totals: DataFrame,
+                task_rows: int = TASK_ROWS) -> tuple[DataFrame, int]:
+    """(rows with `piece` and `full`, pieces of the largest group): pieces of large groups in value
+    order; `full` marks rows whose value fills more than a whole piece, the greatest of its piece."""
+    largest = _largest(totals)
+    if largest <= task_rows:
+        return rows.withColumns({"piece": F.lit(0), "full": F.lit(False)}), 1
+    points, pieces = _division_points(rows, keys, value, totals, largest, task_rows)
+    placed = rows.join(lookup_side(points), keys, "left").withColumn(
+        "piece", _piece(F.col("points"), F.col(value), pieces))
+    # a value that is two neighbouring division points
+    full = (F.get("points", F.col("piece")) == F.col(value)) & (
+        F.get("points", F.col("piece") + 1) == F.col(value))
+    return placed.withColumn("full", F.coalesce(full, F.lit(False))).drop("points"), pieces
+
+
 def average_ranks(rows: DataFrame, keys: list[str], value: str, totals: DataFrame, name: str,
                   task_rows: int = TASK_ROWS) -> DataFrame:
-    """Every row with the mean rank of its value among the group."""
-    if _largest(totals) <= task_rows:
-        group = Window.partitionBy(*keys)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        rank = F.rank().over(group.orderBy(value)) + (ties - 1) / 2.0
-        return rows.withColumn(name, rank)
-    runs = ranked_runs(rows, keys, value, totals, task_rows)
-    ranks = runs.select(*keys, value, (F.col("below") + (F.col("run") + 1) / 2.0).alias(name))
-    return rows.join(ranks, [*keys, value])
+    """Every row with the mean rank of its value among the group.
+
+    Rows of large groups are ranked piece by piece. A value that fills a piece of its own needs no
+    ranking, only the counts of pieces, so its rows stay spread as they are.
+    """
+    columns = rows.columns
+    placed, pieces = with_pieces(rows, keys, value, totals, task_rows)
+    piece = [*keys, "piece"]
+
+    def ranked() -> Column:
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*piece, value))
+        return F.rank().over(Window.partitionBy(*piece).orderBy(value)) + (ties - 1) / 2.0
+
+    if pieces == 1:
+        return placed.withColumn(name, ranked()).select(*columns, name)
+    counts = placed.groupBy(*piece, "full").agg(F.count(F.lit(1)).alias("piece_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("piece", "full").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lookup_side(cut(counts.withColumn("before", F.coalesce(F.sum("piece_rows").over(earlier), F.lit(0)))))
+    within = placed.where(~F.col("full"))
+    within = within.withColumn("_rank", ranked()).join(counts, [*piece, "full"])
+    alone = placed.where("full").join(counts, [*piece, "full"])
+    return within.select(*columns, (F.col("before") + F.col("_rank")).alias(name)).unionByName(
+        alone.select(*columns, (F.col("before") + (F.col("piece_rows") + 1) / 2.0).alias(name)))

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import correlation as C
+from cohortlens.operators import spearman as S
+from cohortlens.operators.ranking import average_ranks, with_pieces
 
 
 def ranks(x):
@@ -50,7 +53,7 @@ def expected(study, kind):
     return out
 
 
-@pytest.mark.parametrize("block,chunk,task_rows", [(256, 8192, 4_000_000), (3, 40, 60)])
+@pytest.mark.parametrize("block,chunk,task_rows", [(256, 8192, 4_000_000), (3, 40, 60), (4, 100, 25)])
 @pytest.mark.parametrize("kind", ["pearson", "spearman"])
 def test_matrix(spark, study, kind, block, chunk, task_rows):
     rows = [(f, i, float(v)) for f, x in study.items() for i, v in enumerate(x) if not np.isnan(v)]
@@ -80,3 +83,60 @@ def test_heatmap(spark):
                               "feature_x string, feature_y string, r double")
     got = {(r["row"], r["col"]): r["cell"] for r in C.heatmap_cells(m).collect()}
     assert got == {(0, 0): 1.0, (0, 1): 0.0, (1, 0): 0.0, (1, 1): 1.0}
+
+
+def test_spearman_ranks_once_per_mask(spark):
+    """30 sets of missing samples over 50 features with ties: equal to ranking every pair on its own,
+    in one piece and in many, and nothing in the plan has a row per sample and pair."""
+    rng = np.random.default_rng(4)
+    samples, masks = 300, rng.random((30, 300)) < 0.85
+    data = rng.normal(0, 1, (50, samples)).round(1)
+    data[::7] = np.where(data[::7] < 0.3, 0.0, data[::7])  # a value of more than half of the rows
+    mask_of = np.append(np.arange(30), rng.integers(0, 30, 20))
+    data = np.where(masks[mask_of], data, np.nan)
+    rows = [(f"f{i:02d}", s, float(v)) for i, x in enumerate(data) for s, v in enumerate(x) if not np.isnan(v)]
+    values = spark.createDataFrame(rows, "feature string, sample_id bigint, value double").repartition(6)
+    numbered = S.number_features(values)
+    assert numbered.select("mask").distinct().count() == 30
+    for block, chunk, piece_rows in ((64, 2048, 250_000), (8, 70, 40)):
+        matrix = C.spearman_matrix(values, block, chunk, piece_rows)
+        got = {(r["feature_x"], r["feature_y"]): r for r in matrix.collect()}
+        assert len(got) == 2500
+        for i in range(50):
+            for j in range(i, 50):
+                both = ~np.isnan(data[i]) & ~np.isnan(data[j])
+                r = got[f"f{i:02d}", f"f{j:02d}"]
+                assert r["n"] == both.sum()
+                assert r["r"] == pytest.approx(np.corrcoef(ranks(data[i][both]), ranks(data[j][both]))[0, 1], abs=1e-10)
+    arrays = S.rank_moments(values, numbered)
+    plan = arrays._jdf.queryExecution().analyzed().toString()
+    assert "feature_x" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("kind", ["pearson", "spearman"])
+def test_repeated_cells_count_once_in_any_order(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = [(f, s, float(v)) for f in "xy" for s, v in enumerate(rng.normal(0, 1, 40))]
+    repeats = [("x", s, float(v)) for s, v in zip(range(0, 40, 3), rng.normal(0, 3, 14))]
+    best = {}
+    for f, s, v in rows + repeats:
+        best[f, s] = max(v, best.get((f, s), v))
+    x, y = (np.array([best[f, s] for s in range(40)]) for f in "xy")
+    want = np.corrcoef(x, y)[0, 1] if kind == "pearson" else np.corrcoef(ranks(x), ranks(y))[0, 1]
+    matrix = C.pearson_matrix if kind == "pearson" else C.spearman_matrix
+    for table in (rows + repeats, repeats + rows):
+        values = spark.createDataFrame(table, "feature string, sample_id bigint, value double").coalesce(1)
+        got = {(r["feature_x"], r["feature_y"]): r for r in matrix(values).collect()}
+        assert got["x", "y"]["n"] == 40 and got["x", "y"]["r"] == pytest.approx(want, abs=1e-10)
+
+
+def test_average_ranks_of_a_value_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random(3000) < 0.34, 0.0, rng.normal(0, 1, 3000).round(2))
+    rows = spark.createDataFrame([("f", i, float(v)) for i, v in enumerate(x)], "feature string, sample_id bigint, value double")
+    totals = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    placed, pieces = with_pieces(rows, ["feature"], "value", totals, 200)
+    largest = placed.where("not full").groupBy("piece").count().agg(F.max("count")).first()[0]
+    assert pieces == 15 and largest <= 400 and placed.where("full").count() == (x == 0).sum()
+    got = {r["sample_id"]: r["r"] for r in average_ranks(rows, ["feature"], "value", totals, "r", 200).collect()}
+    assert np.allclose([got[i] for i in range(3000)], ranks(x))
