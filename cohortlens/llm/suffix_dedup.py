@@ -198,7 +198,8 @@ def repeated_windows(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     flat = found.select("row", F.inline(F.arrays_zip("anchor", "segment", "first", "last")))
     anchors = flat.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high"))
-    anchors = anchors.where("n > 1").select("anchor", (F.col("low") < F.col("high")).alias("mixed"))
+    # stored, so that the join has plain shuffles on both sides, of which Spark divides hot anchors
+    anchors = stored(anchors.where("n > 1").select("anchor", (F.col("low") < F.col("high")).alias("mixed")))
     likely = stored(flat.join(anchors, "anchor"))
     # equal segments: as many windows each, so the width is that of any; a row that is the smallest
     # for a segment is the smallest of its text too
