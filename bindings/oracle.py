@@ -12,7 +12,6 @@ from bindings.registered import (
 )
 from cohortlens.functions import special as S
 from cohortlens.functions import tokens as T
-from cohortlens.operators.elimination import random_schedule
 from cohortlens.operators.linear_models import ALGORITHMS
 from cohortlens.operators.normality import (
     ANDERSON_CRITICAL, LARGEST_WEIGHT, SECOND_WEIGHT, SHAPIRO_CRITICAL,
@@ -648,16 +647,34 @@ SELECT vec_id AS sample_id, label, {r6('score')} AS score,
   CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM scores"""
 
 NAMES = [f"d{i:02d}" for i in range(64)]  # width of the embeddings table
+PACE = 150.0
 
 
-def descent(name: str, steps: int, models: list[tuple[int, int, list[str]]],
-            everyone: bool = False) -> str:
-    """CTEs of gradient steps for models (run, step, features); a model whose weights have moved by
-    less than the tolerance stays as it is."""
+def whole(runs: int) -> str:
+    """Models (run, step, feature) with all features."""
+    return (f"SELECT run::BIGINT AS run, 0::BIGINT AS step, feature FROM range({runs}) r(run), "
+            f"(SELECT unnest([{quoted(NAMES)}]) AS feature)")
+
+
+def eliminated(drop: float, floor: int) -> tuple[str, int]:
+    """CTEs of a random elimination, one per step: every run loses the features whose md5 of seed,
+    step and name come first. The number of steps follows from the sizes."""
+    parts, size, step = [f"k0 AS MATERIALIZED ({whole(CV_RUNS)})"], len(NAMES), 0
+    while size > floor:
+        step, gone = step + 1, max(1, int(size * drop + 0.5))
+        size -= gone
+        parts.append(f"""k{step} AS MATERIALIZED (
+  SELECT run, {step}::BIGINT AS step, feature FROM (SELECT run, feature, row_number() OVER (
+    PARTITION BY run ORDER BY md5((run + {CV_SEED}) || '|{step}|' || feature), feature) AS nth
+    FROM k{step - 1}) WHERE nth > {gone})""")
+    return ", ".join(parts), step
+
+
+def descent(name: str, steps: int, used: str, everyone: bool = False, pace: float | None = None) -> str:
+    """CTEs of gradient steps for models (run, step, feature) given by the query `used`; a model whose
+    weights have moved by less than the tolerance stays as it is. A fixed `pace` in place of a falling
+    one goes on to the minimum."""
     spec = ALGORITHMS[name]
-    used = " UNION ALL ".join(
-        f"SELECT {run}::BIGINT AS run, {step}::BIGINT AS step, unnest([{quoted(kept)}]) AS feature"
-        for run, step, kept in models)
     train = "true" if everyone else f"{uniform(f'(run + {CV_SEED})', 'vec_id')} < {TRAIN_FRACTION}"
     slope = {"squared": "m - y", "logistic": "1/(1 + exp(-m)) - y",
              "hinge": "CASE WHEN (2*y - 1)*m < 1 THEN -(2*y - 1) ELSE 0 END"}[spec.loss]
@@ -671,7 +688,7 @@ cells AS MATERIALIZED (
   JOIN sides s ON s.run = u.run AND s.sample_id = d.sample_id),
 w0 AS MATERIALIZED (SELECT run, step, feature, 0.0::DOUBLE AS w, true AS moving FROM used)"""]
     for t in range(1, steps + 1):
-        gamma = t ** -0.5
+        gamma = pace or t ** -0.5
         if spec.penalty == "l2":
             update = f"w*(1 - {gamma!r}*{spec.strength}) - {gamma!r}*g"
         elif spec.penalty == "l1":
@@ -687,7 +704,7 @@ g{t} AS MATERIALIZED (
   JOIN (SELECT *, {slope} AS s FROM m{t}) m USING (run, step, sample_id) GROUP BY ALL),
 w{t} AS MATERIALIZED (
   SELECT run, step, feature, new AS w, moving AND ({t} = 1 OR sqrt(sum(power(new - w, 2)) OVER m)
-    >= {DESCENT_TOLERANCE} * greatest(sqrt(sum(new*new) OVER m), 1)) AS moving
+    >= {0 if pace else DESCENT_TOLERANCE} * greatest(sqrt(sum(new*new) OVER m), 1)) AS moving
   FROM (SELECT *, CASE WHEN moving THEN {update} ELSE w END AS new
     FROM w{t - 1} LEFT JOIN g{t} USING (run, step, feature)) WINDOW m AS (PARTITION BY run, step))""")
     rows = "true" if everyone else "NOT train"
@@ -707,17 +724,16 @@ curve AS (
 for key, name in {"cv_svm": "SVM", "cv_logit": "LogisticRegressionWithSGD",
                   "cv_linreg": "LinearRegressionWithSGD", "cv_lasso": "LassoWithSGD"}.items():
     ORACLE[key] = f"""
-WITH {descent(name, DESCENT_STEPS, [(run, 0, NAMES) for run in range(CV_RUNS)])}
+WITH {descent(name, DESCENT_STEPS, whole(CV_RUNS))}
 SELECT run, step, n_features, n, n_wrong, {r6('error')} AS error, {r6('rmse')} AS rmse,
   {r6('weight_sum')} AS weight_sum, {r6('weight_norm')} AS weight_norm FROM curve"""
 
 ORACLE["logit_train_error"] = f"""
-WITH {descent('LogisticRegressionWithSGD', DESCENT_STEPS, [(0, 0, NAMES)], everyone=True)}
+WITH {descent('LogisticRegressionWithSGD', DESCENT_STEPS, whole(1), everyone=True)}
 SELECT n, n_wrong, {r6('error')} AS error FROM curve"""
 
-# Every fit of the estimators must be optimal; only the validation rows are left to count.
-for key in ("cv_logit_lbfgs", "cv_linreg_estimator"):
-    ORACLE[key] = f"""
+# Every fit of the estimator must be optimal; only the validation rows are left to count.
+ORACLE["cv_linreg_estimator"] = f"""
 SELECT run::BIGINT AS run, any_value(len(embedding))::BIGINT AS n_features, count(*) AS n,
   true AS optimal FROM embeddings, range({CV_RUNS}) r(run)
 WHERE NOT {uniform(f'(run + {CV_SEED})', 'vec_id')} < {TRAIN_FRACTION} GROUP BY run"""
@@ -730,15 +746,31 @@ drawn AS (
     row_number() OVER (ORDER BY md5('{CV_SEED}|1|' || printf('d%02d', pos))) AS nth FROM features)
 SELECT pos, feature FROM drawn WHERE nth > greatest(1, round(total*{CURVE_DROP}))"""
 
-CURVE_MODELS = [
-    (run, step, kept) for run in range(CV_RUNS)
-    for step, kept in enumerate(random_schedule(NAMES, CV_SEED + run, CURVE_DROP, CURVE_FLOOR))]
-CURVE = descent("LogisticRegressionWithSGD", DESCENT_STEPS, CURVE_MODELS) + f""", best AS (
+KEPT, LAST = eliminated(CURVE_DROP, CURVE_FLOOR)
+ALL_KEPT = " UNION ALL ".join(f"SELECT * FROM k{step}" for step in range(LAST + 1))
+CURVE = f"{KEPT}, " + descent("LogisticRegressionWithSGD", DESCENT_STEPS, ALL_KEPT) + f""", best AS (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(error, 4), n_features, step) AS nth
   FROM curve), chosen AS (
   SELECT b.run, b.step, b.n_features, b.error, w.feature, w.w FROM best b
   JOIN w{DESCENT_STEPS} w ON w.run = b.run AND w.step = b.step WHERE nth = 1)"""
 
+# A long descent: the vectors have length 1, so this pace is below 2 over the largest curvature.
+ORACLE["cv_logit_lbfgs"] = f"""
+WITH {KEPT}, {descent("LogisticRegressionWithLBFGS", 150, ALL_KEPT, pace=PACE)}
+SELECT run, step, n_features, n, n_wrong, {r6('error')} AS error, round(weight_norm, 2) + 0.0 AS weight_norm
+FROM curve"""
+
+ORACLE["model_auc"] = f"""
+WITH scores AS (
+  SELECT run*2 + which AS model, {LABEL} AS y, list_sum(list_transform(range(len(embedding)),
+    lambda i: embedding[i + 1]::DOUBLE * ((i*a) % 11 - 5)/10.0)) AS score
+  FROM embeddings, range({CV_RUNS}) r(run), (VALUES (0, 37), (1, 17)) w(which, a)
+  WHERE NOT {uniform(f'(run + {CV_SEED})', 'vec_id')} < {TRAIN_FRACTION})
+SELECT p.model::BIGINT AS model, count(DISTINCT p.k) AS n_positive, count(DISTINCT n.k) AS n_negative,
+  {r6('avg(CASE WHEN p.score > n.score THEN 1 WHEN p.score = n.score THEN 0.5 ELSE 0 END)')} AS auc
+FROM (SELECT *, row_number() OVER () AS k FROM scores WHERE y = 1) p
+JOIN (SELECT *, row_number() OVER () AS k FROM scores WHERE y = 0) n USING (model) GROUP BY ALL"""
+
 ORACLE["elimination_curve"] = f"""
 WITH {CURVE} SELECT run, step, n_features, n, n_wrong, {r6('error')} AS error FROM curve"""
 

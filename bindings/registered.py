@@ -629,7 +629,27 @@ def _optimal(spark, d, name) -> DataFrame:
 
 @query
 def cv_logit_lbfgs(spark, d):
-    return _optimal(spark, d, "LogisticRegressionWithLBFGS")
+    """All runs and elimination steps at the minimum of the loss."""
+    result = _cross_validate(spark, d, "LogisticRegressionWithLBFGS", drop=CURVE_DROP, floor=CURVE_FLOOR)
+    weights = result.weights.groupBy("run", "step").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("weight_norm"))
+    return result.curve.join(weights, ["run", "step"]).select(
+        "run", "step", "n_features", "n", "n_wrong", r6(F.col("error")).alias("error"),
+        (F.round("weight_norm", 2) + 0.0).alias("weight_norm"))
+
+
+def _fixed_weights(width: int) -> list[list[float]]:
+    return [[((i * a) % 11 - 5) / 10.0 for i in range(width)] for a in (37, 17)]
+
+
+@query
+def model_auc(spark, d):
+    """AUC of two given models on the validation rows of every run."""
+    weights = _fixed_weights(len(X.vector_names(spark, d)))
+    points = CV.prepare(X.labeled_vectors(spark, d), [CV_SEED + run for run in range(CV_RUNS)], TRAIN_FRACTION)
+    runs = [run for run in range(CV_RUNS) for _ in weights]
+    found = L.model_auc(points, weights * CV_RUNS, runs)
+    return found.select("model", "n_positive", "n_negative", r6(F.col("auc")).alias("auc"))
 
 
 @query

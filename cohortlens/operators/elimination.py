@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,29 @@ def random_schedule(features: list[str], seed: int, drop: float, floor: int) ->
     return lists
 
 
+def smallest_dropped(kept: np.ndarray, size: np.ndarray, features: Sequence[str], drop: float) -> np.ndarray:
+    """The mask `kept` without the features of smallest size, ties by name; never empty."""
+    inside = np.flatnonzero(kept)
+    gone = min(drop_count(len(inside), drop), len(inside) - 1)
+    order = sorted(inside.tolist(), key=lambda i: (size[i], features[i]))
+    left = kept.copy()
+    left[order[:gone]] = False
+    return left
+
+
+def random_masks(features: Sequence[str], seed: int, drop: float, floor: int) -> np.ndarray:
+    """`random_schedule` as a mask (steps x features)."""
+    masks = [np.ones(len(features), dtype=bool)]
+    while masks[-1].sum() > max(floor, 1):
+        inside = np.flatnonzero(masks[-1])
+        step = len(masks)
+        order = sorted(inside.tolist(), key=lambda i: (draw(seed, step, features[i]), features[i]))
+        left = masks[-1].copy()
+        left[order[:min(drop_count(len(inside), drop), len(inside) - 1)]] = False
+        masks.append(left)
+    return np.array(masks)
+
+
 def best_models(curve: DataFrame) -> DataFrame:
     """Per run the lowest error to four decimals, the fewest features among ties."""
     order = Window.partitionBy("run").orderBy(F.round("error", 4), "n_features", "step")

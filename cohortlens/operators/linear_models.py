@@ -1,9 +1,11 @@
-"""Linear models: full-batch gradient descent for many models at once, and `pyspark.ml` fits.
-
-Repeated splits and elimination steps give many models over the same points. The gradient job
-trains them together: one pass over the points per iteration serves every model, each task
-multiplies its rows with the weight matrix, and one summed gradient per model and task is
-shuffled. Weights are the only thing that visits the driver.
+"""Linear models: descent for many models at once, and `pyspark.ml` fits.
+
+Repeated splits and elimination steps give many models over the same points. They are trained
+together: a pass over the points serves every model, each task multiplies its rows with the weight
+matrix, and one summed gradient per model and task is shuffled. The squared loss needs one pass in
+all, for the products of features that its gradients consist of; the logistic loss without penalty
+is fitted by L-BFGS, whose line searches share the passes. Weights (models x features) and, for the
+squared loss, the products (runs x features x features, up to `GRAM_VALUES`) visit the driver.
 """
 
 from __future__ import annotations
@@ -18,11 +20,18 @@ from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ranking import TASK_ROWS, with_pieces
+from cohortlens.session import cut
+
 # Tasks whose gradients of one model are summed first, so that no reducer meets all tasks.
 GRADIENT_SHARES = 32
+# Largest number of products of two features, over all runs, that is brought together.
+GRAM_VALUES = 16_000_000
+# Steps of L-BFGS remembered, passes at most, and the share of the first gradient that ends a fit.
+MEMORY, PASSES, FLATNESS = 10, 400, 1e-7
 
 
 @dataclass(frozen=True)
@@ -70,56 +79,108 @@ def error_rate(scored: DataFrame, label: str = "label", prediction: str = "predi
                       F.try_divide(wrong.cast("double"), n).alias("error"))
 
 
+def _arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label column, feature matrix and training flags of a batch of points."""
+    rows = batch.num_rows
+    y = batch.column(0).to_numpy(zero_copy_only=False)[:, None]
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    used = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+    return y, x, used
+
+
+def _summed(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum `n` and the vector `total` of every key, in two steps, as one key's rows come from every
+    task."""
+    share = F.pmod(F.spark_partition_id(), F.lit(GRADIENT_SHARES))
+    summed = partial.withColumn("share", share)
+    for by in ([*keys, "share"], keys):
+        summed = summed.groupBy(*by).agg(
+            F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("total")
+        ).withColumn("total", vector_to_array("total"))
+    return summed
+
+
 def _gradient_task(weights: np.ndarray, run_of_model: list[int], loss: str):
+    """Task: sums over its training rows, for every model the gradient and behind it the loss."""
+
     def gradients(batches):
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros_like(weights)
-        count = np.zeros(weights.shape[1], dtype=np.int64)
+        features, models = weights.shape
+        total = np.zeros((features + 1, models))
+        count = np.zeros(models, dtype=np.int64)
         for batch in batches:
-            rows = batch.num_rows
-            if rows == 0:
+            if batch.num_rows == 0:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-            y = batch.column(0).to_numpy(zero_copy_only=False)[:, None]
-            used = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            y, x, used = _arrays(batch)
             used = used[:, run_of_model]
             margin = x @ weights
             if loss == "squared":
-                slope = margin - y
+                slope, cost = margin - y, (margin - y) ** 2 / 2
             elif loss == "logistic":
                 slope = 1.0 / (1.0 + np.exp(-margin)) - y
+                cost = np.logaddexp(0.0, margin) - y * margin
             else:
                 side = 2.0 * y - 1.0
                 slope = np.where(side * margin < 1.0, -side, 0.0)
-            total += x.T @ (slope * used)
+                cost = np.maximum(0.0, 1.0 - side * margin)
+            total[:-1] += x.T @ (slope * used)
+            total[-1] += (cost * used).sum(axis=0)
             count += used.sum(axis=0)
-        models = np.arange(weights.shape[1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(models), pa.array(count),
+            [pa.array(np.arange(models)), pa.array(count),
              pa.array(list(total.T), type=pa.list_(pa.float64()))],
-            names=["model", "n", "gradient"])
+            names=["model", "n", "total"])
 
     return gradients
 
 
-def _summed_gradients(points: DataFrame, weights: np.ndarray, run_of_model: list[int], loss: str
-                      ) -> tuple[np.ndarray, np.ndarray]:
+def _mean_gradients(points: DataFrame, weights: np.ndarray, run_of_model: list[int], loss: str
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """(gradients (features x models), losses), means over the training rows of each model."""
     partial = points.select("label", "features", "in_train").mapInArrow(
-        _gradient_task(weights, run_of_model, loss), "model long, n long, gradient array<double>")
-    # in two steps, as one model's rows come from every task
-    share = F.pmod(F.spark_partition_id(), F.lit(GRADIENT_SHARES))
-    summed = partial.withColumn("share", share)
-    for keys in (["model", "share"], ["model"]):
-        summed = summed.groupBy(*keys).agg(
-            F.sum("n").alias("n"), Summarizer.sum(array_to_vector("gradient")).alias("gradient")
-        ).withColumn("gradient", vector_to_array("gradient"))
-    gradient, count = np.zeros_like(weights), np.zeros(weights.shape[1])
-    for row in summed.collect():  # one row per model
-        gradient[:, row["model"]] = row["gradient"]
-        count[row["model"]] = row["n"]
-    return gradient, count
+        _gradient_task(weights, run_of_model, loss), "model long, n long, total array<double>")
+    total = np.zeros((weights.shape[0] + 1, weights.shape[1]))
+    table = _summed(partial, ["model"]).toArrow()  # one row per model
+    model = table.column("model").to_numpy()
+    vectors = table.column("total").combine_chunks().flatten().to_numpy().reshape(len(model), -1)
+    total[:, model] = vectors.T / np.maximum(table.column("n").to_numpy(), 1)
+    return total[:-1], total[-1]
+
+
+def products(points: DataFrame, features: int, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(X'X, X'y) over the training rows of every run, divided by their number: all that gradients
+    of the squared loss need, in one pass."""
+
+    def multiply(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((runs, features, features + 1))
+        count = np.zeros(runs, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            y, x, used = _arrays(batch)
+            both = np.concatenate([x, y], axis=1)
+            for run in range(runs):
+                total[run] += x[used[:, run]].T @ both[used[:, run]]
+            count += used.sum(axis=0)
+        for run in np.flatnonzero(count):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(features, run)), pa.array(np.arange(features)), pa.array(np.full(features, count[run])),
+                 pa.array(list(total[run]), type=pa.list_(pa.float64()))],
+                names=["run", "position", "n", "total"])
+
+    partial = points.select("label", "features", "in_train").mapInArrow(
+        multiply, "run long, position long, n long, total array<double>")
+    both = np.zeros((runs, features, features + 1))
+    table = _summed(partial, ["run", "position"]).toArrow()  # one row per run and feature
+    rows = table.column("total").combine_chunks().flatten().to_numpy().reshape(-1, features + 1)
+    both[table.column("run").to_numpy(), table.column("position").to_numpy()] = (
+        rows / table.column("n").to_numpy()[:, None])
+    return both[:, :, :-1], both[:, :, -1]
 
 
 def check_points(points: DataFrame, width: int) -> None:
@@ -141,24 +202,35 @@ def check_points(points: DataFrame, width: int) -> None:
 
 
 def fit_by_gradient(points: DataFrame, masks: np.ndarray, run_of_model: Sequence[int],
-                    spec: Algorithm, iterations: int = 100, tolerance: float = 1e-3
-                    ) -> np.ndarray:
+                    spec: Algorithm, iterations: int = 100, tolerance: float = 1e-3,
+                    gram_values: int = GRAM_VALUES) -> np.ndarray:
     """Weights (models x features) after full-batch gradient descent with step 1/sqrt(t).
 
     `points` has (label, features, in_train), `in_train` one flag per run; `masks` (models x
     features) says which features a model uses. A model stops once its weights move by less than
-    `tolerance` of their length.
+    `tolerance` of their length. The squared loss is descended on the products of features, after
+    one pass over the points; beyond `gram_values` products it takes a pass per iteration like the
+    others, with the same weights.
     """
-    runs = list(run_of_model)
+    runs = np.asarray(run_of_model)
     allowed = np.asarray(masks, dtype=float).T
+    features, models = allowed.shape
+    by_products = spec.loss == "squared" and (runs.max() + 1) * features ** 2 <= gram_values
+    if by_products:
+        square, cross = products(points, features, int(runs.max()) + 1)
     weights = np.zeros_like(allowed)
-    active = np.ones(weights.shape[1], dtype=bool)
+    active = np.ones(models, dtype=bool)
     for t in range(1, iterations + 1):
         open_models = np.flatnonzero(active)
         current = weights[:, open_models]
-        gradient, count = _summed_gradients(
-            points, current, [runs[m] for m in open_models], spec.loss)
-        gradient = gradient / np.maximum(count, 1.0) * allowed[:, open_models]
+        if by_products:
+            gradient = np.empty_like(current)
+            for run in np.unique(runs[open_models]):
+                own = runs[open_models] == run
+                gradient[:, own] = square[run] @ current[:, own] - cross[run][:, None]
+        else:
+            gradient, _ = _mean_gradients(points, current, runs[open_models].tolist(), spec.loss)
+        gradient = gradient * allowed[:, open_models]
         step = 1.0 / np.sqrt(t)
         if spec.penalty == "l2":
             moved = current * (1.0 - step * spec.strength) - step * gradient
@@ -176,6 +248,88 @@ def fit_by_gradient(points: DataFrame, masks: np.ndarray, run_of_model: Sequence
     return weights.T
 
 
+def _direction(gradient: np.ndarray, moves: list[np.ndarray], turns: list[np.ndarray]) -> np.ndarray:
+    """L-BFGS directions of all models (features x models) by the two-loop recursion. A model whose
+    curvature along a remembered step is not positive skips that step."""
+    q = gradient.copy()
+    found = []
+    for s, y in zip(reversed(moves), reversed(turns)):
+        curve = (s * y).sum(axis=0)
+        usable = curve > 1e-10 * (y * y).sum(axis=0)
+        alpha = np.where(usable, (s * q).sum(axis=0) / np.where(usable, curve, 1.0), 0.0)
+        q -= alpha * y
+        found.append((alpha, curve, usable))
+    scale = np.ones(q.shape[1])
+    for s, y in zip(moves, turns):  # the last step that a model made gives its scale
+        curve, length = (s * y).sum(axis=0), (y * y).sum(axis=0)
+        usable = curve > 1e-10 * length
+        scale = np.where(usable, curve / np.where(usable, length, 1.0), scale)
+    q *= scale
+    for (s, y), (alpha, curve, usable) in zip(zip(moves, turns), reversed(found)):
+        beta = np.where(usable, (y * q).sum(axis=0) / np.where(usable, curve, 1.0), 0.0)
+        q += (alpha - beta) * s
+    return -q
+
+
+def fit_by_lbfgs(points: DataFrame, masks: np.ndarray, run_of_model: Sequence[int], spec: Algorithm,
+                 passes: int = PASSES, flatness: float = FLATNESS) -> np.ndarray:
+    """Weights (models x features) at the minimum of a smooth loss without penalty.
+
+    All models, of all runs and elimination steps, share each pass over the points: it evaluates
+    loss and gradient of every open model at its own trial point. A model that finds enough descent
+    there moves on, another one halves its step and waits for the next pass. A model ends when the
+    largest part of its gradient is below `flatness` of that at zero, when its step cannot be made
+    shorter, or after `passes`; classes that can be separated have no minimum and end that way.
+    """
+    if spec.loss != "logistic" or spec.penalty != "none":
+        raise ValueError("L-BFGS fits the logistic loss without penalty")
+    runs = np.asarray(run_of_model)
+    allowed = np.asarray(masks, dtype=float).T
+    models = allowed.shape[1]
+
+    def evaluate(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gradient, loss = _mean_gradients(points, at, runs[which].tolist(), spec.loss)
+        return gradient * allowed[:, which], loss
+
+    weights = np.zeros_like(allowed)
+    gradient, loss = evaluate(weights, np.arange(models))
+    first = np.abs(gradient).max(axis=0)
+    # remembered steps of a model are columns of these; zeros stand for steps that it did not make
+    moves: list[np.ndarray] = []
+    turns: list[np.ndarray] = []
+    direction = _direction(gradient, [], [])
+    step = 1.0 / np.maximum(np.linalg.norm(gradient, axis=0), 1.0)
+    active = first > 0
+    for _ in range(passes):
+        which = np.flatnonzero(active)
+        if not len(which):
+            break
+        trial = weights[:, which] + step[which] * direction[:, which]
+        new_gradient, new_loss = evaluate(trial, which)
+        slope = (gradient[:, which] * direction[:, which]).sum(axis=0)
+        good = new_loss <= loss[which] + 1e-4 * step[which] * slope
+        # at the limit of the loss's digits the gradient decides
+        good |= (np.abs(new_loss - loss[which]) <= 1e-14 * np.abs(loss[which])) & (
+            np.abs(new_gradient).max(axis=0) < np.abs(gradient[:, which]).max(axis=0))
+        short = which[~good]
+        step[short] /= 2
+        active[short[step[short] < 1e-12]] = False
+        done = which[good]
+        if not len(done):
+            continue
+        move, turn = np.zeros_like(weights), np.zeros_like(weights)
+        move[:, done] = trial[:, good] - weights[:, done]
+        turn[:, done] = new_gradient[:, good] - gradient[:, done]
+        weights[:, done], gradient[:, done], loss[done] = trial[:, good], new_gradient[:, good], new_loss[good]
+        moves, turns = [*moves, move][-MEMORY:], [*turns, turn][-MEMORY:]
+        found = _direction(gradient[:, done], [m[:, done] for m in moves], [t[:, done] for t in turns])
+        uphill = (found * gradient[:, done]).sum(axis=0) >= 0
+        direction[:, done] = np.where(uphill, -gradient[:, done], found)
+        step[done] = 1.0
+        active[done[np.abs(gradient[:, done]).max(axis=0) <= flatness * first[done]]] = False
+    return weights.T
+
+
 def _estimator(name: str, iterations: int):
     common = {"featuresCol": "used", "labelCol": "label", "fitIntercept": False,
               "standardization": False, "maxIter": iterations}
@@ -213,12 +367,9 @@ def _scoring_task(weights: np.ndarray, run_of_model: list[int], cut_off: float,
         count, wrong = np.zeros(models, np.int64), np.zeros(models, np.int64)
         square = np.zeros(models)
         for batch in batches:
-            rows = batch.num_rows
-            if rows == 0:
+            if batch.num_rows == 0:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
-            y = batch.column(0).to_numpy(zero_copy_only=False)[:, None]
-            used = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            y, x, used = _arrays(batch)
             used = used[:, run_of_model] != validation
             margin = x @ weights
             count += used.sum(axis=0)
@@ -243,3 +394,59 @@ def validation_errors(points: DataFrame, weights: np.ndarray, run_of_model: Sequ
         F.try_divide(wrong.cast("double"), n).alias("error"),
         F.sqrt(F.try_divide(F.sum("square_error"), n)).alias("rmse"),
     )
+
+
+def model_scores(points: DataFrame, weights: np.ndarray, run_of_model: Sequence[int],
+                 validation: bool = True) -> DataFrame:
+    """(model, score, positives, negatives) of each model's validation (or training) rows, equal
+    scores of a batch collapsed; one pass for all models."""
+    columns, runs = np.asarray(weights).T.copy(), list(run_of_model)
+
+    def scores(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            y, x, used = _arrays(batch)
+            used = used[:, runs] != validation
+            margin = x @ columns + 0.0  # no negative zero
+            for model in range(columns.shape[1]):
+                own = used[:, model]
+                value, at = np.unique(margin[own, model], return_inverse=True)
+                positive = np.bincount(at, weights=y[own, 0] > 0.5, minlength=len(value)).astype(np.int64)
+                count = np.bincount(at, minlength=len(value))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(value), model)), pa.array(value), pa.array(positive),
+                     pa.array(count - positive)], names=["model", "score", "positives", "negatives"])
+
+    return points.select("label", "features", "in_train").mapInArrow(
+        scores, "model long, score double, positives long, negatives long")
+
+
+def model_auc(points: DataFrame, weights: np.ndarray, run_of_model: Sequence[int],
+              validation: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(model, n_positive, n_negative, auc): the share of pairs of a positive and a negative row
+    that the score puts in order, ties counting half; null where a model's rows have one class.
+
+    Scores are collapsed to one row per value. Those of a model are put in order piece by piece, and
+    the negatives of the pieces before are added to each.
+    """
+    scored = model_scores(points, weights, run_of_model, validation)
+    runs = cut(scored.groupBy("model", "score").agg(
+        F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives")))
+    totals = runs.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    placed, pieces = with_pieces(runs, ["model"], "score", totals, task_rows)
+    before = Window.partitionBy("model", "piece").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.coalesce(F.sum("negatives").over(before), F.lit(0))
+    sums = placed.withColumn("lower", lower).groupBy("model", "piece").agg(
+        F.sum(F.col("positives") * (F.col("lower") + F.col("negatives") / 2.0)).alias("ordered"),
+        F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    earlier = Window.partitionBy("model").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("negatives").over(earlier), F.lit(0))  # one row per model and piece
+    found = sums.withColumn("offset", offset).groupBy("model").agg(
+        F.sum("positives").alias("n_positive"), F.sum("negatives").alias("n_negative"),
+        F.sum(F.col("ordered") + F.col("positives") * F.col("offset")).alias("ordered"))
+    pairs = F.col("n_positive").cast("double") * F.col("n_negative")
+    return found.select("model", "n_positive", "n_negative", F.try_divide("ordered", pairs).alias("auc"))

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.elimination import best_models, next_features, random_schedule
+from cohortlens.operators.elimination import best_models, random_masks, smallest_dropped
 from cohortlens.operators.linear_models import (
-    algorithm, check_points, fit_by_estimator, fit_by_gradient, validation_errors,
+    MEMORY, algorithm, check_points, fit_by_estimator, fit_by_gradient, fit_by_lbfgs, model_auc,
+    validation_errors,
 )
 from cohortlens.operators.splits import in_training
+from cohortlens.session import cut
 
 # Largest weight matrix (models x features) sent to tasks at once, in values.
 WEIGHTS_PER_BATCH = 8_000_000
@@ -22,8 +25,8 @@ WEIGHTS_PER_BATCH = 8_000_000
 
 @dataclass(frozen=True)
 class CrossValidationResult:
-    """`curve`: (run, step, n_features, n, n_wrong, error, rmse) per model;
-    `weights`: (run, step, feature, weight) per model and feature used."""
+    """`curve`: (run, step, n_features, n, n_wrong, error, rmse[, auc]) per model;
+    `weights`: (run, step, feature, weight) per model and feature used. Both are written tables."""
 
     curve: DataFrame
     weights: DataFrame
@@ -69,27 +72,56 @@ def prepare(points: DataFrame, seeds: Sequence[int], train_fraction: float) -> D
 
 def _fit(points, masks, runs, name, engine, iterations, tolerance) -> np.ndarray:
     spec = algorithm(name)
-    if engine == "estimator" or not spec.by_gradient:
+    if engine == "estimator":
         return fit_by_estimator(points, masks, runs, name, iterations)
-    per_batch = max(1, WEIGHTS_PER_BATCH // masks.shape[1])
-    parts = [
-        fit_by_gradient(points, masks[i:i + per_batch], runs[i:i + per_batch], spec, iterations,
-                        tolerance)
-        for i in range(0, len(masks), per_batch)
-    ]
+    # L-BFGS holds two vectors of weights for every step that it remembers
+    per_batch = max(1, WEIGHTS_PER_BATCH // masks.shape[1] // (1 if spec.by_gradient else 2 * MEMORY))
+    parts = []
+    for i in range(0, len(masks), per_batch):
+        batch = masks[i:i + per_batch], runs[i:i + per_batch], spec
+        parts.append(fit_by_gradient(points, *batch, iterations, tolerance) if spec.by_gradient
+                     else fit_by_lbfgs(points, *batch))
     return np.vstack(parts)
 
 
+def weight_table(spark: SparkSession, models: DataFrame, features: Sequence[str], masks: np.ndarray,
+                 weights: np.ndarray) -> DataFrame:
+    """(run, step, feature, weight) of the features that each model uses. `models` has a row per
+    model; tasks turn their models' rows of the matrices into table rows, written once, so that the
+    driver holds no row per model and feature."""
+    names = np.asarray(features, dtype=object)
+    shared = spark.sparkContext.broadcast((names, np.asarray(masks, dtype=bool), np.asarray(weights)))
+
+    def unfold(batches):
+        import pyarrow as pa
+
+        names, masks, weights = shared.value
+        for batch in batches:
+            for model, run, step in zip(*(c.to_pylist() for c in batch.columns)):
+                kept = np.flatnonzero(masks[model])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(kept), run)), pa.array(np.full(len(kept), step)),
+                     pa.array(names[kept], pa.string()), pa.array(weights[model, kept])],
+                    names=["run", "step", "feature", "weight"])
+
+    table = cut(models.select("model", "run", "step").mapInArrow(
+        unfold, "run bigint, step bigint, feature string, weight double"))
+    shared.unpersist()
+    return table
+
+
 def cross_validate(points: DataFrame, features: Sequence[str], name: str, *,
                    train_fraction: float = 0.8, runs: int = 1, seed: int = 0, drop: float = 0.1,
                    floor: int = 100, order: str = "random", engine: str = "gradient",
-                   iterations: int = 100, tolerance: float = 1e-3) -> CrossValidationResult:
+                   iterations: int = 100, tolerance: float = 1e-3, auc: bool = False
+                   ) -> CrossValidationResult:
     """Train, prune and validate models over repeated splits.
 
     `points` is (sample_id, label, features); `features` names the positions. Each step drops a
     share (`drop` < 1) or a count of features until at most `floor` are left: at random, or with
     `order="weights"` those with the smallest absolute weight. A random order is known before any
-    fit, so all its models, of all runs and steps, are trained together.
+    fit, so all its models, of all runs and steps, are trained together. `auc` adds the area under
+    the ROC curve of the validation rows, in one more pass.
     """
     if order not in ("random", "weights"):
         raise ValueError("order must be 'random' or 'weights'")
@@ -102,66 +134,47 @@ def cross_validate(points: DataFrame, features: Sequence[str], name: str, *,
     spec = algorithm(name)
     features = list(features)
     seeds = [seed + run for run in range(runs)]
+    spark = points.sparkSession
     prepared = prepare(points, seeds, train_fraction).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         check_points(prepared, len(features))
+        fit = partial(_fit, prepared, name=name, engine=engine, iterations=iterations, tolerance=tolerance)
         if order == "random":
-            models, weights = _random_models(
-                prepared, features, name, seeds, drop, floor, engine, iterations, tolerance)
+            steps = [random_masks(features, s, drop, floor) for s in seeds]
+            of_model = [(run, step) for run in range(runs) for step in range(len(steps[run]))]
+            masks = np.vstack(steps)
+            weights = fit(masks, [run for run, _ in of_model])
         else:
-            models, weights = _pruned_models(
-                prepared, features, name, runs, drop, floor, engine, iterations, tolerance)
-        errors = validation_errors(prepared, weights, [run for run, _, _ in models], spec.cut_off)
-        measured = {row["model"]: row for row in errors.collect()}  # one row per model
+            of_model, masks, weights = _pruned_models(fit, features, runs, drop, floor)
+        # one row per model
+        models = spark.createDataFrame(
+            [(i, run, step, int(masks[i].sum())) for i, (run, step) in enumerate(of_model)],
+            "model bigint, run bigint, step bigint, n_features bigint").repartition(len(of_model), "model")
+        run_of_model = [run for run, _ in of_model]
+        errors = validation_errors(prepared, weights, run_of_model, spec.cut_off)
+        curve = models.join(errors, "model", "left")
+        columns = ["run", "step", "n_features", F.coalesce("n", F.lit(0)).alias("n"),
+                   F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"), "error", "rmse"]
+        if auc:
+            curve = curve.join(model_auc(prepared, weights, run_of_model), "model", "left")
+            columns.append("auc")
+        curve = cut(curve.select(*columns))
     finally:
         prepared.unpersist()
-
-    spark = points.sparkSession
-    curve_rows, weight_rows = [], []
-    for i, (run, step, kept) in enumerate(models):
-        row = measured.get(i)
-        n, wrong = (row["n"], row["n_wrong"]) if row else (0, 0)
-        curve_rows.append((run, step, len(kept), n, wrong,
-                           row["error"] if row else None, row["rmse"] if row else None))
-        used = set(kept)
-        weight_rows += [(run, step, f, float(w)) for f, w in zip(features, weights[i]) if f in used]
-    curve = spark.createDataFrame(
-        curve_rows, "run bigint, step bigint, n_features bigint, n bigint, n_wrong bigint, "
-                    "error double, rmse double")
-    weight_table = spark.createDataFrame(
-        weight_rows, "run bigint, step bigint, feature string, weight double")
     settings = {"algorithm": name, "train_fraction": train_fraction, "runs": runs, "drop": drop}
-    return CrossValidationResult(curve, weight_table, settings)
-
-
-def _mask(features: list[str], kept: list[str]) -> np.ndarray:
-    used = set(kept)
-    return np.array([f in used for f in features])
-
-
-def _random_models(points, features, name, seeds, drop, floor, engine, iterations, tolerance):
-    models = [
-        (run, step, kept)
-        for run, seed in enumerate(seeds)
-        for step, kept in enumerate(random_schedule(features, seed, drop, floor))
-    ]
-    masks = np.array([_mask(features, kept) for _, _, kept in models])
-    weights = _fit(points, masks, [m[0] for m in models], name, engine, iterations, tolerance)
-    return models, weights
+    table = weight_table(spark, models, features, masks, weights)
+    return CrossValidationResult(curve, table, settings)
 
 
-def _pruned_models(points, features, name, runs, drop, floor, engine, iterations, tolerance):
-    models, weights = [], []
-    kept = {run: list(features) for run in range(runs)}
-    step = 0
+def _pruned_models(fit, features, runs, drop, floor):
+    """Models of an elimination by weight: each step needs the weights of the one before."""
+    of_model, masks, weights = [], [], []
+    kept = np.ones((runs, len(features)), dtype=bool)
     while True:
-        masks = np.array([_mask(features, kept[run]) for run in range(runs)])
-        fitted = _fit(points, masks, list(range(runs)), name, engine, iterations, tolerance)
-        models += [(run, step, kept[run]) for run in range(runs)]
+        fitted = fit(kept, list(range(runs)))
+        of_model += [(run, len(weights)) for run in range(runs)]
+        masks.append(kept)
         weights.append(fitted)
-        if len(kept[0]) <= max(floor, 1):
-            return models, np.vstack(weights)
-        for run in range(runs):
-            size = dict(zip(features, np.abs(fitted[run])))
-            kept[run] = next_features(kept[run], drop, size)
-        step += 1
+        if kept[0].sum() <= max(floor, 1):
+            return of_model, np.vstack(masks), np.vstack(weights)
+        kept = np.vstack([smallest_dropped(kept[run], np.abs(fitted[run]), features, drop) for run in range(runs)])

@@ -118,6 +118,103 @@ def test_estimators(points):
         assert result.curve.first()["error"] < 0.4
 
 
+@pytest.mark.parametrize("name", ["LinearRegressionWithSGD", "LassoWithSGD"])
+def test_products_give_the_weights_of_all_passes(points, name):
+    """One pass for the squared loss, with the weights of a pass per iteration."""
+    prepared, masks, spec = prepare(points, [5, 6], 0.8), np.array([[1] * 6, [1, 1, 0, 1, 0, 1], [1] * 6]), L.algorithm(name)
+    once = L.fit_by_gradient(prepared, masks, [0, 0, 1], spec)
+    every = L.fit_by_gradient(prepared, masks, [0, 0, 1], spec, gram_values=0)
+    np.testing.assert_allclose(once, every, atol=1e-9)
+    assert np.abs(once).max() > 0.1
+
+
+def test_products_make_one_job_sequence(spark, points, monkeypatch):
+    calls = []
+    monkeypatch.setattr(L, "_mean_gradients", lambda *a: calls.append(a))
+    L.fit_by_gradient(prepare(points, [5], 0.8), np.ones((1, 6)), [0], L.algorithm("LinearRegressionWithSGD"))
+    assert not calls
+
+
+def test_lbfgs_reaches_the_minimum_for_all_steps_together(points, data, monkeypatch):
+    """All runs and steps share the passes; each gradient falls below 1e-6 of that at zero."""
+    x, y = data
+    noisy = (np.random.default_rng(8).random(300) < 1 / (1 + np.exp(-x @ np.array([1.0, -1, 0.5, 0, 0, 0])))).astype(float)
+    spark = points.sparkSession
+    rows = [(i, float(noisy[i]), [float(v) for v in x[i]]) for i in range(300)]
+    table = spark.createDataFrame(rows, "sample_id bigint, label double, features array<double>").repartition(3)
+    masks = np.array([[1] * 6, [1, 1, 0, 1, 0, 1], [1, 0, 0, 0, 0, 0], [1] * 6])
+    runs, passes = [0, 0, 0, 1], []
+    inner = L._mean_gradients
+    monkeypatch.setattr(L, "_mean_gradients", lambda *a: passes.append(1) or inner(*a))
+    got = L.fit_by_lbfgs(prepare(table, [5, 6], 0.8), masks, runs, L.algorithm("LogisticRegressionWithLBFGS"))
+    for model, run in enumerate(runs):
+        train, _ = side(spark, table, 5 + run, 0.8)
+        at_fit = x[train].T @ (1 / (1 + np.exp(-x[train] @ got[model])) - noisy[train]) * masks[model]
+        at_zero = x[train].T @ (0.5 - noisy[train]) * masks[model]
+        assert np.abs(at_fit).max() < 1e-6 * np.abs(at_zero).max()
+        assert not got[model][masks[model] == 0].any()
+    assert len(passes) < 40  # of all models together
+    with pytest.raises(ValueError):
+        L.fit_by_lbfgs(table, masks, runs, L.algorithm("SVM"))
+
+
+def test_lbfgs_ends_where_classes_can_be_separated(spark):
+    rows = [(i, float(i >= 5), [float(i) - 4.5]) for i in range(10)]
+    table = spark.createDataFrame(rows, "sample_id bigint, label double, features array<double>")
+    flags = table.selectExpr("label", "features", "array(true) AS in_train")
+    got = L.fit_by_lbfgs(flags, np.ones((1, 1)), [0], L.algorithm("LogisticRegressionWithLBFGS"), passes=30)
+    assert np.isfinite(got).all() and got[0, 0] > 1
+
+
+def test_auc_counts_pairs_and_ties(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (400, 2)).round(1)
+    y = (x[:, 0] + rng.normal(0, 1, 400) > 0.3).astype(float)
+    rows = [(float(y[i]), [float(v) for v in x[i]], [bool(i % 4), bool(i % 3)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "label double, features array<double>, in_train array<boolean>").repartition(7)
+    weights, runs = np.array([[1.0, 0.0], [0.5, 0.5], [-1.0, 0.0], [0.0, 0.0]]), [0, 1, 0, 1]
+    for task_rows in (L.TASK_ROWS, 9):
+        got = {r["model"]: r for r in L.model_auc(table, weights, runs, task_rows=task_rows).collect()}
+        for model, run in enumerate(runs):
+            rest = np.array([i for i in range(400) if not rows[i][2][run]])
+            score = x[rest] @ weights[model]
+            up, down = score[y[rest] == 1], score[y[rest] == 0]
+            want = ((up[:, None] > down) + (up[:, None] == down) / 2).mean()
+            assert got[model]["auc"] == pytest.approx(want, abs=1e-12)
+            assert (got[model]["n_positive"], got[model]["n_negative"]) == (len(up), len(down))
+        assert got[3]["auc"] == 0.5
+    one_class = table.where("label = 1")
+    assert L.model_auc(one_class, weights, runs).where("auc IS NOT NULL").count() == 0
+
+
+def test_curve_of_many_features_stays_in_tables(spark, monkeypatch):
+    """20,000 features x 60 steps: weights become rows in tasks, not on the driver."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    names = [f"gene{i:05d}" for i in range(20_000)]
+    rows = [(i, float(i % 2), rng.normal(0, 1, 20_000).tolist()) for i in range(12)]
+    table = spark.createDataFrame(rows, "sample_id bigint, label double, features array<double>").repartition(2).cache()
+    table.count()
+    del rows
+    tracemalloc.start()
+    result = cross_validate(table, names, "SVM", drop=0.06, floor=530, iterations=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    curve = result.curve.orderBy("step").collect()
+    assert len(curve) >= 60 and curve[0]["n_features"] == 20_000
+    sizes = {r["step"]: r["count"] for r in result.weights.groupBy("step").count().collect()}
+    assert sizes == {r["step"]: r["n_features"] for r in curve}
+    assert peak < 400_000_000
+    table.unpersist()
+
+
+def test_cross_validate_gives_auc_on_request(points):
+    plain = cross_validate(points, list("abcdef"), "LinearRegressionWithSGD", floor=6)
+    with_auc = cross_validate(points, list("abcdef"), "LinearRegressionWithSGD", floor=6, auc=True)
+    assert "auc" not in plain.curve.columns and with_auc.curve.first()["auc"] > 0.9
+
+
 def test_arguments(points):
     for bad in (dict(name="SGD"), dict(name="SVM", order="rfe"), dict(name="SVM", engine="x"),
                 dict(name="SVM", train_fraction=1.0), dict(name="SVM", drop=0)):
@@ -135,3 +232,8 @@ def test_elimination(spark):
     left = {r["feature"] for r in EL.eliminate_step(table, 3, 1, 0.3).collect()}
     assert left == set(schedule[1])
     assert EL.next_features(["a"], 5, {"a": 1}) == ["a"]
+    masks = EL.random_masks(names, 3, 0.3, 4)
+    assert [[n for n, kept in zip(names, m) if kept] for m in masks] == schedule
+    left = EL.smallest_dropped(np.array([1, 1, 0, 1], bool), np.array([2.0, 1, 0, 1]), list("abcd"), 1)
+    assert left.tolist() == [True, False, False, True]
+    assert EL.smallest_dropped(np.array([1, 0], bool), np.zeros(2), list("ab"), 5).tolist() == [True, False]
