@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cohortlens.functions.hypergeometric import fisher_log_p
+from cohortlens.functions.hypergeometric import with_fisher
 
 # Fixed value: size of the gene universe assumed by default.
 GENE_UNIVERSE = 30922
@@ -45,16 +41,6 @@ def contingency(overlap: DataFrame, universe: Column) -> DataFrame:
     )
 
 
-@F.pandas_udf(StructType([StructField("p", DoubleType()), StructField("log10_p", DoubleType())]))
-def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-    """p and log10 p of 2x2 tables; a table with a null cell has none."""
-    logs = [None if any(pd.isna(x) for x in cells) else fisher_log_p(*map(int, cells))
-            for cells in zip(a, b, c, d)]
-    return pd.DataFrame({
-        "p": [None if v is None else math.exp(v) for v in logs],
-        "log10_p": [None if v is None else v / math.log(10) for v in logs]}, dtype="float64")
-
-
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Sample odds ratio; infinite when only b*c is zero, NaN when a margin is zero."""
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
@@ -70,8 +56,7 @@ def fisher_tests(tables: DataFrame) -> DataFrame:
     """Contingency tables to (pathway, a, b, c, d, odds_ratio, p, log10_p)."""
     cells = ("a", "b", "c", "d")
     odds = odds_ratio(*[F.col(name) for name in cells])
-    return tables.withColumn("odds_ratio", odds).withColumn("_test", fisher(*cells)).select(
-        "*", "_test.p", "_test.log10_p").drop("_test")
+    return with_fisher(tables.select("pathway", *cells, odds.alias("odds_ratio")))
 
 
 def top_pathways(tests: DataFrame, k: int = 5) -> DataFrame:
