@@ -26,7 +26,7 @@ from cohortlens.session import lookup_side
 
 SPAN, GRAM = 200, 50
 #: Windows whose anchors are worked out at a time, and bytes of segments in one suffix array.
-PIECE, GROUP_BYTES = 1 << 17, 4_000_000
+PIECE, GROUP_BYTES = 1 << 17, 1_500_000
 _PLACE = np.uint64(18)  # bits of a place in a piece
 #: Odd multiplier of the rolling hash and its inverse modulo 2^64.
 _MULTIPLIER = 0x9E3779B97F4A7C15
