@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -23,7 +25,7 @@ GROUP_BYTES = 6_000_000
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
 _memories: dict[str, SegmentMemory] = {}
 
 
@@ -43,10 +45,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
            path: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
     """Every document's ids and the end id, cut at multiples of `length`: one row per piece.
 
-    Null text is empty: one piece, the end id. `with_ids` adds the ids themselves.
+    Null text is empty: one piece, the end id. `with_ids` adds the ids themselves. `copy` tells equal
+    rows apart, by the task and the number of equal pieces before in it, whatever their order.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"] + ["ids"] * with_ids
+        task = TaskContext.get().partitionId() << 32
+        before: Counter[tuple] = Counter()
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[list] = [[] for _ in names]
@@ -54,10 +59,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), length):
                     own = ids[start:start + length]
-                    row = [doc, start, len(own), zlib.crc32(own.tobytes()), len(ids)]
+                    piece = (doc, start, zlib.crc32(own.tobytes()))
+                    row = [doc, start, len(own), piece[2], len(ids), task + before[piece]]
+                    before[piece] += 1
                     for column, value in zip(rows, row + [own] * with_ids):
                         column.append(value)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=k) for c, k in zip(rows, kinds)], names=names)
 
@@ -91,22 +98,23 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(parts: DataFrame, groups: int, capacity: int = LENGTH, seed: int = 11) -> DataFrame:
-    """`parts` with sequence_id and offset. Each piece falls into one of `groups` groups by a hash
-    of its document and start, so copies and hot sources spread evenly; a group is packed alone and
-    numbers its sequences from its own range. Repeated rows stay and are packed like others."""
-    names = [f.name for f in parts.schema.fields]
+    """The columns of `pieces` but `copy`, with sequence_id and offset. Each piece falls into one of
+    `groups` groups by a hash of its document, start and copy, so copies, repeated rows, rows without
+    id and hot sources spread evenly; a group is packed alone and numbers its sequences from its own
+    range. Other columns of `parts` are left out. Repeated rows stay and are packed like others."""
+    fields = [f for f in parts.schema.fields if f.name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")]
+    names = [f.name for f in fields]
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
+        frame = frame.sort_values(["doc_id", "start", "copy"], kind="stable", ignore_index=True)
         where, offset = first_fit_decreasing(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = frame["_group"].to_numpy(dtype=np.int64) * (1 << 32) + where
         frame["offset"] = offset
         return frame[[*names, "sequence_id", "offset"]]
 
-    schema = StructType([*parts.schema.fields, StructField("sequence_id", LongType()),
-                         StructField("offset", LongType())])
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups))
-    return parts.withColumn("_group", group.cast("int")).groupBy("_group").applyInPandas(fill, schema)
+    schema = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy", F.lit(seed)), F.lit(groups))
+    return parts.select(*names, "copy", group.cast("int").alias("_group")).groupBy("_group").applyInPandas(fill, schema)
 
 
 def group_count(docs: DataFrame, text: str = "text") -> int:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -34,30 +34,37 @@ class SegmentMemory:
         self.size = np.zeros(1 << 15, dtype=np.int64)
         self.plain = np.zeros(1 << 15, dtype=bool)
 
-    def _ids(self, segment: str) -> np.ndarray:
-        k = self.number[segment]
-        return self.pool[self.start[k]:self.start[k] + self.size[k]]
+    def _flat(self, at: np.ndarray) -> np.ndarray:
+        """The numbers of the segments at these places, one after the other."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        return self.pool[np.repeat(self.start[at], sizes) + inside]
 
-    def _add(self, segments: list[str]) -> None:
+    def _add(self, segments: set[str]) -> None:
         """Learn the segments; of those that end in punctuation behind a letter, where every
         pattern parts, the word and the punctuation are learnt and joined."""
         split = {}
         for segment in segments:
-            stem = segment.rstrip(TAIL)
-            if stem and stem != segment and stem[-1] < "\u0250" and stem[-1].isalpha():
-                split[segment] = (stem, segment[len(stem):])
-        parts = set(chain.from_iterable(split.values())).union(s for s in segments if s not in split)
+            if segment[-1:] in TAIL:
+                stem = segment.rstrip(TAIL)
+                if stem and stem != segment and stem[-1] < "\u0250" and stem[-1].isalpha():
+                    split[segment] = (stem, segment[len(stem):])
+        parts = segments.difference(split).union(chain.from_iterable(split.values()))
         new = list(parts.difference(self.number))
         if new:
-            self._store(new, self.learn(new))
-        if split:
-            joined = [s for s in split if s not in self.number]
-            self._store(joined, [np.concatenate([self._ids(stem), self._ids(tail)])
-                                 for stem, tail in map(split.__getitem__, joined)])
+            learnt = self.learn(new)
+            sizes = np.fromiter(map(len, learnt), dtype=np.int64, count=len(learnt))
+            self._store(new, sizes, np.fromiter(chain.from_iterable(learnt), dtype=np.uint32, count=int(sizes.sum())))
+        # a tail can be what another segment is in whole
+        joined = [s for s in split if s not in self.number]
+        if joined:
+            at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split[s] for s in joined)),
+                             dtype=np.int64, count=2 * len(joined))
+            self._store(joined, self.size[at].reshape(-1, 2).sum(axis=1), self._flat(at))
 
-    def _store(self, segments: list[str], ids: list) -> None:
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        first, stop, total = len(self.number), len(self.number) + len(ids), int(sizes.sum())
+    def _store(self, segments: list[str], sizes: np.ndarray, numbers: np.ndarray) -> None:
+        first, stop, total = len(self.number), len(self.number) + len(segments), len(numbers)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while stop > len(self.start):
@@ -68,30 +75,31 @@ class SegmentMemory:
         self.start[first:stop] = self.used + np.cumsum(sizes) - sizes
         self.plain[first:stop] = [len(s) > 1 and not s[1].isspace() and not s[-1].isspace()
                                   for s in segments]
-        self.pool[self.used:self.used + total] = np.fromiter(
-            chain.from_iterable(ids), dtype=np.uint32, count=total)
+        self.pool[self.used:self.used + total] = numbers
         self.used += total
         self.number.update(zip(segments, range(first, stop)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > REMEMBERED:
             self.forget()
-        cut = []
+        cut, places, new = [], [], set()
         for text in texts:
+            # every part but the first keeps the space before it
             parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            cut.append(parts)
-        new = list(set(chain.from_iterable(cut)).difference(self.number))
+            parts[1:] = map(" ".__add__, parts[1:])
+            at = np.fromiter(map(self.number.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+            unknown = np.flatnonzero(at < 0).tolist()
+            new.update(map(parts.__getitem__, unknown))
+            cut.append((parts, unknown))
+            places.append(at)
         if new:
             self._add(new)
         out = []
-        for text, parts in zip(texts, cut):
-            at = np.fromiter(map(self.number.__getitem__, parts), dtype=np.int64, count=len(parts))
+        for text, (parts, unknown), at in zip(texts, cut, places):
+            if unknown:
+                at[unknown] = [self.number[parts[k]] for k in unknown]
             if len(at) > 1 and (parts[0][-1:].isspace() or not self.plain[at[1:]].all()):
                 out.append(np.array(self.learn([text])[0], dtype=np.uint32))
-                continue
-            sizes = self.size[at]
-            ends = np.cumsum(sizes)
-            inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-            out.append(self.pool[np.repeat(self.start[at], sizes) + inside])
+            else:
+                out.append(self._flat(at))
         return out

@@ -74,3 +74,19 @@ def test_query_wastes_little(spark, tokenizer):
     expected = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for k, t in docs.items()}
     sequences = checked(rows, expected)
     assert sum(map(len, expected.values())) / (p.LENGTH * len(sequences)) > 0.98
+
+
+def test_repeated_rows_and_rows_without_id_spread_over_the_groups(spark):
+    """A third of all rows are one row, another third have neither id nor text."""
+    rows = [(7, "the same text", 0)] * 2000 + [(None, None, 1)] * 2000 + [(100 + k, f"text {k}", 2) for k in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _group int").repartition(5)
+    packed = p.pack(p.pieces(table), 40).collect()
+    sizes = np.bincount([r["sequence_id"] >> 32 for r in packed], minlength=40)
+    assert len(packed) == 6000 and sizes.max() <= 2 * sizes.mean() and sizes.min() > 0
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        assert [a for a, _ in sorted(parts)] == np.cumsum([0] + [n for _, n in sorted(parts)])[:-1].tolist()
+    again = p.pack(p.pieces(table), 40).collect()
+    assert sorted(map(str, again)) == sorted(map(str, packed))
