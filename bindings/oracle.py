@@ -426,6 +426,67 @@ SELECT feature, n, {r6('ks_d')} AS ks_d, {r6('ks_p')} AS ks_p,
   CASE WHEN ks_p >= 0.05 THEN 'uniform' ELSE 'unknown' END AS distribution FROM tested"""
 
 
+def kolmogorov(d: str, n: str) -> str:
+    """Asymptotic p, up to 80 values that of the exact distribution: rows (H, v) of a recursion that
+    multiplies a vector by the matrix n times."""
+    lam = f"((sqrt({n}) + 0.12 + 0.11/sqrt({n}))*{d})"
+    return (f"CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101), "
+            f"lambda j: 2*(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END)*exp(-2.0*j*j*{lam}*{lam}))))) END")
+
+
+def ks_laws(source: str, laws: dict[str, str]) -> str:
+    """CTEs up to `tested`: every feature of `source` against the CDFs `laws` of x, lo, hi, mu, sd."""
+    law_rows = " UNION ALL ".join(
+        f"SELECT feature, n, '{law}' AS law, max(greatest(i/n - f, f - (i - 1)/n)) AS d "
+        f"FROM (SELECT feature, n, i, {cdf} AS f FROM placed) GROUP BY feature, n" for law, cdf in laws.items())
+    sign = "CASE WHEN i < j - 1 THEN 0.0 ELSE 1.0 END"
+    corner = "CASE WHEN i = m AND j = 1 AND 2*h > 1 THEN power(2*h - 1, m) ELSE 0.0 END"
+    entry = (f"({sign} - CASE WHEN j = 1 THEN power(h, i) ELSE 0.0 END "
+             f"- CASE WHEN i = m THEN power(h, m - j + 1) ELSE 0.0 END + {corner}) / exp(lgamma(greatest(i - j + 1, 0) + 1.0))")
+    return f"""limits AS (
+  SELECT feature, count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS mu, stddev_pop(x) AS sd
+  FROM {source} GROUP BY 1),
+placed AS (
+  SELECT l.*, x, row_number() OVER (PARTITION BY l.feature ORDER BY x) AS i
+  FROM {source} s JOIN limits l ON l.feature = s.feature WHERE hi > lo),
+distances AS ({law_rows}),
+small AS (SELECT DISTINCT n, d, greatest(1, ceil(n*d))::INT AS k FROM distances WHERE n <= 80),
+shaped AS (SELECT n, d, k, 2*k - 1 AS m, k - n*d AS h FROM small),
+matrices AS (
+  SELECT n, d, k, list_transform(range(1, m + 1), lambda i: list_transform(range(1, m + 1), lambda j: {entry})) AS rows
+  FROM shaped),
+powers AS (
+  WITH RECURSIVE steps AS (
+    SELECT n, d, k, rows, 0::BIGINT AS t, list_transform(range(1, 2*k), lambda i: CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v
+    FROM matrices
+    UNION ALL
+    SELECT n, d, k, rows, t + 1, list_transform(rows, lambda r: list_inner_product(r, v)*(t + 1)/n) FROM steps WHERE t < n)
+  SELECT n, d, least(1.0, greatest(0.0, 1 - v[k])) AS p FROM steps WHERE t = n),
+tested AS (
+  SELECT feature, law, x.n, x.d, coalesce(powers.p, {kolmogorov('x.d', 'x.n')}) AS p
+  FROM distances x LEFT JOIN powers ON powers.n = x.n AND powers.d = x.d)"""
+
+
+def normal_law(z: str) -> str:
+    return f"CASE WHEN {z} > 0 THEN 1 - exp({log_cdf(f'(-({z}))')}) ELSE exp({log_cdf(f'({z})')}) END"
+
+
+ORACLE["ks_laws"] = f"""
+WITH {NUMERIC}, both_studies AS (
+  SELECT feature, x FROM numeric_study UNION ALL
+  SELECT 'c' || o_custkey AS feature, o_totalprice::DOUBLE AS x FROM orders),
+{ks_laws('both_studies', {'uniform': '(x - lo)/(hi - lo)', 'normal': normal_law('(x - mu)/sd'),
+                          'exponential': '1 - exp(-(x - lo)/(mu - lo))'})}
+SELECT feature, law, n, {r6('d')} AS ks_d, {r6('p')} AS ks_p,
+  CASE WHEN p >= 0.05 THEN law ELSE 'unknown' END AS distribution FROM tested"""
+
+ORACLE["ks_standard_normal"] = f"""
+WITH {NUMERIC}, scaled AS (SELECT feature, x*8 AS x FROM numeric_study),
+{ks_laws('scaled', {'normal': normal_law('x')})}
+SELECT feature, n, {r6('d')} AS ks_d, {r6('p')} AS ks_p,
+  CASE WHEN p >= 0.05 THEN law ELSE 'unknown' END AS distribution FROM tested"""
+
+
 def pairs(source: str) -> str:
     return f"""feature_names AS (SELECT DISTINCT feature FROM {source}),
 all_pairs AS (

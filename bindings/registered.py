@@ -15,6 +15,7 @@ from cohortlens.operators import correction as M
 from cohortlens.operators import correlation as C
 from cohortlens.operators import elimination as EL
 from cohortlens.operators import enrichment as E
+from cohortlens.operators import goodness as G
 from cohortlens.operators import linear_models as L
 from cohortlens.operators import normality as N
 from cohortlens.operators import observations as O
@@ -353,6 +354,29 @@ def ks_uniform(spark, d):
         "distribution")
 
 
+def _prices_by_customer(spark, d):
+    return X.table(spark, d, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("feature"), F.col("o_orderkey").alias("sample_id"),
+        F.col("o_totalprice").cast("double").alias("value"))
+
+
+@query
+def ks_laws(spark, d):
+    """Embedding dimensions, and the order prices of every customer, against each law: many values
+    with the asymptotic p, few with the exact one."""
+    values = X.numeric_study(spark, d).unionByName(_prices_by_customer(spark, d))
+    return G.ks_test(values).select(
+        "feature", "law", "n", r6(F.col("ks_d")).alias("ks_d"), r6(F.col("ks_p")).alias("ks_p"), "distribution")
+
+
+@query
+def ks_standard_normal(spark, d):
+    """Scaled embedding dimensions against the normal law with given location and scale."""
+    values = X.numeric_study(spark, d).withColumn("value", F.col("value") * 8)
+    return G.ks_test(values, ["normal"], parameters={"normal": (0.0, 1.0)}).select(
+        "feature", "n", r6(F.col("ks_d")).alias("ks_d"), r6(F.col("ks_p")).alias("ks_p"), "distribution")
+
+
 def _matrix(found: DataFrame) -> DataFrame:
     return found.select("feature_x", "feature_y", "n", r6(F.col("r")).alias("r"),
                         r6(F.col("p")).alias("p"), "degenerate")

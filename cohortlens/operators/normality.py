@@ -65,7 +65,7 @@ def order_totals(values: DataFrame) -> DataFrame:
     ))
 
 
-def _runs_with_totals(values: DataFrame, totals: DataFrame, task_rows: int) -> DataFrame:
+def runs_with_totals(values: DataFrame, totals: DataFrame, task_rows: int) -> DataFrame:
     runs = ranked_runs(finite_only(values), ["feature"], "value", totals, task_rows)
     return runs.join(lookup_side(totals), "feature")
 
@@ -145,7 +145,7 @@ def anderson_a2(values: DataFrame, totals: DataFrame | None = None, task_rows: i
                 ) -> DataFrame:
     """(feature, n, anderson_a2) for a normal with estimated mean and sample deviation."""
     totals = order_totals(values) if totals is None else totals
-    runs = _runs_with_totals(values, totals, task_rows).where(F.col("var_pop") > 0)
+    runs = runs_with_totals(values, totals, task_rows).where(F.col("var_pop") > 0)
     sums = _with_anderson_term(runs).groupBy("feature").agg(F.sum("anderson_term").alias("total"))
     return totals.select("feature", "n").join(sums, "feature", "left").select(
         "feature", "n", (-F.col("n") - F.col("total") / F.col("n")).alias("anderson_a2")
@@ -168,7 +168,7 @@ def _statistics(values: DataFrame, totals: DataFrame, task_rows: int, long_run:
     """Both normality statistics from one ranking of the values."""
     long_run = max(long_run, 2 * EDGE)
     n, below, run = F.col("n"), F.col("below"), F.col("run")
-    runs = _runs_with_totals(values, totals, task_rows).where(F.col("var_pop") > 0)
+    runs = runs_with_totals(values, totals, task_rows).where(F.col("var_pop") > 0)
     runs = _with_anderson_term(runs)
     lo, hi = below + 1, below + run
     interior = F.when(run > long_run, _interior_moments(
@@ -247,7 +247,7 @@ def ks_uniform(values: DataFrame, alpha: float = 0.05, totals: DataFrame | None
                task_rows: int = TASK_ROWS) -> DataFrame:
     """Distance of each feature from the uniform distribution on its own range."""
     totals = order_totals(values) if totals is None else totals
-    runs = _runs_with_totals(values, totals, task_rows)
+    runs = runs_with_totals(values, totals, task_rows)
     runs = runs.where(F.col("max_value") > F.col("min_value"))
     n = F.col("n")
     expected = (F.col("value") - F.col("min_value")) / (F.col("max_value") - F.col("min_value"))
