@@ -7,7 +7,7 @@ mistake is unlikely; sizes of the test tables keep that affordable.
 from __future__ import annotations
 
 from bindings.registered import (
-    CURVE_DROP, CURVE_FLOOR, CV_RUNS, CV_SEED, DESCENT_STEPS, DESCENT_TOLERANCE, SPLIT_SEED,
+    CURVE_DROP, CURVE_FLOOR, CV_RUNS, CV_SEED, DESCENT_STEPS, DESCENT_TOLERANCE, RESULT_FOLDERS, SPLIT_SEED,
     TRAIN_FRACTION,
 )
 from cohortlens.functions import special as S
@@ -232,6 +232,16 @@ SELECT c.c_custkey, c_mktsegment AS algorithm,
   u.n_features
 FROM customer c LEFT JOIN updates u ON u.c_custkey = c.c_custkey"""
 
+ORACLE["result_store_update"] = f"""
+WITH rich AS (
+  SELECT CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1000000000 ELSE o_custkey END AS k,
+    max({r6('o_totalprice')}) AS perf FROM orders WHERE o_totalprice > 450000 GROUP BY 1),
+placed AS (
+  SELECT c.*, rich.perf AS new, ('0x' || md5(c_custkey::VARCHAR)[1:8])::BIGINT % {RESULT_FOLDERS} AS folder
+  FROM customer c LEFT JOIN rich ON k = c_custkey)
+SELECT c_custkey, c_mktsegment AS algorithm, CASE WHEN new IS NULL THEN 'pending' ELSE 'completed' END AS status,
+  coalesce(new, {r6('c_acctbal')}) AS perf, count(new) OVER (PARTITION BY folder) > 0 AS replaced FROM placed"""
+
 ORACLE["result_document"] = f"""
 WITH {MIXED}, {FAMILIES}
 SELECT count(*) AS n_features, sum(n_na)::BIGINT AS n_na,
@@ -809,12 +819,27 @@ SELECT pos, feature FROM drawn WHERE nth > greatest(1, round(total*{CURVE_DROP})
 
 KEPT, LAST = eliminated(CURVE_DROP, CURVE_FLOOR)
 ALL_KEPT = " UNION ALL ".join(f"SELECT * FROM k{step}" for step in range(LAST + 1))
-CURVE = f"{KEPT}, " + descent("LogisticRegressionWithSGD", DESCENT_STEPS, ALL_KEPT) + f""", best AS (
+
+
+def curve(name: str) -> str:
+    return f"{KEPT}, " + descent(name, DESCENT_STEPS, ALL_KEPT) + f""", best AS (
   SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(error, 4), n_features, step) AS nth
   FROM curve), chosen AS (
   SELECT b.run, b.step, b.n_features, b.error, w.feature, w.w FROM best b
   JOIN w{DESCENT_STEPS} w ON w.run = b.run AND w.step = b.step WHERE nth = 1)"""
 
+
+CURVE = curve("LogisticRegressionWithSGD")
+
+ORACLE["cv_document"] = f"""
+WITH {curve("LinearRegressionWithSGD")}, curves AS (
+  SELECT run, to_json(list({{'step': step, 'n_features': n_features, 'n_wrong': n_wrong}} ORDER BY step))::VARCHAR AS curve
+  FROM curve GROUP BY run)
+SELECT run, {r6('any_value(error)')} AS perf, any_value(step) AS step, any_value(n_features) AS n_features,
+  any_value(curve) AS curve, {r6('sum(w)')} AS weight_sum, 'LinearRegressionWithSGD' AS algorithm,
+  'LinearRegressionWithSGD {TRAIN_FRACTION} {CV_RUNS} {CURVE_DROP}' AS parameters, 'completed' AS status
+FROM chosen JOIN curves USING (run) GROUP BY run"""
+
 # A long descent: the vectors have length 1, so this pace is below 2 over the largest curvature.
 ORACLE["cv_logit_lbfgs"] = f"""
 WITH {KEPT}, {descent("LogisticRegressionWithLBFGS", 150, ALL_KEPT, pace=PACE)}
@@ -851,7 +876,7 @@ SELECT pathway, a, {r6('p')} AS p,
 
 # --------------------------------------------------------------------------- general testing
 
-ORACLE["general_testing_report"] = f"""
+REPORT = f"""
 WITH {MIXED}, {FAMILIES}, study AS (
   SELECT v.feature, sample_id, num AS x FROM valid v JOIN families f ON f.feature = v.feature
   WHERE family = 'Numerical' AND num IS NOT NULL),
@@ -892,4 +917,25 @@ report AS (
   UNION ALL SELECT 'AnovaTest', printf('%.2f', std_bucket), '', 'n_features', n_features FROM anova
   UNION ALL SELECT 'AnovaTest', printf('%.2f', std_bucket), '', 'f', f FROM anova
   UNION ALL SELECT 'AnovaTest', printf('%.2f', std_bucket), '', 'p', p FROM anova)
+"""
+
+ORACLE["general_testing_report"] = f"""{REPORT}
 SELECT section, item, other, metric, {r6('value')} AS value FROM report"""
+
+
+def first_rows(section: str, metric: str, column: str, value: str, order: str) -> str:
+    return f"""(SELECT coalesce(to_json(list({{'feature': item, '{column}': {value}}} ORDER BY value {order}, item))::VARCHAR, '[]')
+  FROM (SELECT * FROM report WHERE section = '{section}' AND metric = '{metric}' ORDER BY value {order}, item LIMIT 3))"""
+
+
+MILLIONTHS = "round(value*1e6)::BIGINT"
+ORACLE["general_testing_document"] = f"""{REPORT}
+SELECT (SELECT to_json({{'n_features': n_features, 'n_binary': n_binary, 'n_numerical': n_numerical,
+    'n_categorical': n_categorical, 'n_other': n_other, 'n_normal': n_normal, 'n_unknown': n_unknown}})::VARCHAR FROM numbers) AS numbers,
+  {first_rows('BinomialTest', 'p', 'p', MILLIONTHS, 'ASC')} AS binomial,
+  {first_rows('ChiSquareTest', 'p', 'p', MILLIONTHS, 'ASC')} AS chi_square,
+  {first_rows('NumberOfNAs', 'n_na', 'n_na', 'value::BIGINT', 'DESC')} AS missing,
+  (SELECT count(*) FROM report WHERE section = 'BinomialTest') AS n_binomial,
+  (SELECT count(*) FROM report WHERE section = 'ChiSquareTest' AND metric = 'p') AS n_chi_square,
+  (SELECT count(*) FROM report WHERE section = 'NumberOfNAs') AS n_missing,
+  (SELECT count(*) FROM report WHERE section = 'AnovaTest' AND metric = 'p') AS n_anova, 'Completed' AS status"""

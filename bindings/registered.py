@@ -23,7 +23,7 @@ from cohortlens.operators import splits as S
 from cohortlens.plans import cross_validation as CV
 from cohortlens.plans import enrichment as PE
 from cohortlens.plans import general_testing as GT
-from cohortlens.session import cut
+from cohortlens.session import cut, scratch_path
 from cohortlens.sources import readers, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ REGISTRY: dict[str, Query] = {}
 SPLIT_SEED, TRAIN_FRACTION, CV_SEED, CV_RUNS = 7, 0.8, 3, 2
 DESCENT_STEPS, DESCENT_TOLERANCE = 100, 1e-3
 CURVE_DROP, CURVE_FLOOR = 0.25, 30
+RESULT_FOLDERS = 64
 
 
 def query(function: Query) -> Query:
@@ -152,6 +153,22 @@ def result_update(spark, d):
     return results.update_existing(target, updates, "c_custkey")
 
 
+@query
+def result_store_update(spark, d):
+    """Stored results after an update: the rows, and which folders were replaced."""
+    target = X.table(spark, d, "customer").select(
+        "c_custkey", F.col("c_mktsegment").alias("algorithm"), F.lit("pending").alias("status"),
+        r6(F.col("c_acctbal")).alias("perf"))
+    path = scratch_path(spark, "results")
+    results.store_results(target, path, "c_custkey", RESULT_FOLDERS)
+    rich = X.table(spark, d, "orders").where("o_totalprice > 450000").select(
+        F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 1_000_000_000).otherwise(F.col("o_custkey"))
+        .alias("c_custkey"), F.lit("completed").alias("status"), r6(F.col("o_totalprice")).alias("perf"))
+    touched = results.update_stored(spark, path, rich, "c_custkey", RESULT_FOLDERS, order=None)
+    return results.read_results(spark, path).select(
+        "*", results.bucket_of("c_custkey", RESULT_FOLDERS).isin(touched).alias("replaced"))
+
+
 @query
 def result_document(spark, d):
     """Families and missing values of the mixed study as one result row."""
@@ -676,6 +693,20 @@ def model_auc(spark, d):
     return found.select("model", "n_positive", "n_negative", r6(F.col("auc")).alias("auc"))
 
 
+@query
+def cv_document(spark, d):
+    """Result rows of an elimination, the curve as JSON; the weights of the chosen models are sums."""
+    result = _cross_validate(spark, d, "LinearRegressionWithSGD", drop=CURVE_DROP, floor=CURVE_FLOOR)
+    curve = F.transform("PerformanceCurve", lambda s: F.struct(s["step"].alias("step"), s["n_features"].alias("n_features"),
+                                                               s["n_wrong"].alias("n_wrong")))
+    weights = result.best_weights().groupBy("run").agg(r6(F.sum("weight")).alias("weight_sum"))
+    return result.documents().join(weights, "run").select(
+        "run", r6(F.col("ModelPerf")).alias("perf"), F.col("ModelStep").alias("step"),
+        F.col("NumberOfFeatures").alias("n_features"), F.to_json(curve).alias("curve"), "weight_sum",
+        F.col("AlgorithmUsed").alias("algorithm"), F.col("WorkflowSpecificParameters").alias("parameters"),
+        F.col("Status").alias("status"))
+
+
 @query
 def cv_linreg_estimator(spark, d):
     return _optimal(spark, d, "LinearRegressionWithSGD")
@@ -740,3 +771,21 @@ def general_testing_report(spark, d):
     report = GT.general_testing(X.mixed_study(spark, d))
     return report.long().select("section", "item", "other", "metric",
                                 r6(F.col("value")).alias("value"))
+
+
+@query
+def general_testing_document(spark, d):
+    """The result row of the report, sections as JSON with p in millionths."""
+    document = GT.general_testing_document(GT.general_testing(X.mixed_study(spark, d)), most=3)
+
+    def section(name: str, *columns: str) -> Column:
+        def field(r: Column, c: str) -> Column:
+            return big(F.round(r["p"] * 1e6)) if c == "p" else r[c]
+        return F.to_json(F.transform(name, lambda r: F.struct(*[field(r, c).alias(c) for c in columns])))
+
+    return document.select(
+        F.to_json("NumberOfData").alias("numbers"), section("BinomialTest", "feature", "p").alias("binomial"),
+        section("ChiSquareTest", "feature", "p").alias("chi_square"),
+        section("NumberOfNAs", "feature", "n_na").alias("missing"), F.col("BinomialTestRows").alias("n_binomial"),
+        F.col("ChiSquareTestRows").alias("n_chi_square"), F.col("NumberOfNAsRows").alias("n_missing"),
+        F.col("AnovaTestRows").alias("n_anova"), F.col("Status").alias("status"))

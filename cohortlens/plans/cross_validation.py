@@ -40,21 +40,19 @@ class CrossValidationResult:
             F.broadcast(self.best().select("run", "step")), ["run", "step"], "left_semi")
 
     def documents(self) -> DataFrame:
-        """One result row per run, as it is stored: arrays of the chosen model and its curve."""
+        """One result row per run, as it is stored: the chosen model's error and size, the curve (a
+        row per elimination step) and the settings. Features and weights of the chosen model are the
+        table `best_weights`, keyed by run, as they may be many."""
         best = self.best().select(
-            "run", F.col("error").alias("ModelPerf"), F.col("step").alias("chosen_step"))
-        chosen = self.best_weights().groupBy("run").agg(
-            F.array_sort(F.collect_list(F.struct("feature", "weight"))).alias("model"))
+            "run", F.col("error").alias("ModelPerf"), F.col("step").alias("ModelStep"),
+            F.col("n_features").alias("NumberOfFeatures"))
         curve = self.curve.groupBy("run").agg(
-            F.array_sort(F.collect_list(F.struct("step", "n_features", "error"))).alias("steps"))
+            F.array_sort(F.collect_list(F.struct("step", "n_features", "n_wrong", "error"))).alias("PerformanceCurve"))
         settings = self.settings
         text = " ".join(str(settings[k]) for k in ("algorithm", "train_fraction", "runs", "drop"))
-        return best.join(chosen, "run").join(curve, "run").select(
-            "run", F.col("model.feature").alias("ModelFeatures"),
-            F.col("model.weight").alias("ModelWeights"), F.lit(0.0).alias("ModelIntercept"),
-            "ModelPerf",
-            F.transform("steps", lambda s: F.struct(s["n_features"], s["error"]))
-            .alias("PerformanceCurve"),
+        return best.join(curve, "run").select(
+            "run", "ModelPerf", "ModelStep", "NumberOfFeatures", F.lit(0.0).alias("ModelIntercept"),
+            "PerformanceCurve",
             F.lit(settings["algorithm"]).alias("AlgorithmUsed"),
             F.lit(settings["train_fraction"]).alias("kfold"),
             F.lit(settings["runs"]).alias("Resampling"),

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.anova import anova_by_deviation
 from cohortlens.operators.categorical import binomial_test, chi_square_equal, class_counts
 from cohortlens.operators.correlation import heatmap_cells, pearson_matrix
 from cohortlens.operators.normality import normality, order_totals
-from cohortlens.operators.observations import (
-    drop_missing, family_counts, feature_families, numeric_values, of_family,
-)
-from cohortlens.session import cut
+from cohortlens.operators.observations import family_counts, feature_families
+from cohortlens.session import cut, scratch_path
+from cohortlens.sources.study_store import read_family, write_study
 
 
 @dataclass(frozen=True)
@@ -62,44 +61,57 @@ class GeneralTestingReport:
         return result
 
 
-def general_testing(obs: DataFrame, level: float = 5.0) -> GeneralTestingReport:
+def general_testing(obs: DataFrame, level: float = 5.0, store: str | None = None,
+                    data_type: str = "study") -> GeneralTestingReport:
     """Run every test that fits the inferred family of each feature.
 
-    The family table (one row per feature) is fixed once; each section is then its own pass over
-    the observations and can be evaluated alone.
+    The raw study is read to infer the families and once more to write it typed, by family, under
+    `store` (by default a new folder beside the checkpoints). Every section reads the partition of
+    its family from there; each can be evaluated alone.
     """
+    spark = obs.sparkSession
     families = cut(feature_families(obs))
-    present = drop_missing(obs)
-    values = numeric_values(present, families)
+    store = store or scratch_path(spark, "study")
+    write_study(obs, families, store, data_type)
+
+    def family(name: str) -> DataFrame:
+        return read_family(spark, store, name, data_type)
+
+    values = family("Numerical").where("value IS NOT NULL").select("feature", "sample_id", "value")
     totals = order_totals(values)
     verdicts = cut(normality(values, level, totals))
     normal = verdicts.where(F.col("distribution") == "normal").select("feature")
-    categorical = class_counts(of_family(present, families, "Categorical"))
-    binary = class_counts(of_family(present, families, "Binary"))
     return GeneralTestingReport(
         families=families,
         verdicts=verdicts,
         counts=family_counts(families, verdicts),
         missing=families.where(F.col("family") == "Numerical").select("feature", "n_na"),
         correlations=pearson_matrix(values),
-        chi_square=chi_square_equal(categorical),
-        binomial=binomial_test(binary),
+        chi_square=chi_square_equal(class_counts(family("Categorical"))),
+        binomial=binomial_test(class_counts(family("Binary"))),
         anova=anova_by_deviation(totals.join(normal, "feature", "left_semi")),
     )
 
 
-def general_testing_document(report: GeneralTestingReport) -> DataFrame:
-    """One result row with an array per section; every array has at most a row per summary row."""
+def general_testing_document(report: GeneralTestingReport, most: int = 20) -> DataFrame:
+    """One result row: counts, and per section the number of tests and the `most` with the smallest p
+    (of missing values, the features that lack most). All rows are the report's own tables."""
 
-    def gathered(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    def gathered(df: DataFrame, name: str, order: list, *columns: str) -> DataFrame:
+        size = df.agg(F.count(F.lit(1)).alias(f"{name}Rows"))
+        first = df.orderBy(*order).limit(most)
+        place = F.row_number().over(Window.orderBy(*order)).alias("_place")  # over at most `most` rows
+        rows = first.select(place, *columns).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("_place", *columns))),
+                        lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias(name))
+        return rows.join(F.broadcast(size), F.lit(True))  # one row each
 
     parts = [
-        gathered(report.anova, "AnovaTest", "std_bucket", "n_features", "f", "p"),
-        gathered(report.binomial, "BinomialTest", "feature", "p"),
-        gathered(report.chi_square, "ChiSquareTest", "feature", "chi2", "p"),
+        gathered(report.anova, "AnovaTest", ["p", "std_bucket"], "std_bucket", "n_features", "f", "p"),
+        gathered(report.binomial, "BinomialTest", ["p", "feature"], "feature", "p"),
+        gathered(report.chi_square, "ChiSquareTest", ["p", "feature"], "feature", "chi2", "p"),
         report.counts.select(F.struct(*report.counts.columns).alias("NumberOfData")),
-        gathered(report.missing, "NumberOfNAs", "feature", "n_na"),
+        gathered(report.missing, "NumberOfNAs", [F.desc("n_na"), "feature"], "feature", "n_na"),
     ]
     document = parts[0]
     for part in parts[1:]:

@@ -43,9 +43,11 @@ def labeled_points(lines: DataFrame, line: str = "line", id_col: str = "sample_i
     )
 
 
-def feature_names(lines: DataFrame, line: str = "line") -> DataFrame:
-    """One space-separated header line to (pos, feature), pos from zero."""
-    return lines.limit(1).select(F.posexplode(F.split(F.col(line), " ")).alias("pos", "feature"))
+def feature_names(lines: DataFrame, line: str = "line", number: str | None = None) -> DataFrame:
+    """The first space-separated header line to (pos, feature), pos from zero: the one with the
+    smallest `number` (a column), without one the smallest line, whatever the order of rows."""
+    first = lines.agg(F.min(F.col(line)) if number is None else F.min_by(line, number)).toDF("line")
+    return first.select(F.posexplode(F.split("line", " ")).alias("pos", "feature"))
 
 
 def header_names(files: DataFrame, text: str = "text", id_col: str = "file_id") -> DataFrame:
