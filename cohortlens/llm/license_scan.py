@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import stored, table
+from cohortlens.llm.common import slices, stored, table
 from cohortlens.llm.quality_rules import STOP_WORDS
 from cohortlens.session import lookup_side
 
@@ -39,7 +41,7 @@ _GNU_DATES = (("GPL-2.0", "2, June 1991"), ("GPL-3.0", "3, 29 June 2007"), ("LGP
 _SPDX = ("Apache-2.0 Apache-1.1 MIT MIT-0 ISC Zlib BSL-1.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause 0BSD MPL-1.1 MPL-2.0 "
          "EPL-1.0 EPL-2.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 "
          "CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 Unlicense WTFPL").split()
-#: Titles, usual headers, SPDX lines and longer passages; compared with windows of their own length.
+#: Titles, usual headers, SPDX lines and longer passages; compared with windows of their own length.
 PASSAGES = (
     *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
     *((name, f"SPDX-License-Identifier: {name}{form}") for name, _ in (*_GNU_DATES, ("GPL-1.0", ""))
@@ -115,7 +117,18 @@ class TemplateIndex:
                 rest -= (weights[t] / norm) ** 2
         self.anchors = sorted(anchors)
         self.threshold = threshold
-        self.seeds, self.longest = [], max(sum(c.values()) for c in counts)
+        self.names = [name for name, _ in templates]
+        #: By token, the templates that hold it with its weight there; as bytes, for whole texts.
+        self.holders: dict[bytes, list[tuple[int, float]]] = {}
+        self.weights: list[dict[str, float]] = [{} for _ in templates]
+        for k, _, t, w in self.rows:
+            self.holders.setdefault(t.encode(), []).append((k, w))
+            self.weights[k][t] = w
+        #: By token of a template, where windows of the template start before it.
+        self.seeds: dict[int, dict[str, list[int]]] = {}
+        self.lengths = [sum(c.values()) for c in counts]
+        #: Lines and pairs of them are compared with short notices already.
+        self.breaks = [2 if t in TEMPLATES else 0 for t in templates]
         for k, ((_, text), c) in enumerate(zip(templates, counts)):
             words = tokens_of(text)
             rest, norm = 1.0, sum((n * self.idf[t]) ** 2 for t, n in c.items())
@@ -123,105 +136,98 @@ class TemplateIndex:
             for t in sorted(c, key=lambda t: (t in COMMON, len(t) < 3 or t.isdigit(), times[t], -len(t), t)):
                 if rest < threshold ** 2 - 1e-9:
                     break
-                # lines and pairs of them are compared with short notices already
-                breaks = 2 if templates[k] in TEMPLATES else 0
-                self.seeds += [(k, t, at, len(words), breaks) for at, word in enumerate(words) if word == t]
+                self.seeds.setdefault(k, {})[t] = [at for at, word in enumerate(words) if word == t]
                 rest -= (c[t] * self.idf[t]) ** 2 / norm
 
     def pattern(self) -> str:
         return f"(^|[^a-z0-9])({'|'.join(self.anchors)})([^a-z0-9]|$)"
 
-    def seed_pattern(self) -> str:
-        return f"(^|[^a-z0-9])({'|'.join(sorted({s[1] for s in self.seeds}))})([^a-z0-9]|$)"
-
-
-def pieces(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "[\r\n]+"), lambda s: s != "")
-
-
-def notices(text: Column) -> Column:
-    """Sentences and lines of a whole text, each alone and with the one after it."""
-    return F.transform(F.array(pieces(text)), lambda p: F.concat(p, F.transform(
-        F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda s, i: F.concat(s, F.lit(" "), F.get(p, i + 1)))))[0]
-
-
-def own_licenses(files: DataFrame, index: TemplateIndex) -> DataFrame:
-    """(id, path, mark, license, score) of the files in which some notice reaches the threshold:
-    the best template, the smallest name among equals. `mark` tells texts of one id and path apart."""
-    spark = files.sparkSession
-    hint = index.pattern()
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # the anchors are words of a few templates, so few texts and fewer notices get past them
-    units = files.select("id", "path", "mark", lowered.alias("text")).where(F.col("text").rlike(hint)).select(
-        "id", "path", "mark", F.posexplode(F.filter(notices(F.col("text")), lambda s: s.rlike(hint))).alias("unit", "notice"))
-    counted = units.select("id", "path", "mark", "unit", F.explode(
-        F.array_remove(F.split("notice", "[^a-z0-9]+"), "")).alias("token")).groupBy(
-        "id", "path", "mark", "unit", "token").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.broadcast(spark.createDataFrame(sorted(index.idf.items()), "token string, idf double"))  # template words
-    weighed = counted.join(idf, "token", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(index.other)))
-    norms = weighed.groupBy("id", "path", "mark", "unit").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.struct("token", "w")).alias("cells"))
-    templates = F.broadcast(spark.createDataFrame(
-        index.rows, "template int, license string, token string, weight double"))
-    scored = norms.select("id", "path", "mark", "unit", "norm", F.inline("cells")).join(templates, "token").groupBy(
-        "id", "path", "mark", "unit", "template", "license").agg(
-        (F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("score"))
-    best = scored.where(F.col("score") >= index.threshold - 1e-9).select(
-        "id", "path", "mark", "license", F.round("score", 6).alias("score")).groupBy("id", "path", "mark").agg(
-        F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b"))
-    return best.select("id", "path", "mark", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
-
-
-def windowed_licenses(files: DataFrame, index: TemplateIndex) -> DataFrame:
-    """As `own_licenses`, over windows of words: each seed word of a template in the text lays one
-    window of the template's length where the template would lie."""
-    spark, reach = files.sparkSession, index.longest
-    key = ["id", "path", "mark"]
-    seeds = sorted({s[1] for s in index.seeds})
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-    def around(words: Column) -> Column:
-        """Seed words of the text with `reach` words on either side."""
-        at = F.filter(F.transform(words, lambda w, i: F.struct(w.token.alias("token"), i.alias("i"))),
-                      lambda s: s.token.isin(seeds))
-        return F.transform(at, lambda s: F.struct(
-            s.token.alias("token"), s.i.alias("i"), F.greatest(s.i - reach, F.lit(0)).alias("first"),
-            F.slice(words, F.greatest(s.i - reach, F.lit(0)) + 1, 2 * reach).alias("words")))
-
-    words = F.flatten(F.transform(pieces(F.col("lowered")), lambda p, k: F.transform(
-        F.array_remove(F.split(p, "[^a-z0-9]+"), ""), lambda w: F.struct(w.alias("token"), k.alias("piece")))))
-    hits = files.select(*key, lowered.alias("lowered")).where(F.col("lowered").rlike(index.seed_pattern())).select(
-        *key, F.inline(F.transform(F.array(words), around)[0]))
-    cells: dict[int, list] = {}
-    for k, _, t, w in index.rows:
-        cells.setdefault(k, []).append((t, w * w))
-    laid = F.broadcast(spark.createDataFrame(
-        [(*seed, cells[seed[0]]) for seed in index.seeds], "template int, token string, at int, length int, breaks int, "
-        "cells array<struct<token string, square double>>"))
-    # the root of a template's squared weights within a window bounds its cosine
-    covered = F.aggregate("cells", F.lit(0.0), lambda total, c: total + F.when(
-        F.array_contains(F.col("words.token"), c.token), c.square).otherwise(0.0))
-    start = F.greatest(F.col("i") - F.col("at"), F.lit(0))
-    windows = hits.join(laid, "token").select(
-        *key, "template", start.alias("start"), F.slice("words", start - F.col("first") + 1, F.col("length")).alias("words"),
-        "breaks", "cells").where((F.element_at("words", -1).piece - F.element_at("words", 1).piece >= F.col("breaks"))
-                                 & (covered >= index.threshold ** 2 - 1e-9)
-                                 ).drop("cells").dropDuplicates([*key, "template", "start"])
-    counted = windows.select(*key, "template", "start", F.explode("words.token").alias("token")).groupBy(
-        *key, "template", "start", "token").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.broadcast(spark.createDataFrame(sorted(index.idf.items()), "token string, idf double"))
-    templates = F.broadcast(spark.createDataFrame(
-        [(k, t, w) for k, _, t, w in index.rows], "template int, token string, weight double"))
-    weighed = counted.join(idf, "token", "left").join(templates, ["template", "token"], "left").withColumn(
-        "w", F.col("n") * F.coalesce("idf", F.lit(index.other)))
-    scored = weighed.groupBy(*key, "template", "start").agg(
-        (F.sum(F.col("w") * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    names = F.broadcast(spark.createDataFrame(
-        sorted({(k, name) for k, name, _, _ in index.rows}), "template int, license string"))
-    return scored.where(F.col("score") >= index.threshold - 1e-9).join(names, "template").groupBy(*key).agg(
-        F.min(F.struct((-F.round("score", 6)).alias("minus"), "license")).alias("b")).select(
-        *key, F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"))
+    def possible(self, held: set[bytes]) -> list[int]:
+        """Templates that a text with these tokens can reach: the root of a template's squared
+        weights within a text bounds its cosine."""
+        mass: dict[int, float] = {}
+        for token in held & self.holders.keys():
+            for k, w in self.holders[token]:
+                mass[k] = mass.get(k, 0.0) + w * w
+        return sorted(k for k, m in mass.items() if m >= self.threshold ** 2 - 1e-9)
+
+    def best(self, tokens: list[str], templates: list[int], best: tuple[float, str] | None) -> tuple[float, str] | None:
+        """(minus the rounded score, name) of the best of these templates that reaches the threshold, or
+        `best` if that is better; the smallest name among equals."""
+        held = set(tokens)
+        near = [k for k in templates if sum(w * w for t, w in self.weights[k].items() if t in held) >= self.threshold ** 2 - 1e-9]
+        if near:
+            counts = Counter(tokens)
+            weighed = {t: n * self.idf.get(t, self.other) for t, n in counts.items()}
+            norm = math.sqrt(sum(w * w for w in weighed.values()))
+            for k in near:
+                score = sum(weighed[t] * w for t, w in self.weights[k].items() if t in weighed) / norm
+                if score >= self.threshold - 1e-9:
+                    found = (-round(score, 6), self.names[k])
+                    best = found if best is None else min(best, found)
+        return best
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# tokens are runs of letters and digits of ASCII; all else parts them
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+
+
+def pieces(text: str) -> list[list[str]]:
+    """Tokens of the sentences and lines of a whole text."""
+    lines = re.split("[\r\n]+", re.sub(r"([.!?;])[ \t]+", "\\1\n", text.translate(_LOWER)))
+    return [re.findall("[a-z0-9]+", line) for line in lines if line]
+
+
+def stated_license(raw: bytes, index: TemplateIndex, passages: TemplateIndex) -> tuple[float, str] | None:
+    """(minus the score, licence) of the best notice in a whole text.
+
+    Each sentence or line, alone and with the one after it, is compared with `index`. Where none of
+    these reaches the threshold, windows of words are compared with `passages`: each seed word of a
+    template in the text lays one window of the template's length where the template would lie.
+    """
+    held = set(raw.translate(_FOLD).split())
+    short, long_ = index.possible(held), passages.possible(held)
+    if not short and not long_:
+        return None  # few texts get past this
+    parts = pieces(raw.decode())
+    best = None
+    for k, tokens in enumerate(parts):
+        best = index.best(tokens, short, best) if short and tokens else best
+        if short and k + 1 < len(parts):
+            best = index.best(tokens + parts[k + 1], short, best)
+    if best or not long_:
+        return best
+    words = [t for tokens in parts for t in tokens]
+    piece = [k for k, tokens in enumerate(parts) for _ in tokens]
+    places: dict[str, list[int]] = {}
+    for i, word in enumerate(words):
+        places.setdefault(word, []).append(i)
+    for k in long_:
+        length = passages.lengths[k]
+        starts = {max(0, i - at) for seed, offsets in passages.seeds[k].items() for i in places.get(seed, ()) for at in offsets}
+        for start in sorted(starts):
+            stop = min(start + length, len(words))
+            if piece[stop - 1] - piece[start] >= passages.breaks[k]:
+                best = passages.best(words[start:stop], [k], best)
+    return best
+
+
+def own_licenses(files: DataFrame, index: TemplateIndex, passages: TemplateIndex) -> DataFrame:
+    """(id, path, stated, license, score) of every row of (id, path, stated, text): the licence that
+    the whole text states, null where none; worked out row by row, nothing is shuffled."""
+    kind = files.schema["id"].dataType.simpleString()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [stated_license(t, index, passages) if t else None for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([f and f[1] for f in found], pa.string()),
+                 pa.array([None if f is None else -f[0] for f in found], pa.float64())],
+                names=["id", "path", "stated", "license", "score"])
+
+    return files.select("id", "path", "stated", F.col("text").cast("binary").alias("text")).mapInArrow(
+        judge, f"id {kind}, path string, stated boolean, license string, score double")
 
 
 def folder_of(path: Column) -> Column:
@@ -243,15 +249,9 @@ def scan(files: DataFrame, id_col: str, path: Column, text: str = "text", states
     index = index or TemplateIndex()
     passages = passages or TemplateIndex(TEMPLATES + PASSAGES)
     stated = F.rlike(F.col("path"), F.lit(LICENSE_FILE)) if states_folder is None else states_folder
-    rows = files.select(F.col(id_col).alias("id"), path.alias("path"), F.col(text).alias("text")).select(
-        "id", "path", "text", F.xxhash64("text").alias("mark"), F.coalesce(stated, F.lit(False)).alias("stated"))
-    keys = [F.col("r." + c).eqNullSafe(F.col("o." + c)) for c in ("id", "path", "mark")]
-    short = stored(own_licenses(rows, index))
-    rest = rows.alias("r").join(short.alias("o"), keys[0] & keys[1] & keys[2], "left_anti")
-    own = short.unionByName(stored(windowed_licenses(rest, passages)))
-    named = stored(rows.select("id", "path", "mark", "stated").alias("r").join(
-        own.alias("o"), keys[0] & keys[1] & keys[2], "left").select(
-        "r.id", "r.path", "r.stated", folder_of(F.col("r.path")).alias("dir"), "o.license", "o.score"))
+    rows = files.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), F.col(text).alias("text"),
+                        F.coalesce(stated, F.lit(False)).alias("stated"))
+    named = stored(own_licenses(rows, index, passages).withColumn("dir", folder_of(F.col("path"))))
     licensed = stored(named.where("stated and license is not null and path is not null").groupBy("dir").agg(
         F.min(F.struct("path", "license")).alias("b")).select(F.col("dir").alias("folder"), F.col("b.license").alias("given")))
     # every distinct folder meets its ancestors; the deepest that states a licence gives it
@@ -272,23 +272,16 @@ def scan(files: DataFrame, id_col: str, path: Column, text: str = "text", states
 
 
 def document_path() -> Column:
-    """Documents as files: source / thousands / tens / id."""
+    """Documents as files: source / thousands / two hundreds / id."""
     doc = F.col("doc_id")
-    return F.concat_ws("/", "source", F.floor(doc / 1000).cast("string"), F.floor(doc / 10).cast("string"),
+    return F.concat_ws("/", "source", F.floor(doc / 1000).cast("string"), F.floor(doc / 200).cast("string"),
                        F.concat(doc.cast("string"), F.lit(".txt")))
 
 
-def opens_with_notice(index: TemplateIndex) -> Column:
-    """Documents that open with words of a notice stand for the licence files of their folders."""
-    head = F.lower(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
-    return F.coalesce(head.rlike(index.pattern()), F.lit(False))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = TemplateIndex()
+    """The documents in `document_path`; each that states a licence itself is a licence file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return scan(docs, "doc_id", document_path(), states_folder=opens_with_notice(index), index=index
-                ).withColumnRenamed("id", "doc_id")
+    return scan(docs, "doc_id", document_path(), states_folder=F.lit(True)).withColumnRenamed("id", "doc_id")
 
 
 def tree_path() -> Column:
@@ -307,19 +300,14 @@ def tree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, "doc_id", tree_path(), states_folder=F.lit(True)).withColumnRenamed("id", "doc_id")
 
 
-def _oracle(path: str | None = None, stated: str | None = None) -> str:
+def _oracle(path: str) -> str:
     index = TemplateIndex()
-    path = path or "source || '/' || (doc_id // 1000) || '/' || (doc_id // 10) || '/' || doc_id || '.txt'"
-    stated = stated or (f"coalesce(regexp_matches(lower(split_part(text, chr(10), 1)), "
-                        f"'{index.pattern()}'), false)")
     idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in sorted(index.idf.items()))
     rows = ", ".join(f"({k}, '{name}', '{t}', {w!r}::DOUBLE)" for k, name, t, w in index.rows)
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH idf(token, idf) AS (VALUES {idf}), template(k, name, token, weight) AS (VALUES {rows}),
-docs AS (SELECT doc_id, {path} AS path,
-    {lower} AS t, {stated} AS stated
-  FROM documents),
+docs AS (SELECT doc_id, {path} AS path, {lower} AS t FROM documents),
 pieces AS (SELECT doc_id, list_filter(regexp_split_to_array(
     regexp_replace(t, '([.!?;])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+'), lambda s: s <> '') AS p FROM docs),
 units AS (SELECT doc_id, i, u FROM (
@@ -337,7 +325,7 @@ own AS (SELECT doc_id, name AS license, score FROM (
       row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, name) AS nth
     FROM scored WHERE score >= {THRESHOLD} - 1e-9) WHERE nth = 1),
 named AS (SELECT d.*, license, score, regexp_replace(path, '/?[^/]*$', '') AS dir FROM docs d LEFT JOIN own USING (doc_id)),
-licensed AS (SELECT dir AS folder, arg_min(license, path) AS given FROM named WHERE stated AND license IS NOT NULL GROUP BY 1),
+licensed AS (SELECT dir AS folder, arg_min(license, path) AS given FROM named WHERE license IS NOT NULL GROUP BY 1),
 nearest AS (SELECT doc_id, arg_max(folder, length(folder)) AS folder, arg_max(given, length(folder)) AS given
   FROM named JOIN licensed ON license IS NULL AND (dir = folder OR starts_with(dir, folder || '/')) GROUP BY 1)
 SELECT doc_id, path, license AS own_license, score AS own_score, coalesce(license, given) AS license,
@@ -345,9 +333,9 @@ SELECT doc_id, path, license AS own_license, score AS own_score, coalesce(licens
 FROM named LEFT JOIN nearest USING (doc_id)"""
 
 
-ORACLE = _oracle()
+ORACLE = _oracle("source || '/' || (doc_id // 1000) || '/' || (doc_id // 200) || '/' || doc_id || '.txt'")
 _TURN = "(doc_id // 20) % 15"
 TREE_ORACLE = _oracle(
     f"concat_ws('/', source, CASE WHEN {_TURN} >= 1 THEN (doc_id // 5000)::VARCHAR END, "
     f"CASE WHEN {_TURN} >= 2 THEN (doc_id // 500)::VARCHAR END, "
-    f"CASE WHEN {_TURN} >= 3 THEN (doc_id // 100)::VARCHAR END, doc_id || '.txt')", "true")
+    f"CASE WHEN {_TURN} >= 3 THEN (doc_id // 100)::VARCHAR END, doc_id || '.txt')")
