@@ -103,6 +103,15 @@ def repeated_words(words: Column) -> Column:
         unique == n - (WINDOW - 1), 0).otherwise(exact).cast("long")
 
 
+def mainly_listed(whole: Column) -> Column:
+    """Half of the letters at least are of LISTED_LETTERS. Most texts have no other letter at all,
+    which is quicker to see than the shares."""
+    some_other = whole.rlike(f"[\\p{{L}}&&[^{LISTED_LETTERS}]]")
+    return F.when(F.octet_length(whole) == F.length(whole), True).when(~some_other, True).otherwise(
+        F.length(F.regexp_replace(whole, f"[^{LISTED_LETTERS}]+", "")) * 2
+        >= F.length(F.regexp_replace(whole, "[^\\p{L}]+", "")))
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the struct column `quality` with the base counts and the ratios of the rules.
 
@@ -116,8 +125,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.filter(F.split(whole, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).alias("n_symbols"),
         F.length(whole).alias("chars"),
-        (F.length(F.regexp_replace(whole, f"[^{LISTED_LETTERS}]+", "")) * 2
-         >= F.length(F.regexp_replace(whole, "[^\\p{L}]+", ""))).alias("listed"),
+        mainly_listed(whole).alias("listed"),
     ))
     q = F.col("quality")
     step = step.withColumn("quality", F.struct(
@@ -185,7 +193,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(source: str = "documents") -> str:
     """DuckDB: the base counts and the rules over `source`, as columns of `judged`."""
-    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS + FURTHER_STOP_WORDS)))
     bounds = " AND ".join(
         [f"coalesce({r.measure} >= {r.low}, true)" for r in RULES if r.low is not None]
         + [f"coalesce({r.measure} <= {r.high}, true)" for r in RULES if r.high is not None])
@@ -210,7 +218,8 @@ q_ratios AS (SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars,
     n_symbols / nullif(n_words, 0) AS symbols_per_word,
     n_symbols / nullif(length(whole), 0) AS symbol_char_share,
     n_dup_lines / nullif(len(lines), 0) AS dup_line_share,
-    n_stop / nullif(n_words, 0) AS stop_word_share,
+    CASE WHEN 2 * length(regexp_replace(whole, '[^{LISTED_LETTERS}]+', '', 'g'))
+        >= length(regexp_replace(whole, '[^\\p{{L}}]+', '', 'g')) THEN n_stop / nullif(n_words, 0) END AS stop_word_share,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q_counts),
 judged AS (SELECT *, NOT base_failed AND {bounds} AS kept FROM q_ratios)"""
 
