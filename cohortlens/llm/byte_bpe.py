@@ -226,18 +226,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(little_endian(ids), 256).alias("ids_sha256"),
         F.sha2(decode(ids), 256).alias("decoded_sha256"))
-
-
-def probe(result: DataFrame) -> None:
-    import hashlib
-    import tiktoken
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(VOCABULARY), special_tokens={})
-    got = {r["doc_id"]: r for r in result.collect()}
-    docs = result.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
-    bad = 0
-    for d in docs:
-        ids = enc.encode_ordinary(d["text"] or "")
-        r = got[d["doc_id"]]
-        bad += (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) != (
-            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((d["text"] or "").encode()).hexdigest())
-    print("bad", bad, "of", len(docs))

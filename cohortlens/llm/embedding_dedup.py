@@ -261,6 +261,12 @@ def search(rows: DataFrame, probes: int, bound: float) -> DataFrame:
         own = np.minimum(np.searchsorted(reps, asks), len(reps) - 1)
         own = np.where(reps[own] == asks, own, -1)
         q, node = in_range(x, edges, queries_, own, bound)
+        # a pair of which both are asked and searched here is found by both if by one
+        ask_at = np.minimum(np.searchsorted(asks, reps[node]), len(asks) - 1)
+        node_at = np.minimum(np.searchsorted(reps, asks[q]), len(reps) - 1)
+        both = (asks[ask_at] == reps[node]) & (reps[node_at] == asks[q])
+        code = np.unique(np.concatenate([q * len(reps) + node, ask_at[both] * len(reps) + node_at[both]]))
+        q, node = code // len(reps), code % len(reps)
         other = reps[node] != asks[q]
         q, node = q[other], node[other]
         first = np.ones(len(q), dtype=bool)
@@ -361,6 +367,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     wider = [*PROBES]
     while wider[-1] < most:
         wider.append(2 * wider[-1])
+    if not enough:  # no audit could end it earlier
+        wider = wider[-1:]
     recall, found, edges = 1.0, None, None
     for probes in wider:
         seen = stored(search(stored(assigned(classes, centers, probes)), probes, bound))

@@ -237,9 +237,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = fit(docs)
     return identify(docs.select("doc_id", "text"), net).select(
         "doc_id", in_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
-
-
-def probe(result: DataFrame) -> None:
-    truth = result.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    result.join(truth, "doc_id").groupBy("held_out", (F.col("lang") == F.col("lang_pred")).alias("right")
-                                         ).agg(F.count("*"), F.avg("score")).show()

@@ -22,6 +22,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+BLANK = re.compile(r"\s")
 ANCHOR = re.compile(r"[0-9@](?:[^0-9@]{0,40}[0-9@])*")
 #: Characters of context on either side of digits and at signs, and bounds of the training sample.
 CONTEXT = 24
@@ -85,10 +86,18 @@ def written(spans: list[Span]) -> str:
 
 
 def regions_of(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at signs, which every kind holds; nothing else can be a span."""
+    """Stretches around digits and at signs, which every kind holds; nothing else can be a span. A
+    stretch goes on to the ends of the words that it reaches into."""
     out: list[list[int]] = []
     for m in ANCHOR.finditer(text):
         low, high = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if out and high <= out[-1][1]:
+            continue
+        floor = out[-1][0] if out else 0
+        while low > floor and not text[low - 1].isspace():
+            low -= 1
+        blank = BLANK.search(text, high)
+        high = blank.start() if blank else len(text)
         if out and low <= out[-1][1]:
             out[-1][1] = high
         else:
@@ -133,12 +142,13 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Tagger | None)
     return out
 
 
-def labelled_windows(docs: DataFrame, id_col: str, text: str) -> list[tuple[str, list[Span]]]:
+def labelled_windows(docs: DataFrame, text: str) -> list[tuple[str, list[Span]]]:
     """Windows with the spans of the exact patterns in them, of a bounded sample of documents
-    drawn by a hash of their id: some around spans, some around other digits and at signs."""
+    drawn at random: some around spans, some around other digits and at signs."""
     n = docs.count()
-    draw = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.where(draw * n < SAMPLE_DOCS).select(F.col(text).alias("text")).where("text is not null")
+    # drawn row by row, so that a repeated or missing id is no more likely than others
+    some = docs.where(F.rand(17) * n < SAMPLE_DOCS).select(F.col(text).alias("text")).where(
+        "text is not null").limit(2 * SAMPLE_DOCS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -200,9 +210,9 @@ def plain_numbers(part: str, rng: random.Random) -> tuple[str, list[Span]]:
     return part[:at] + " " + value + " " + part[at:], []
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Tagger | None:
+def fit(docs: DataFrame, text: str = "text") -> Tagger | None:
     """A tagger for `docs`; None where the sample holds no span to learn from."""
-    windows = labelled_windows(docs, id_col, text)
+    windows = labelled_windows(docs, text)
     rng = random.Random(31)
     held = [w for w in windows if w[1]]
     clean = [w for w in windows if not w[1]]

@@ -32,7 +32,8 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """Shard of a key of any type; depends on the key and the shard count alone. Null is a key."""
+    """Shard of a key of any type; depends on the key as text and the shard count alone, so that an id
+    stays where it is when its column becomes wider or a string. Null is a key."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
 
@@ -40,7 +41,7 @@ def shard_of(key: Column, shards: int) -> Column:
     def place(hashes: pd.Series) -> pd.Series:
         return pd.Series(jump(hashes.to_numpy().astype(np.int64).view(np.uint64), shards), dtype="int32")
 
-    return place(F.xxhash64(key))
+    return place(F.xxhash64(key.cast("string")))
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:

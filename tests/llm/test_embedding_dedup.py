@@ -85,7 +85,7 @@ def test_audit_draws_until_links_are_met_and_counts_each_vector(spark):
     x = rng.normal(size=(3000, 16))
     x[2900:2950] = x[2950:] + rng.normal(scale=0.01, size=(50, 16))
     units = e.unit_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), "id", "v")
-    classes = units.selectExpr("vec_id as rep", "1L as times", "unit").localCheckpoint()
+    classes = units.selectExpr("vec_id as rep", "1L as times", "unit").cache()
     true, enough = e.true_links(classes, 0.95)
     assert enough and true.count() >= e.ENOUGH
     nothing = spark.createDataFrame([], "rep long, found long")
@@ -106,3 +106,51 @@ def test_links_met_outside_the_home_cluster_count_once(spark):
     assert one[1] == 2
     both = {r[0]: r[1] for r in e.search(near, 2, 0.95).groupBy("vec_id").sum("found").collect()}
     assert both[3] == 2 and both[1] == 2
+
+
+def brute_links(x, bound=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    degree, parent = np.zeros(len(x), dtype=int), np.arange(len(x))
+    for start in range(0, len(x), 1000):
+        row, col = np.nonzero(unit[start:start + 1000] @ unit.T >= bound)
+        other = row + start != col
+        np.add.at(degree, row[other] + start, 1)
+        while True:  # smallest id reachable so far, until nothing changes
+            low = np.minimum(parent[row + start], parent[col])
+            new = parent.copy()
+            np.minimum.at(new, row + start, low)
+            np.minimum.at(new, col, low)
+            if (new == parent).all():
+                break
+            parent = new
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return degree, parent
+
+
+def test_links_are_counted_at_both_ends(spark):
+    """Planted pairs over several clusters: links of every vector against brute force."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8000, 24))
+    for k in range(760):
+        x[4000 + 5 * k] = x[k] + rng.normal(scale=0.03, size=24)
+    degree, component = brute_links(x)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, recall = e.near_duplicates(table)
+    rows = got.collect()
+    found = {r["vec_id"]: r["n_links"] for r in rows}
+    assert degree.sum() >= 1520 and recall >= e.RECALL
+    assert all(found[k] <= degree[k] for k in found)
+    assert sum(found.values()) >= 0.995 * degree.sum()
+    # no component of two of which only one end counts the link
+    alone = [k for k in range(len(x)) if degree[k] == 1 and found[k] == 0]
+    assert all(next(r for r in rows if r["vec_id"] == k)["component_id"] == k for k in alone)
+
+
+def test_query_against_brute_force(spark):
+    from tests.llm.helpers import SF
+
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    degree, _ = brute_links(np.array([r["embedding"] for r in table], dtype=float))
+    got = {r["vec_id"]: r["n_links"] for r in e.query(spark, SF).collect()}
+    assert got == {r["vec_id"]: d for r, d in zip(table, degree.tolist())}

@@ -109,3 +109,33 @@ def test_gradient_equals_differences():
 def test_spans_across_windows_are_joined():
     tags = span_tagger.tags_of(20, [("card", 2, 9), ("ip", 9, 12), ("card", 15, 20)])
     assert span_tagger.spans_of(tags) == [("card", 2, 9), ("ip", 9, 12), ("card", 15, 20)]
+
+
+def test_regions_reach_the_ends_of_words():
+    text = "write to maria.long @ verylongsubdomainname.department.example.com or call"
+    assert [text[a:b] for a, b in pii.regions_of(text)] == [text]
+    long_ = "x" * 500 + "@" + "y" * 500
+    whole = "a " * 40 + long_ + " b" * 40
+    assert [whole[a:b].strip() for a, b in pii.regions_of(whole)] == [long_]
+
+
+def test_best_paths_equal_all_paths():
+    from itertools import product
+
+    model = span_tagger.train([("a@b.co 12", [("email", 0, 6)])] * 4, steps=3, batch=4)
+    ids = np.stack([span_tagger.character_ids(t) for t in ("a@b", "1.2", "+9x")])
+    emit, _ = model.emissions(ids)
+    w = model.weights
+    got = model.best_paths(ids)
+    tags = emit.shape[2]
+    for k in range(len(ids)):
+        score = {p: sum(emit[k, i, p[i]] for i in range(3)) + w["begin"][p[0]] + w["move"][p[0], p[1]] + w["move"][p[1], p[2]]
+                 for p in product(range(tags), repeat=3)}
+        best = max(score.values())
+        assert score[tuple(got[k].tolist())] >= best - 1e-5
+
+
+def test_a_sample_of_one_repeated_id_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 20)
+    docs = spark.createDataFrame([(None, t) for t in labelled(100)], "doc_id long, text string")
+    assert 0 < len(pii.labelled_windows(docs, "text")) <= 40 * 2 * pii.WINDOWS_PER_DOC

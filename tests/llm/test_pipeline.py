@@ -50,3 +50,12 @@ def test_clean_documents_stay_and_planted_ones_go(spark):
 
 def test_empty_table(spark):
     assert [t.count() for t in stages(spark, documents(spark, []))] == [0] * 6
+
+
+def test_repeated_rows_and_copies_without_id_leave_one(spark):
+    one, other, third = prose(120, 1), prose(120, 2), prose(120, 3)
+    docs = spark.createDataFrame(
+        [(5, one)] * 4 + [(None, other)] * 5 + [(None, third), (None, None), (None, None), (8, third), (9, third), (5, prose(90, 4))],
+        "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    left = sorted((str(r["doc_id"]), str(r["text"])) for r in c.near_dedup(spark, docs, SF).collect())
+    assert left == sorted([("5", one), ("None", other), ("None", third), ("None", "None"), ("8", third), ("5", prose(90, 4))])

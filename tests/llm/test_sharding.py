@@ -57,3 +57,21 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["doc_id"] for r in back.collect()) == list(range(40))
     assert back.columns == [*docs.columns, "shard"]
+
+
+def test_the_type_of_the_key_does_not_move_rows(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(300).select(F.col("id"), F.col("id").cast("int").alias("small"), F.col("id").cast("string").alias("word"))
+    placed = ids.select(*[s.shard_of(F.col(c), 8).alias(c) for c in ids.columns])
+    assert placed.where("id <> small or id <> word").count() == 0 and placed.select("id").distinct().count() == 8
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    rows = [(k, "x" * 300_000 if k == 3 else f"t{k}", 7, "old", 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, law string, row int")
+    got = s.assign(docs, 3).collect()
+    assert len(got) == 40 and {r["size"] for r in got if r["key"] == 3} == {300_001}
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
