@@ -113,7 +113,7 @@ def test_spans_across_windows_are_joined():
 
 def test_regions_reach_the_ends_of_words():
     text = "write to maria.long @ verylongsubdomainname.department.example.com or call"
-    assert [text[a:b] for a, b in pii.regions_of(text)] == [text]
+    assert [text[a:b] for a, b in pii.regions_of(text)] == [text.removesuffix(" or call")]
     long_ = "x" * 500 + "@" + "y" * 500
     whole = "a " * 40 + long_ + " b" * 40
     assert [whole[a:b].strip() for a, b in pii.regions_of(whole)] == [long_]
