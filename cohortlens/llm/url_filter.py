@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -36,6 +37,9 @@ SOFT = ("bet", "bets", "betting", "free", "win", "winner", "cheap", "pill", "pil
         "track", "tracker", "farm", "sex", "sexy", "loan", "loans", "crack", "bonus", "poker",
         "dating", "click", "offer", "deal", "prize")
 SOFT_WEIGHT, REJECT_WEIGHT = 1, 2
+#: Terms of a vocabulary table at most; all of them go to every task.
+MOST_TERMS = 1_000_000
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def vocabulary() -> dict[str, int]:
@@ -43,6 +47,19 @@ def vocabulary() -> dict[str, int]:
     return dict.fromkeys(SOFT, SOFT_WEIGHT) | dict.fromkeys(STRICT, REJECT_WEIGHT)
 
 
+def read_vocabulary(terms: DataFrame, languages: Sequence[str] | None = None) -> dict[str, int]:
+    """Weights of a table (term, weight, language), of all languages or of some and those rows without
+    one. Terms are lower-cased (A-Z); of a repeated term the largest weight counts; null or empty terms
+    and weights that are null or not positive are left out. More than MOST_TERMS terms are an error."""
+    rows = terms if languages is None else terms.where(F.col("language").isin(list(languages)) | F.col("language").isNull())
+    rows = rows.select(F.trim(lower_ascii(F.col("term"))).alias("term"), F.col("weight").cast("int").alias("weight"))
+    rows = rows.where("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight"))
+    found = rows.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    return {r["term"]: r["weight"] for r in found}
+
+
 def lower_ascii(value: Column) -> Column:
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -67,7 +84,8 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -
 
 
 def term_counter(weights: dict[str, int], reject_weight: int = REJECT_WEIGHT):
-    """Pandas UDF: url -> (distinct strict hits, distinct soft hits, weight) of whole terms."""
+    """Pandas UDF: url -> (distinct strict hits, distinct soft hits, weight) of whole terms, percent
+    escapes decoded and A-Z lower-cased."""
     items = sorted(weights.items())
 
     @F.pandas_udf("n_strict long, n_soft long, weight long")
@@ -82,6 +100,7 @@ def term_counter(weights: dict[str, int], reject_weight: int = REJECT_WEIGHT):
             for url in urls:
                 hits = {}
                 if url and items:
+                    url = (unquote(url) if "%" in url else url).translate(_LOWER)
                     for end, (term, weight) in automaton.iter(url):
                         start = end + 1 - len(term)
                         if (start == 0 or not url[start - 1].isalnum()) and (
@@ -99,12 +118,13 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RUL
     """`pages` with host, path, rule, n_strict, n_soft and verdict (columns of these names are
     replaced).
 
-    One pass without a shuffle. Terms count where no letter or digit stands beside them. A null or
-    empty url has no rule and no hit: allow. Repeated rows are judged alike.
+    One pass without a shuffle. Terms count where no letter or digit stands beside them, also where
+    the url writes them with percent escapes. A null or empty url has no rule and no hit: allow.
+    Repeated rows are judged alike. `weights` is a vocabulary of one's own, as from `read_vocabulary`.
     """
     weights = vocabulary() if weights is None else weights
     host, path = host_and_path(F.col(url))
-    hits = term_counter(weights)(lower_ascii(F.col(url)))
+    hits = term_counter(weights)(F.col(url))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("_hits.weight") >= REJECT_WEIGHT, "block").otherwise("allow")
     return (
@@ -137,7 +157,7 @@ def _oracle() -> str:
 
     return f"""
 WITH parts AS (
-    SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    SELECT page_id, translate(url_decode(coalesce(url, '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
             'abcdefghijklmnopqrstuvwxyz') AS u,
         CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
     FROM pages),
