@@ -28,6 +28,8 @@ from cohortlens.session import cut
 
 # Tasks whose gradients of one model are summed first, so that no reducer meets all tasks.
 GRADIENT_SHARES = 32
+# Up to so many values of all tasks' gradients together the driver adds them up, without a shuffle.
+DIRECT_VALUES = 4_000_000
 # Largest number of products of two features, over all runs, that is brought together.
 GRAM_VALUES = 16_000_000
 # Steps of L-BFGS remembered, passes at most, and the share of the first gradient that ends a fit.
@@ -136,16 +138,27 @@ def _gradient_task(weights: np.ndarray, run_of_model: list[int], loss: str):
     return gradients
 
 
-def _mean_gradients(points: DataFrame, weights: np.ndarray, run_of_model: list[int], loss: str
-                    ) -> tuple[np.ndarray, np.ndarray]:
+def _tasks(points: DataFrame) -> int:
+    numbered = points.select(F.spark_partition_id().alias("task"))
+    return (numbered.agg(F.max("task")).first()[0] or 0) + 1
+
+
+def _mean_gradients(points: DataFrame, weights: np.ndarray, run_of_model: list[int], loss: str,
+                    tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """(gradients (features x models), losses), means over the training rows of each model."""
     partial = points.select("label", "features", "in_train").mapInArrow(
         _gradient_task(weights, run_of_model, loss), "model long, n long, total array<double>")
-    total = np.zeros((weights.shape[0] + 1, weights.shape[1]))
-    table = _summed(partial, ["model"]).toArrow()  # one row per model
-    model = table.column("model").to_numpy()
-    vectors = table.column("total").combine_chunks().flatten().to_numpy().reshape(len(model), -1)
-    total[:, model] = vectors.T / np.maximum(table.column("n").to_numpy(), 1)
+    features, models = weights.shape
+    if tasks * models * (features + 1) > DIRECT_VALUES:
+        partial = _summed(partial, ["model"])
+    table = partial.toArrow()  # a row per model, or per model and task where these are few
+    total, count = np.zeros((models, features + 1)), np.zeros(models)
+    if table.num_rows:
+        model = table.column("model").to_numpy()
+        vectors = table.column("total").combine_chunks().flatten().to_numpy().reshape(len(model), -1)
+        np.add.at(total, model, vectors)
+        np.add.at(count, model, table.column("n").to_numpy())
+    total = (total / np.maximum(count, 1.0)[:, None]).T
     return total[:-1], total[-1]
 
 
@@ -218,6 +231,8 @@ def fit_by_gradient(points: DataFrame, masks: np.ndarray, run_of_model: Sequence
     by_products = spec.loss == "squared" and (runs.max() + 1) * features ** 2 <= gram_values
     if by_products:
         square, cross = products(points, features, int(runs.max()) + 1)
+    else:
+        tasks = _tasks(points)
     weights = np.zeros_like(allowed)
     active = np.ones(models, dtype=bool)
     for t in range(1, iterations + 1):
@@ -229,7 +244,7 @@ def fit_by_gradient(points: DataFrame, masks: np.ndarray, run_of_model: Sequence
                 own = runs[open_models] == run
                 gradient[:, own] = square[run] @ current[:, own] - cross[run][:, None]
         else:
-            gradient, _ = _mean_gradients(points, current, runs[open_models].tolist(), spec.loss)
+            gradient, _ = _mean_gradients(points, current, runs[open_models].tolist(), spec.loss, tasks)
         gradient = gradient * allowed[:, open_models]
         step = 1.0 / np.sqrt(t)
         if spec.penalty == "l2":
@@ -285,10 +300,10 @@ def fit_by_lbfgs(points: DataFrame, masks: np.ndarray, run_of_model: Sequence[in
         raise ValueError("L-BFGS fits the logistic loss without penalty")
     runs = np.asarray(run_of_model)
     allowed = np.asarray(masks, dtype=float).T
-    models = allowed.shape[1]
+    models, tasks = allowed.shape[1], _tasks(points)
 
     def evaluate(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gradient, loss = _mean_gradients(points, at, runs[which].tolist(), spec.loss)
+        gradient, loss = _mean_gradients(points, at, runs[which].tolist(), spec.loss, tasks)
         return gradient * allowed[:, which], loss
 
     weights = np.zeros_like(allowed)

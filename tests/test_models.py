@@ -128,6 +128,14 @@ def test_products_give_the_weights_of_all_passes(points, name):
     assert np.abs(once).max() > 0.1
 
 
+def test_gradients_summed_by_tasks_or_by_the_driver_agree(points, monkeypatch):
+    prepared, spec = prepare(points, [5, 6], 0.8), L.algorithm("SVM")
+    direct = L.fit_by_gradient(prepared, np.ones((2, 6)), [0, 1], spec, iterations=5)
+    monkeypatch.setattr(L, "DIRECT_VALUES", 0)
+    shuffled = L.fit_by_gradient(prepared, np.ones((2, 6)), [0, 1], spec, iterations=5)
+    np.testing.assert_allclose(direct, shuffled, atol=1e-12)
+
+
 def test_products_make_one_job_sequence(spark, points, monkeypatch):
     calls = []
     monkeypatch.setattr(L, "_mean_gradients", lambda *a: calls.append(a))
