@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlens.llm import language_id as g
-from tests.llm.helpers import DOCS, documents
+from tests.llm.helpers import DOCS, documents, prose
 
 
 def test_held_out_accuracy_and_score(spark):
@@ -56,3 +56,35 @@ def test_slopes_reduce_the_loss():
     net = g.train(windows, ["x"] * 60 + ["y"] * 60)
     langs, _ = g.scores_of([w.decode() for w in windows], net)
     assert sum(a == b for a, b in zip(langs, ["x"] * 60 + ["y"] * 60)) > 110
+
+
+def by_hand(text, net):
+    """Language and probability by plain loops: every window alone, every filter at every byte."""
+    if not text or not any(c.isalpha() for c in text):
+        return g.UNKNOWN, 0.0
+    data, total, size = text.encode(), np.zeros(len(net.languages)), 0
+    for start in range(0, len(data), g.WINDOW):
+        part = data[start:start + g.WINDOW]
+        ids = list(part) + [g.PAD] * (g.WINDOW - len(part) + max(g.WIDTHS) - 1)
+        top = np.full(len(net.bias), -np.inf)
+        for at in range(g.WINDOW):
+            seen = np.concatenate([net.embed[i] for i in ids[at:at + max(g.WIDTHS)]])
+            top = np.maximum(top, seen @ net.filters)
+        raw = np.maximum(top + net.bias, 0) @ net.out + net.out_bias
+        total += (raw - raw.max() - np.log(np.exp(raw - raw.max()).sum())) * len(part)
+        size += len(part)
+    mean = total / size
+    mean = mean - np.log(np.exp(mean - mean.max()).sum()) - mean.max()
+    return net.languages[int(mean.argmax())], float(np.exp(mean.max()))
+
+
+def test_batched_windows_equal_plain_loops(spark, monkeypatch):
+    net = g.train([prose(40, k).encode()[:256] for k in range(8)] + [("ñandú él la " * 30).encode()[:256]] * 8,
+                  ["en"] * 8 + ["es"] * 8, epochs=2)
+    texts = [prose(90, 1), "él la ñandú " * 70, "x", "", None, "12 -- 34", "é" * 127 + "a" * 300, prose(700, 2), "Привет мир"]
+    want = [by_hand(t, net) for t in texts]
+    for chunk in (g.CHUNK, 2):
+        monkeypatch.setattr(g, "CHUNK", chunk)
+        langs, scores = g.scores_of(texts, net)
+        assert langs == [w[0] for w in want]
+        np.testing.assert_allclose(scores, [w[1] for w in want], atol=2e-5)
