@@ -277,3 +277,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by the md5 of every window, over texts as hex, cut into pieces as a substring is looked
+#: for from the start.
+ORACLE = f"""
+WITH sized AS (SELECT r, doc_id, hex(b) AS h, octet_length(b)::BIGINT AS n FROM (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+pieces AS (SELECT r, n, p, substring(h, 1000*p + 1, 1000 + {2 * SPAN - 2}) AS part
+  FROM (SELECT r, h, n, unnest(range((n - {SPAN}) // 500 + 1)) AS p FROM sized WHERE n >= {SPAN})),
+windows AS (SELECT r, 500*p + k AS i, md5_number(substring(part, 2*k + 1, {2 * SPAN})) AS w FROM (
+  SELECT r, p, part, unnest(range(least(500, n - {SPAN - 1} - 500*p))) AS k FROM pieces)),
+hits AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY w) AS times FROM windows) WHERE times > 1),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {SPAN} THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT r, min(i) AS a, max(i) + {SPAN} AS z FROM (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) GROUP BY r, g),
+spans AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a)::BIGINT AS n_removed,
+  count(*)::BIGINT AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(len(a) + 1), lambda k: substring(h,
+    2*(CASE WHEN k = 0 THEN 0 ELSE z[k] END) + 1,
+    2*(CASE WHEN k = len(a) THEN n ELSE a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE z[k] END))), '') END)) AS kept_sha256
+FROM sized LEFT JOIN spans USING (r)"""

@@ -8,6 +8,7 @@ import pytest
 from cohortlens.llm import suffix_dedup as sd
 from cohortlens.llm import queries
 from cohortlens.llm.suffix_sort import Suffixes
+from tests.compare import difference, duck
 from tests.llm.helpers import SF, prose
 
 
@@ -100,6 +101,7 @@ def test_query_over_the_table(spark):
     got = queries.QUERIES["op12_suffix_dedup"](spark, SF)
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, got.collect()), key=str) == brute([tuple(r) for r in rows])
+    assert difference(got, duck(SF), sd.ORACLE) is None
 
 
 def test_empty_table(spark):
