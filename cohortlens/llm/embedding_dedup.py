@@ -390,3 +390,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     result, recall = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return result.withColumn("audited_recall", F.lit(float(recall)))
+
+
+#: The same by comparing all pairs; a search that finds all links has an audited recall of 1.
+ORACLE = """
+WITH RECURSIVE usable AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, b FROM reach JOIN links ON a = other)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id,
+  vec_id = min(other) AS kept, 1.0::DOUBLE AS audited_recall FROM reach GROUP BY vec_id"""

@@ -41,6 +41,7 @@ ORACLE = {
     "op6_license_scan": license_scan.ORACLE,
     "op6_license_tree": license_scan.TREE_ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op11_lexical_search": lexical_search.ORACLE,
     "op12_suffix_dedup": suffix_dedup.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,

@@ -148,9 +148,12 @@ def test_links_are_counted_at_both_ends(spark):
 
 
 def test_query_against_brute_force(spark):
+    from tests.compare import difference, duck
     from tests.llm.helpers import SF
 
     table = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
     degree, _ = brute_links(np.array([r["embedding"] for r in table], dtype=float))
-    got = {r["vec_id"]: r["n_links"] for r in e.query(spark, SF).collect()}
+    rows = e.query(spark, SF)
+    assert difference(rows, duck(SF), e.ORACLE) is None
+    got = {r["vec_id"]: r["n_links"] for r in rows.collect()}
     assert got == {r["vec_id"]: d for r, d in zip(table, degree.tolist())}
