@@ -65,3 +65,47 @@ def test_tests(spark):
     assert one(spark, S.f_sf(lit(1.0), lit(2), lit(2))) == pytest.approx(0.5, abs=1e-14)
     assert one(spark, S.correlation_p(lit(1.0), lit(10))) == 0.0
     assert one(spark, S.correlation_p(lit(0.0), lit(10))) == pytest.approx(1.0, abs=1e-14)
+
+
+def binomial_tail(n, k, p):
+    """P(X >= k) with 60 digits."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as context:
+        context.prec, context.Emin, context.Emax = 60, -10 ** 9, 10 ** 9
+        p = Decimal(p)
+        term, total = Decimal(math.comb(n, k)) * p ** k * (1 - p) ** (n - k), Decimal(0)
+        for x in range(k, n + 1):
+            total += term
+            term = term * (n - x) / (x + 1) * p / (1 - p)
+            if term < total * Decimal("1e-40"):
+                break
+        return float(total)
+
+
+def poisson_below(mean, k):
+    """P(X < k) with 60 digits; the chi-square tail at 2 * mean with 2 * k degrees."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as context:
+        context.prec, context.Emin, context.Emax = 60, -10 ** 9, 10 ** 9
+        term, total = (-Decimal(mean)).exp(), Decimal(0)
+        for x in range(k):
+            total += term
+            term = term * Decimal(mean) / (x + 1)
+        return float(total)
+
+
+def test_fractions_converge_for_large_and_lopsided_arguments(spark):
+    """Beta and gamma tails where many steps are needed: exact sums of binomials and Poissons."""
+    cases = [(20_000, 10_100, 0.5), (20_000, 30, 0.001), (100_000, 5, 0.0001), (100_000, 99_990, 0.9999), (5_000, 4_000, 0.79),
+             (1_000, 1, 0.002), (60_000, 18_000, 0.3), (60_000, 18_600, 0.3)]
+    rows = spark.createDataFrame([(float(k), float(n - k + 1), p) for n, k, p in cases], "a double, b double, x double")
+    got = [r["v"] for r in rows.select(S.beta_cdf("a", "b", "x").alias("v")).collect()]
+    for case, value in zip(cases, got):
+        assert value == pytest.approx(binomial_tail(*case), rel=1e-9), case
+    cases = [(2_000.0, 2_000), (2_100.5, 2_000), (1_850.0, 2_000), (30.0, 3), (3.0, 30), (0.25, 4), (9_000.0, 9_300), (12.0, 1)]
+    rows = spark.createDataFrame([(2 * m, 2 * k) for m, k in cases], "x double, df bigint")
+    got = [r["v"] for r in rows.select(S.chi_square_sf("x", "df").alias("v")).collect()]
+    for case, value in zip(cases, got):
+        assert value == pytest.approx(poisson_below(*case), rel=1e-9), case
