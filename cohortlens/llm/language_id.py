@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cohortlens.llm.common import slices, table
+from cohortlens.session import cut, lookup_side
 
 UNKNOWN = "und"
 #: Bytes of a window, value of the padding, widths of the filters.
@@ -131,17 +132,17 @@ def in_held_out(doc_id):
 
 
 def training_windows(docs: DataFrame, id_col: str, text: str, lang: str) -> tuple[list, list]:
-    """Windows of a bounded sample: at most SAMPLE_DOCS documents of every language, by hash of the
-    id, and SAMPLE_WINDOWS windows spread over each of them. Held-out documents and those without
+    """Windows of a bounded sample: at most SAMPLE_DOCS documents of every language, drawn at random
+    row by row, and SAMPLE_WINDOWS windows spread over each of them. Held-out documents and those without
     language or text are left out."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"),
                          F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_held_out(F.col("id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    near = usable.join(F.broadcast(counts), "lang").where(draw * F.col("n") < 2 * SAMPLE_DOCS + 20)
+    counts = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    drawn = usable.withColumn("draw", F.rand(3))
+    near = drawn.join(lookup_side(counts), "lang").where(F.col("draw") * F.col("n") < 2 * SAMPLE_DOCS + 20)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, lang_, value in zip(*(c.to_pylist() for c in batch.columns)):
@@ -153,10 +154,10 @@ def training_windows(docs: DataFrame, id_col: str, text: str, lang: str) -> tupl
                 [pa.array([str(r[0]) for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                  pa.array([r[2] for r in rows], pa.binary())], names=["id", "lang", "window"])
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(3)), "id", "text")
+    order = Window.partitionBy("lang").orderBy("draw", "id", "text")
     chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
     rows = chosen.select("id", "lang", "text").mapInArrow(
-        cut, "id string, lang string, window binary").collect()
+        windows, "id string, lang string, window binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], bytes(r["window"])))
     return [bytes(r["window"]) for r in rows], [r["lang"] for r in rows]
 
