@@ -67,6 +67,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=k) for c, k in zip(rows, kinds)], names=names)
+        if with_ids:  # in a pipeline the worker goes on with other work and needs the room
+            memory(path).forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")
                        ).mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
