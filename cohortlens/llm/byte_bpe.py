@@ -1,4 +1,4 @@
-"""Byte-level BPE: ranked merges folded by Spark over the distinct words of blocks of documents."""
+"""Byte-level BPE: ranked merges folded by Spark over words that a task meets for the first time."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The splitting pattern, white space being the Unicode property.
 PATTERN = regex.compile(public_tokenizers.PATTERN.replace(r"\s+(?!\S)", r"\p{White_Space}+(?!\P{White_Space})")
                         .replace(r"|\s+", r"|\p{White_Space}+").replace(r"[^\s", r"[^\p{White_Space}"))
-#: Characters of a block, whose distinct words are merged once.
-BLOCK_CHARS = 8_000_000
+#: Distinct words that a task numbers, and segments it remembers, before it starts afresh.
+NUMBERED, SEGMENTS = 500_000, 300_000
 #: Sizes of the two hashes of the rank map, both prime, their factors, and what an empty cell
 #: holds.
 GROUPS, SLOTS, MIX, SPREAD, NOTHING = 32_749, 131_071, 1_640_531, 1_299_709, 1 << 62
@@ -116,22 +116,32 @@ def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [i for i, ok in zip(ids, alive) if ok]
 
 
-BLOCKS = "docs array<long>, doc_words array<array<int>>, words array<array<bigint>>"
+STREAM = "doc_id long, words array<int>, number int, bytes array<bigint>"
+#: Documents whose ids are put together at a time, and the most numbers of words in it.
+UNFOLD_DOCS, UNFOLD_WORDS = 512, 1 << 19
 
 
-def blocks(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
-    """One row per block of documents: their ids, their words as numbers, and the distinct words as
-    ids of bytes (of a whole token, its id, as it stands for itself). Blocks are cut inside a task;
-    nothing is shuffled."""
+def stream(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
+    """A row per document, its words as numbers, and before it a row for every word that is new in the
+    task: its number and its ids of bytes (of a whole token, its id, as it stands for itself). Number 0
+    says that all words before it are void. Rows are small, and nothing is shuffled."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
         single = [ranks[bytes([b])] for b in range(256)]
         pairs: dict = {}
-        docs_, lists, chars = [], [], 0
         words: dict[str, int] = {}
+        new: list[str] = []
 
         def number(segments: list[str]) -> list[list[int]]:
-            return [[words.setdefault(w, len(words)) for w in PATTERN.findall(s)] for s in segments]
+            out = []
+            for segment in segments:
+                found = PATTERN.findall(segment)
+                for w in found:
+                    if w not in words:
+                        words[w] = len(words)
+                        new.append(w)
+                out.append([words[w] for w in found])
+            return out
 
         def start(word: str) -> list[int]:
             data = word.encode()
@@ -143,56 +153,91 @@ def blocks(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
                 ids = merged(ids, pairs)
             return ids
 
-        def block() -> pa.RecordBatch:
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64())))
-            values = ([docs_], [lists], [[start(w) for w in words]])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(values, kinds)], names=["docs", "doc_words", "words"])
+        def rows(own: list, lists: list) -> pa.RecordBatch:
+            n, first = len(new), len(words) - len(new)
+            batch = pa.RecordBatch.from_arrays([
+                pa.array([None] * n + own, pa.int64()), pa.array([None] * n + lists, pa.list_(pa.int32())),
+                pa.array([*range(first, first + n)] + [None] * len(own), pa.int32()),
+                pa.array([*map(start, new)] + [None] * len(own), pa.list_(pa.int64()))],
+                names=["doc_id", "words", "number", "bytes"])
+            new.clear()
+            return batch
 
         memory = SegmentMemory(number)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, value in zip(batch.column(0).to_pylist(), texts):
-                docs_.append(doc)
-                lists.append(memory.encode([value])[0].astype(np.int32))
-                chars += len(value) + 64
-                if chars > BLOCK_CHARS or not memory.number:
-                    yield block()
-                    docs_, lists, chars = [], [], 0
+            own, lists, held = [], [], 0
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own.append(doc)
+                lists.append(memory.encode([value.as_py() or ""])[0].astype(np.int32))
+                held += len(lists[-1])
+                full = len(words) > NUMBERED
+                if full or held > UNFOLD_WORDS:
+                    yield rows(own, lists)
+                    own, lists, held = [], [], 0
+                if full:
                     words.clear()
+                if full or len(memory.number) > SEGMENTS:
                     memory.forget()
-        if docs_:
-            yield block()
+            if own:
+                yield rows(own, lists)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, BLOCKS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, STREAM)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row: the ids of the whole text; empty for null. Copies are
-    encoded like any text; each block holds a bounded amount of text, a longer text is its own."""
+    encoded like any text; a word is folded when a task first meets it."""
     ranks = rank_map(pair_ranks(read_ranks(path)))
-    folded = blocks(docs, path, id_col, text).select(
-        "docs", "doc_words", F.transform("words", lambda w: fold_merges(w, ranks)).alias("ids"))
+    # a projection keeps the order of the rows of a task
+    folded = stream(docs, path, id_col, text).select(
+        "doc_id", "words", "number", F.when(F.col("number").isNotNull(), fold_merges(F.col("bytes"), ranks)).alias("ids"))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            own, doc_words, ids = (c.flatten() for c in batch.columns)
-            pool = ids.flatten().to_numpy()
-            offsets = ids.offsets.to_numpy().astype(np.int64)
-            begins, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
-            edges = doc_words.offsets.to_numpy().astype(np.int64)
-            words = doc_words.flatten().to_numpy()
-            edges = edges - edges[0]
-            for low in range(0, len(own), 512):
-                high = min(len(own), low + 512)
-                at = words[edges[low]:edges[high]]
-                n = sizes[at]
-                ends = np.cumsum(n)
-                inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-                values = pool[np.repeat(begins[at], n) + inside]
-                bounds = np.concatenate([[0], ends])[edges[low:high + 1] - edges[low]]
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([own.slice(low, high - low), lists], names=["doc_id", "ids"])
+        pool = np.zeros(1 << 16, np.int32)
+        begins, sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        known = 0
+
+        def learn(ids: pa.ListArray, first: int) -> None:
+            nonlocal pool, begins, sizes, known
+            values, n = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
+            used = int(begins[first - 1] + sizes[first - 1]) if first else 0
+            known = first + len(n)
+            while used + len(values) > len(pool):
+                pool = np.concatenate([pool, np.zeros_like(pool)])
+            while known > len(sizes):
+                begins, sizes = (np.concatenate([a, np.zeros_like(a)]) for a in (begins, sizes))
+            pool[used:used + len(values)] = values
+            sizes[first:known] = n
+            begins[first:known] = used + np.cumsum(n) - n
+
+        def together(own: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            at = lists.flatten().to_numpy()
+            n = sizes[at].astype(np.int64)
+            ends = np.cumsum(n)
+            inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+            values = pool[np.repeat(begins[at], n) + inside]
+            bounds = np.concatenate([[0], ends])[edges - edges[0]]
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
+            return pa.RecordBatch.from_arrays([own, ids], names=["doc_id", "ids"])
+
+        for batch in batches:
+            own, lists, numbers, ids = batch.columns
+            word = numbers.is_valid().to_numpy(zero_copy_only=False)
+            # runs of words or documents; a run of words also ends where numbering starts afresh
+            cuts = (np.flatnonzero(np.diff(word)) + 1).tolist()
+            cuts += np.flatnonzero(numbers.fill_null(-1).to_numpy() == 0).tolist()
+            edges = sorted({0, batch.num_rows, *cuts})
+            for low, high in zip(edges, edges[1:]):
+                if word[low]:
+                    learn(ids.slice(low, high - low), numbers[low].as_py())
+                    continue
+                total = lists.offsets.to_numpy()
+                while low < high:
+                    stop = int(np.searchsorted(total, total[low] + UNFOLD_WORDS, side="right")) - 1
+                    stop = max(low + 1, min(stop, high, low + UNFOLD_DOCS))
+                    yield together(own.slice(low, stop - low), lists.slice(low, stop - low))
+                    low = stop
 
     return folded.mapInArrow(unfold, "doc_id long, ids array<int>")
 

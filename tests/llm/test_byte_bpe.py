@@ -70,3 +70,20 @@ def test_heap_merges_as_the_plain_rule(data):
         rank, k = min(found)
         expected[k:k + 2] = [rank]
     assert b.merged(ids, PAIRS) == expected
+
+
+def test_words_start_afresh_and_rows_stay_small(spark, library, monkeypatch):
+    """Words are folded once a task, numbers start again when there are too many, and no row holds
+    more than a document or a word."""
+    texts = [prose(60, k % 7) if k % 5 else None for k in range(300)] + ["w" * 600, "", prose(60, 1)]
+    docs = documents(spark, texts).coalesce(1)
+    rows = b.stream(docs, b.VOCABULARY, "doc_id", "text").collect()
+    numbers = [r["number"] for r in rows if r["number"] is not None]
+    assert numbers == list(range(len(numbers))) and len(rows) == len(numbers) + len(texts)
+    for limits in ((40, 300_000, 1 << 19), (500_000, 25, 30)):
+        for name, limit in zip(("NUMBERED", "SEGMENTS", "UNFOLD_WORDS"), limits):
+            monkeypatch.setattr(b, name, limit)
+        found = {r["doc_id"]: r["ids"] for r in b.encode(docs).collect()}
+        assert found == {k: library.encode_ordinary(t or "") for k, t in enumerate(texts)}
+    monkeypatch.setattr(b, "NUMBERED", 40)
+    assert sum(r["number"] == 0 for r in b.stream(docs, b.VOCABULARY, "doc_id", "text").collect()) > 1
