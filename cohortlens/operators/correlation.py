@@ -21,7 +21,7 @@ from cohortlens.operators.spearman import CHUNK_SAMPLES as SPEARMAN_CHUNK
 from cohortlens.operators.spearman import (
     PIECE_ROWS, number_features, one_per_cell, rank_moments,
 )
-from cohortlens.session import cut, lookup_side
+from cohortlens.session import cut, kept, lookup_side
 
 # Features per block and samples per chunk: two blocks of one chunk are about 32 MB of doubles.
 BLOCK_FEATURES = 256
@@ -229,7 +229,8 @@ def spearman_matrix(values: DataFrame, block: int = SPEARMAN_BLOCK, chunk: int =
                     piece_rows: int = PIECE_ROWS) -> DataFrame:
     """As `pearson_matrix`, on ranks taken among the samples both features have; ties get the mean
     rank. Of a repeated feature and sample the largest value counts."""
-    values = one_per_cell(finite_only(values))
+    # written out, as several jobs read it
+    values = kept(one_per_cell(finite_only(values)))
     numbered = number_features(values)
     pairs = rank_moments(values, numbered, block, chunk, piece_rows)
     pairs = _named(pairs, numbered.withColumn("mean", F.lit(0.0)))

@@ -33,7 +33,9 @@ def _division_points(rows: DataFrame, keys: list[str], value: str, totals: DataF
         .agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 4 * pieces + 100)
              .alias("points"))
     )
-    return cut(points), pieces
+    # how many division points equal each one
+    widths = F.transform("points", lambda p: F.size(F.filter("points", lambda q: q == p)))
+    return cut(points.withColumn("widths", widths)), pieces
 
 
 def _piece(points: Column, value: Column, pieces: int) -> Column:
@@ -84,18 +86,21 @@ def ranked_runs(rows: DataFrame, keys: list[str], value: str, totals: DataFrame,
 
 def with_pieces(rows: DataFrame, keys: list[str], value: str, totals: DataFrame,
                 task_rows: int = TASK_ROWS) -> tuple[DataFrame, int]:
-    """(rows with `piece` and `full`, pieces of the largest group): pieces of large groups in value
-    order; `full` marks rows whose value fills more than a whole piece, the greatest of its piece."""
+    """(rows with `piece`, `full` and `width`, pieces of the largest group): pieces of large groups in
+    value order; `full` marks rows whose value fills more than a whole piece, the greatest of its
+    piece, and `width` is then about how many pieces it fills, otherwise 0."""
     largest = _largest(totals)
     if largest <= task_rows:
-        return rows.withColumns({"piece": F.lit(0), "full": F.lit(False)}), 1
+        return rows.withColumns({"piece": F.lit(0), "full": F.lit(False), "width": F.lit(0)}), 1
     points, pieces = _division_points(rows, keys, value, totals, largest, task_rows)
     placed = rows.join(lookup_side(points), keys, "left").withColumn(
         "piece", _piece(F.col("points"), F.col(value), pieces))
     # a value that is two neighbouring division points
     full = (F.get("points", F.col("piece")) == F.col(value)) & (
         F.get("points", F.col("piece") + 1) == F.col(value))
-    return placed.withColumn("full", F.coalesce(full, F.lit(False))).drop("points"), pieces
+    placed = placed.withColumn("full", F.coalesce(full, F.lit(False)))
+    width = F.when(F.col("full"), F.get("widths", F.col("piece"))).otherwise(F.lit(0))
+    return placed.withColumn("width", width).drop("points", "widths"), pieces
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, totals: DataFrame, name: str,

@@ -25,9 +25,12 @@ from cohortlens.operators.ranking import with_pieces
 from cohortlens.session import cut, lookup_side
 
 # Features per block, samples per chunk, rows of a feature that one task ranks: with a mask for every
-# feature, a task of two blocks holds 2 x 2048 x 64 x 64 ranks.
+# feature, a task of two blocks holds 2 x 2048 x 64 x 64 ranks. With fewer features or masks a chunk
+# takes more samples, up to MOST_SAMPLES: a piece gives a row to every chunk it has samples of, so
+# short chunks would make rows grow with the square of the samples.
 BLOCK_FEATURES = 64
 CHUNK_SAMPLES = 2048
+MOST_SAMPLES = 1 << 17
 PIECE_ROWS = 250_000
 
 _RANKS = ("left int, right int, chunk int, idx bigint, mask int, piece int, samples array<bigint>, "
@@ -149,7 +152,7 @@ def _moment_task(spans: list[tuple[int, int]], block: int, features: int):
         def side(own, partner):
             """({mask: its features' places in the block}, ranks by (place, partner's mask, sample))"""
             low, high = spans[partner]
-            dense = np.zeros((block, high - low + 1, len(universe)))
+            dense = np.zeros((min(block, features - own * block), high - low + 1, len(universe)))
             masks: dict[int, set[int]] = {}
             rows = frame[frame["idx"] // block == own]
             for idx, mask, samples, twice, shift in zip(
@@ -185,6 +188,12 @@ def _moment_task(spans: list[tuple[int, int]], block: int, features: int):
     return moments
 
 
+def chunk_samples(chunk: int, block: int, features: int, masks: int) -> int:
+    """Samples of a chunk that hold as many ranks as `chunk` samples of full blocks do."""
+    ranks = min(block, max(features, 1)) * masks
+    return max(chunk, min(MOST_SAMPLES, chunk * block * block // ranks))
+
+
 def rank_moments(values: DataFrame, numbered: DataFrame, block: int = BLOCK_FEATURES,
                  chunk: int = CHUNK_SAMPLES, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(i, j, n, sums over the doubled ranks) of every pair i <= j of the numbered features.
@@ -194,19 +203,20 @@ def rank_moments(values: DataFrame, numbered: DataFrame, block: int = BLOCK_FEAT
     features = numbered.count()
     blocks = math.ceil(features / block)
     samples = values.agg(F.approx_count_distinct("sample_id")).first()[0]
-    chunks = max(1, math.ceil(samples / chunk))
     # one row per block of features
     own = F.expr(f"CAST(idx div {block} AS INT)")
     spans = {r["own"]: (r["low"], r["high"]) for r in numbered.groupBy(own.alias("own")).agg(
         F.min("mask").alias("low"), F.max("mask").alias("high")).collect()}
     spans = [spans[k] for k in range(blocks)]
+    masks = max((high - low + 1 for low, high in spans), default=1)
+    chunks = max(1, math.ceil(samples / chunk_samples(chunk, block, features, masks)))
 
     names = lookup_side(numbered.select("feature", "idx", "mask"))
     cells = values.join(names, "feature").select("idx", "mask", "sample_id", "value")
     totals = numbered.select("idx", "n")
     placed, pieces = with_pieces(cells, ["idx"], "value", totals, piece_rows)
-    # rows of a value that fills several pieces are dealt by sample
-    part = F.when(F.col("full"), F.pmod(F.xxhash64("sample_id"), F.lit(pieces))).otherwise(F.lit(0))
+    # rows of a value that fills several pieces are dealt by sample, to as many tasks
+    part = F.when(F.col("full"), F.pmod(F.xxhash64("sample_id", F.lit(1)), F.col("width") + 1)).otherwise(F.lit(0))
     placed = placed.select(
         "idx", "mask", "sample_id", "value", part.cast("int").alias("part"),
         (2 * F.col("piece") + F.col("full").cast("int")).cast("int").alias("piece"),

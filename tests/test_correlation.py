@@ -140,3 +140,21 @@ def test_average_ranks_of_a_value_of_a_third_of_all_rows(spark):
     assert pieces == 15 and largest <= 400 and placed.where("full").count() == (x == 0).sum()
     got = {r["sample_id"]: r["r"] for r in average_ranks(rows, ["feature"], "value", totals, "r", 200).collect()}
     assert np.allclose([got[i] for i in range(3000)], ranks(x))
+
+
+def test_short_studies_have_long_chunks_and_wide_values_few_tasks(spark):
+    """Rows between the tasks must not grow with the square of the samples: with few features a chunk
+    holds many samples, and a value is dealt to as many tasks as it fills pieces."""
+    from cohortlens.operators.ranking import with_pieces
+    from cohortlens.operators.spearman import MOST_SAMPLES, chunk_samples
+
+    assert chunk_samples(2048, 64, 6, 4) == MOST_SAMPLES >= 50 * 2048
+    assert chunk_samples(2048, 64, 64, 64) == chunk_samples(2048, 64, 900, 64) == 2048
+    values = [5.0] * 3000 + [6.0] * 1500 + [10.0 + k for k in range(5500)]
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "feature string, sample_id long, value double")
+    totals = rows.groupBy("feature").count().withColumnRenamed("count", "n")
+    placed, pieces = with_pieces(rows, ["feature"], "value", totals, 500)
+    found = {r["value"]: r["width"] for r in placed.where("full").select("value", "width").distinct().collect()}
+    assert pieces == 20 and set(found) == {5.0, 6.0}
+    assert 5 <= found[5.0] <= 7 and 2 <= found[6.0] <= 4
+    assert placed.where("NOT full AND width <> 0").count() == 0
