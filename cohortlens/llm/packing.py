@@ -29,15 +29,35 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _memories: dict[str, SegmentMemory] = {}
 
 
+#: Characters that the byte-level alphabet writes bytes as; printable ones stand for themselves.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)}.difference(_PRINTABLE)))}
+
+
+def one_word(segment: str) -> bool:
+    """Letters behind at most one space, which the splitting pattern takes as one match."""
+    stem = segment.removeprefix(" ")
+    return stem.isalpha() and max(stem) < "\u0250"
+
+
 def memory(path: str) -> SegmentMemory:
-    """The tokenizer file behind a memory that lasts as long as the worker."""
+    """The tokenizer file behind a memory that lasts as long as the worker. Single words go to its
+    merges directly, which spares them the splitting and the records of a whole encoding."""
     if path not in _memories:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _memories[path] = SegmentMemory(lambda words: [
-            e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        merges = tokenizer.model.tokenize
+
+        def learn(segments: list[str]) -> list[list[int]]:
+            whole = [one_word(s) for s in segments]
+            rest = iter(tokenizer.encode_batch_fast(
+                [s for s, w in zip(segments, whole) if not w], add_special_tokens=False))
+            return [[t.id for t in merges(s.encode().decode("latin-1").translate(_ALPHABET))] if w else next(rest).ids
+                    for s, w in zip(segments, whole)]
+
+        _memories[path] = SegmentMemory(learn)
     return _memories[path]
 
 

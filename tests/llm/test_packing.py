@@ -90,3 +90,13 @@ def test_repeated_rows_and_rows_without_id_spread_over_the_groups(spark):
         assert [a for a, _ in sorted(parts)] == np.cumsum([0] + [n for _, n in sorted(parts)])[:-1].tolist()
     again = p.pack(p.pieces(table), 40).collect()
     assert sorted(map(str, again)) == sorted(map(str, packed))
+
+
+def test_single_words_have_the_ids_of_the_library(tokenizer):
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = [lead + a + b for lead in ("", " ") for a in letters for b in ("", "e", "ß", "Ġ", "ÿ")]
+    words += [" internationalization", "Straßenbahnhaltestelle", " ñandúes", "x" * 3000]
+    other = ["", " ", "  a", "a b", "漢字", " it's", "a1", "\na", "ab ", "a\u0301"]
+    assert all(map(p.one_word, words)) and not any(map(p.one_word, other))
+    found = p.memory(p.VOCABULARY).learn(words + other)
+    assert found == [e.ids for e in tokenizer.encode_batch(words + other, add_special_tokens=False)]
