@@ -112,3 +112,21 @@ def test_first_header_line_in_any_order(spark):
     got = [r["feature"] for r in readers.feature_names(lines, number="number").orderBy("pos").collect()]
     assert got == ["b", "a", "c"]
     assert [r["feature"] for r in readers.feature_names(lines).collect()] == ["a"]
+
+
+def test_study_is_written_without_sorting_it_by_family(spark, tmp_path, monkeypatch):
+    """A task keeps a file open for each family; the setting is put back, also after an error."""
+    from pyspark.sql import DataFrameWriter
+
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    before = spark.conf.get(name)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(int(spark.conf.get(name))), write(self, *a, **b)))
+    obs = spark.createDataFrame([(f, k, v) for k in range(40) for f, v in (("x", str(k)), ("y", "ab"[k % 2]), ("z", "yes"))],
+                                "feature string, sample_id long, raw string")
+    write_study(obs, feature_families(obs), str(tmp_path / "a"))
+    assert seen[0] >= 4 and spark.conf.get(name) == before
+    assert read_family(spark, str(tmp_path / "a"), "Numerical").count() == 40
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **b: 1 // 0)
+    with pytest.raises(ZeroDivisionError):
+        write_study(obs, feature_families(obs), str(tmp_path / "b"))
+    assert spark.conf.get(name) == before
