@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cohortlens.llm.common import slices, table
-from cohortlens.llm.segments import SegmentMemory
+from cohortlens.llm.segments import SegmentMemory, one_word
 
 LENGTH, END = 1024, 0
 #: Text bytes whose pieces are packed together, on average.
@@ -29,33 +29,35 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _memories: dict[str, SegmentMemory] = {}
 
 
-#: Characters that the byte-level alphabet writes bytes as; printable ones stand for themselves.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: chr(256 + n) for n, b in enumerate(sorted({*range(256)}.difference(_PRINTABLE)))}
-
-
-def one_word(segment: str) -> bool:
-    """Letters behind at most one space, which the splitting pattern takes as one match."""
-    stem = segment.removeprefix(" ")
-    return stem.isalpha() and max(stem) < "\u0250"
+#: Words that are encoded as one text.
+TOGETHER = 1000
 
 
 def memory(path: str) -> SegmentMemory:
-    """The tokenizer file behind a memory that lasts as long as the worker. Single words go to its
-    merges directly, which spares them the splitting and the records of a whole encoding."""
+    """The tokenizer file behind a memory that lasts as long as the worker. Single words behind a space
+    are encoded many at a time, in one text: the splitting pattern parts before every space, and of a
+    word's ids only the first stands for bytes that begin with one."""
     if path not in _memories:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        merges = tokenizer.model.tokenize
+        first = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
+        first[[i for token, i in tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+
+        def encoded(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         def learn(segments: list[str]) -> list[list[int]]:
-            whole = [one_word(s) for s in segments]
-            rest = iter(tokenizer.encode_batch_fast(
-                [s for s, w in zip(segments, whole) if not w], add_special_tokens=False))
-            return [[t.id for t in merges(s.encode().decode("latin-1").translate(_ALPHABET))] if w else next(rest).ids
-                    for s, w in zip(segments, whole)]
+            spaced = [s[:1] == " " and one_word(s) for s in segments]
+            words = [s for s, w in zip(segments, spaced) if w]
+            rest = iter(encoded([s for s, w in zip(segments, spaced) if not w]))
+            own: list[list[int]] = []
+            for ids in encoded(["".join(words[k:k + TOGETHER]) for k in range(0, len(words), TOGETHER)]):
+                starts = np.flatnonzero(first[ids]).tolist()
+                own += [ids[a:b] for a, b in zip(starts, starts[1:] + [len(ids)])]
+            taken = iter(own)
+            return [next(taken) if w else next(rest) for w in spaced]
 
         _memories[path] = SegmentMemory(learn)
     return _memories[path]
@@ -73,9 +75,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
         task = TaskContext.get().partitionId() << 32
         before: Counter[tuple] = Counter()
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             rows: list[list] = [[] for _ in names]
-            for doc, ids in zip(batch.column(0).to_pylist(), memory(path).encode(texts)):
+            for doc, ids in zip(batch.column(0).to_pylist(), memory(path).encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), length):
                     own = ids[start:start + length]

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Segments remembered; beyond it the memory starts afresh.
 REMEMBERED = 3 << 19
@@ -14,8 +16,14 @@ REMEMBERED = 3 << 19
 TAIL = ".,;:!?"
 
 
+def one_word(segment: str) -> bool:
+    """Letters behind at most one space, which the splitting patterns take as one match."""
+    stem = segment.removeprefix(" ")
+    return stem.isalpha() and max(stem) < "\u0250"
+
+
 class SegmentMemory:
-    """`learn` gives the numbers of each of a list of strings.
+    """`learn` gives the numbers of each of a list of strings, as lists or arrays.
 
     No match of a splitting pattern for byte-level BPE reaches from a non-blank to a single space
     behind it, so a text may be cut before every such space. Texts with other runs of blanks are
@@ -79,27 +87,37 @@ class SegmentMemory:
         self.used += total
         self.number.update(zip(segments, range(first, stop)))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The numbers of every text; null is empty. Parts are looked up once for all these texts."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        cut, places, new = [], [], set()
-        for text in texts:
-            # every part but the first keeps the space before it
-            parts = text.split(" ")
-            parts[1:] = map(" ".__add__, parts[1:])
-            at = np.fromiter(map(self.number.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
-            unknown = np.flatnonzero(at < 0).tolist()
-            new.update(map(parts.__getitem__, unknown))
-            cut.append((parts, unknown))
-            places.append(at)
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        coded = lists.flatten().dictionary_encode()
+        place, parts = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # every part but the first keeps the space before it
+        heads = [parts[k] for k in place[edges[:-1]].tolist()]
+        behind = np.ones(len(place), dtype=bool)
+        behind[edges[:-1]] = False
+        used = np.zeros(len(parts), dtype=bool)
+        used[place[behind]] = True
+        parts = list(map(" ".__add__, parts))
+        known = np.fromiter(map(self.number.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        unknown = np.flatnonzero(used & (known < 0)).tolist()
+        new = {parts[k] for k in unknown}.union(h for h in heads if h not in self.number)
         if new:
             self._add(new)
+        known[unknown] = [self.number[parts[k]] for k in unknown]
+        at = known[place]
+        at[edges[:-1]] = [self.number[h] for h in heads]
         out = []
-        for text, (parts, unknown), at in zip(texts, cut, places):
-            if unknown:
-                at[unknown] = [self.number[parts[k]] for k in unknown]
-            if len(at) > 1 and (parts[0][-1:].isspace() or not self.plain[at[1:]].all()):
-                out.append(np.array(self.learn([text])[0], dtype=np.uint32))
+        for text, head, low, high in zip(texts, heads, edges.tolist(), edges[1:].tolist()):
+            if high - low > 1 and (head[-1:].isspace() or not self.plain[at[low + 1:high]].all()):
+                out.append(np.array(self.learn([text.as_py()])[0], dtype=np.uint32))
             else:
-                out.append(self._flat(at))
+                out.append(self._flat(at[low:high]))
         return out

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,3 +101,23 @@ def test_single_words_have_the_ids_of_the_library(tokenizer):
     assert all(map(p.one_word, words)) and not any(map(p.one_word, other))
     found = p.memory(p.VOCABULARY).learn(words + other)
     assert found == [e.ids for e in tokenizer.encode_batch(words + other, add_special_tokens=False)]
+
+
+def test_parts_are_looked_up_once_a_batch_and_texts_may_be_null(tokenizer):
+    """Repeated parts reach the memory and the tokenizer once, whatever text of the batch holds them."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    texts = [None, "", " ", "stone river", "river stone river"] * 50 + ["stone\n river", " stone"]
+    memory = p.SegmentMemory(p.memory(p.VOCABULARY).learn)
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for again in range(2):
+        memory.number = Counted(memory.number)
+        Counted.asked = 0
+        assert [ids.tolist() for ids in memory.encode(pa.array(texts))] == expected
+        assert Counted.asked <= 6
+    assert [ids.tolist() for ids in memory.encode(pa.array(texts).slice(3, 9))] == expected[3:12]
