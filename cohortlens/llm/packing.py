@@ -8,8 +8,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,8 @@ from cohortlens.llm.segments import SegmentMemory, one_word
 LENGTH, END = 1024, 0
 #: Text bytes whose pieces are packed together, on average.
 GROUP_BYTES = 6_000_000
+#: Segments remembered where ids are written, beside the other work of a pipeline.
+REMEMBERED_BESIDE = 400_000
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -76,6 +78,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
         before: Counter[tuple] = Counter()
         for batch in slices(batches):
             rows: list[list] = [[] for _ in names]
+            if with_ids and len(memory(path).number) > REMEMBERED_BESIDE:
+                memory(path).forget()
             for doc, ids in zip(batch.column(0).to_pylist(), memory(path).encode(batch.column(1))):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), length):
@@ -128,16 +132,16 @@ def pack(parts: DataFrame, groups: int, capacity: int = LENGTH, seed: int = 11)
     fields = [f for f in parts.schema.fields if f.name in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")]
     names = [f.name for f in fields]
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "copy"], kind="stable", ignore_index=True)
-        where, offset = first_fit_decreasing(frame["length"].to_numpy(), capacity)
-        frame["sequence_id"] = frame["_group"].to_numpy(dtype=np.int64) * (1 << 32) + where
-        frame["offset"] = offset
-        return frame[[*names, "sequence_id", "offset"]]
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        group = group.take(pc.sort_indices(group, [(k, "ascending") for k in ("doc_id", "start", "copy")]))
+        where, offset = first_fit_decreasing(group["length"].to_numpy(), capacity)
+        sequence = group["_group"].to_numpy().astype(np.int64) * (1 << 32) + where
+        return group.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy", F.lit(seed)), F.lit(groups))
-    return parts.select(*names, "copy", group.cast("int").alias("_group")).groupBy("_group").applyInPandas(fill, schema)
+    return parts.select(*names, "copy", group.cast("int").alias("_group")).groupBy("_group").applyInArrow(fill, schema)
 
 
 def group_count(docs: DataFrame, text: str = "text") -> int:

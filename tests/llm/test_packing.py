@@ -121,3 +121,11 @@ def test_parts_are_looked_up_once_a_batch_and_texts_may_be_null(tokenizer):
         assert [ids.tolist() for ids in memory.encode(pa.array(texts))] == expected
         assert Counted.asked <= 6
     assert [ids.tolist() for ids in memory.encode(pa.array(texts).slice(3, 9))] == expected[3:12]
+
+
+def test_groups_are_packed_in_arrow(spark):
+    """No row of a group becomes a Python object; its ids stay as they are."""
+    packed = p.pack_documents(documents(spark, TEXTS), with_ids=True)
+    assert "FlatMapGroupsInArrow" in packed._jdf.queryExecution().toString()
+    for r in packed.collect():
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
