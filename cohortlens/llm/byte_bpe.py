@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import slices, table
-from cohortlens.llm.segments import SegmentMemory
+from cohortlens.llm.segments import SegmentMemory, one_word
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The splitting pattern, white space being the Unicode property.
@@ -135,7 +136,7 @@ def stream(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
         def number(segments: list[str]) -> list[list[int]]:
             out = []
             for segment in segments:
-                found = PATTERN.findall(segment)
+                found = [segment] if one_word(segment) else PATTERN.findall(segment)
                 for w in found:
                     if w not in words:
                         words[w] = len(words)
@@ -165,34 +166,59 @@ def stream(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
 
         memory = SegmentMemory(number)
         for batch in slices(batches):
-            own, lists, held = [], [], 0
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own.append(doc)
-                lists.append(memory.encode([value.as_py() or ""])[0].astype(np.int32))
-                held += len(lists[-1])
+            # runs of rows of so many bytes at most, or one row; no word is shorter than a byte
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            low = 0
+            while low < batch.num_rows:
+                before = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + UNFOLD_WORDS, side="right")))
+                own = batch.slice(low, high - low)
+                lists = [found.astype(np.int32) for found in memory.encode(own.column(1))]
+                yield rows(own.column(0).to_pylist(), lists)
                 full = len(words) > NUMBERED
-                if full or held > UNFOLD_WORDS:
-                    yield rows(own, lists)
-                    own, lists, held = [], [], 0
                 if full:
                     words.clear()
                 if full or len(memory.number) > SEGMENTS:
                     memory.forget()
-            if own:
-                yield rows(own, lists)
+                low = high
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, STREAM)
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def gathered(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `pool` at these places, one after the other, and where each starts and the last ends."""
+    n = sizes[at].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return pool[np.arange(ends[-1]) + np.repeat(begins[at] - ends[:-1], n)], ends
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of `values` cut at `bounds`."""
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in one array, and by id where a token begins and how long it is."""
+    cells = [b""] * (max((ranks := read_ranks(path)).values()) + 1)
+    for token, rank in ranks.items():
+        cells[rank] = token
+    sizes = np.array([*map(len, cells)])
+    return np.frombuffer(b"".join(cells), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text: str = "text",
+           with_bytes: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every row: the ids of the whole text; empty for null. Copies are
-    encoded like any text; a word is folded when a task first meets it."""
+    encoded like any text; a word is folded when a task first meets it. `with_bytes` adds the ids as
+    little-endian numbers of four bytes (`raw`) and the bytes that the ids stand for (`decoded`)."""
     ranks = rank_map(pair_ranks(read_ranks(path)))
     # a projection keeps the order of the rows of a task
     folded = stream(docs, path, id_col, text).select(
         "doc_id", "words", "number", F.when(F.col("number").isNotNull(), fold_merges(F.col("bytes"), ranks)).alias("ids"))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = token_bytes(path) if with_bytes else None
         pool = np.zeros(1 << 16, np.int32)
         begins, sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
         known = 0
@@ -213,13 +239,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
         def together(own: pa.Array, lists: pa.ListArray) -> pa.RecordBatch:
             edges = lists.offsets.to_numpy().astype(np.int64)
             at = lists.flatten().to_numpy()
-            n = sizes[at].astype(np.int64)
-            ends = np.cumsum(n)
-            inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-            values = pool[np.repeat(begins[at], n) + inside]
-            bounds = np.concatenate([[0], ends])[edges - edges[0]]
-            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))
-            return pa.RecordBatch.from_arrays([own, ids], names=["doc_id", "ids"])
+            values, ends = gathered(pool, begins, sizes, at)
+            bounds = ends[edges - edges[0]]
+            columns = [own, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int32()))]
+            if tokens:
+                decoded, ends = gathered(*tokens, values)
+                columns += [binaries(values.astype("<u4"), 4 * bounds), binaries(decoded, ends[bounds])]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             own, lists, numbers, ids = batch.columns
@@ -239,7 +265,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
                     yield together(own.slice(low, stop - low), lists.slice(low, stop - low))
                     low = stop
 
-    return folded.mapInArrow(unfold, "doc_id long, ids array<int>")
+    names = ["doc_id", "ids"] + ["raw", "decoded"] * with_bytes
+    return folded.mapInArrow(unfold, "doc_id long, ids array<int>" + ", raw binary, decoded binary" * with_bytes)
 
 
 def id_table(ranks: dict[bytes, int], written) -> Column:
@@ -261,13 +288,7 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
     return joined_bytes(ids, id_table(read_ranks(path), lambda token, _: token.hex()))
 
 
-def little_endian(ids: Column, path: str = VOCABULARY) -> Column:
-    return joined_bytes(ids, id_table(read_ranks(path), lambda _, rank: rank.to_bytes(4, "little").hex()))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    ids = F.col("ids")
-    return encoded.select(
-        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(little_endian(ids), 256).alias("ids_sha256"),
-        F.sha2(decode(ids), 256).alias("decoded_sha256"))
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), with_bytes=True).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("raw", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -87,3 +87,15 @@ def test_words_start_afresh_and_rows_stay_small(spark, library, monkeypatch):
         assert found == {k: library.encode_ordinary(t or "") for k, t in enumerate(texts)}
     monkeypatch.setattr(b, "NUMBERED", 40)
     assert sum(r["number"] == 0 for r in b.stream(docs, b.VOCABULARY, "doc_id", "text").collect()) > 1
+
+
+def test_bytes_of_the_ids_come_with_them(spark, monkeypatch):
+    """Tokens of several bytes, characters cut between tokens, empty rows, and runs of few words."""
+    docs = documents(spark, TEXTS).coalesce(1)
+    for limit in (1 << 19, 9):
+        monkeypatch.setattr(b, "UNFOLD_WORDS", limit)
+        rows = b.encode(docs, with_bytes=True).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(len(TEXTS)))
+        for r in rows:
+            assert bytes(r["decoded"]) == (TEXTS[r["doc_id"]] or "").encode()
+            assert bytes(r["raw"]) == np.array(r["ids"], "<u4").tobytes()
