@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from cohortlens.llm.common import slices, table
-from cohortlens.llm.segments import SegmentMemory, one_word
+from cohortlens.llm.common import table
+from cohortlens.llm.segments import SegmentMemory, one_word, text_runs  # noqa: F401
 
 LENGTH, END = 1024, 0
 #: Text bytes whose pieces are packed together, on average.
@@ -31,14 +31,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _memories: dict[str, SegmentMemory] = {}
 
 
-#: Words that are encoded as one text.
-TOGETHER = 1000
+#: Words that are encoded as one text, and bytes of texts whose parts are looked up together.
+TOGETHER, TEXT_RUN = 1000, 1 << 20
 
 
 def memory(path: str) -> SegmentMemory:
-    """The tokenizer file behind a memory that lasts as long as the worker. Single words behind a space
-    are encoded many at a time, in one text: the splitting pattern parts before every space, and of a
-    word's ids only the first stands for bytes that begin with one."""
+    """The tokenizer file behind a memory that lasts as long as the worker. Single words are encoded
+    many at a time, in one text: the splitting pattern parts before every space, and of the ids of a
+    word behind one only the first stands for bytes that begin with it."""
     if path not in _memories:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -50,18 +50,19 @@ def memory(path: str) -> SegmentMemory:
         def encoded(texts: list[str]) -> list[list[int]]:
             return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        def learn(segments: list[str]) -> list[list[int]]:
-            spaced = [s[:1] == " " and one_word(s) for s in segments]
-            words = [s for s, w in zip(segments, spaced) if w]
-            rest = iter(encoded([s for s, w in zip(segments, spaced) if not w]))
-            own: list[list[int]] = []
-            for ids in encoded(["".join(words[k:k + TOGETHER]) for k in range(0, len(words), TOGETHER)]):
-                starts = np.flatnonzero(first[ids]).tolist()
-                own += [ids[a:b] for a, b in zip(starts, starts[1:] + [len(ids)])]
-            taken = iter(own)
-            return [next(taken) if w else next(rest) for w in spaced]
-
-        _memories[path] = SegmentMemory(learn)
+        line = tokenizer.token_to_id("\u010a")
+
+        def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """The sizes and the ids of words that are all behind a space; others get a line end, whose
+            id is dropped."""
+            lead = "" if words[0][0] == " " else "\n"
+            flat = [np.array(ids, np.uint32) for ids in
+                    encoded([lead + lead.join(words[k:k + TOGETHER]) for k in range(0, len(words), TOGETHER)])]
+            flat = np.concatenate(flat)
+            starts = np.flatnonzero(flat == line if lead else first[flat])
+            return np.diff(starts, append=len(flat)) - len(lead), flat[flat != line] if lead else flat
+
+        _memories[path] = SegmentMemory(encoded, together)
     return _memories[path]
 
 
@@ -76,7 +77,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_ids
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"] + ["ids"] * with_ids
         task = TaskContext.get().partitionId() << 32
         before: Counter[tuple] = Counter()
-        for batch in slices(batches):
+        for batch in text_runs(batches, TEXT_RUN):
             rows: list[list] = [[] for _ in names]
             if with_ids and len(memory(path).number) > REMEMBERED_BESIDE:
                 memory(path).forget()

@@ -129,3 +129,32 @@ def test_groups_are_packed_in_arrow(spark):
     assert "FlatMapGroupsInArrow" in packed._jdf.queryExecution().toString()
     for r in packed.collect():
         assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+
+
+def test_words_of_one_kind_are_encoded_in_one_text(tokenizer):
+    """Behind a space or not; of the ids of each, none stands for what parts them."""
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    for lead in ("", " "):
+        words = [lead + a + b for a in letters for b in ("", "e", "ß", "Ġ", "Ċ", "ÿ")] * 3
+        sizes, ids = p.memory(p.VOCABULARY).words(words)
+        expected = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+        assert sizes.tolist() == [*map(len, expected)] and ids.tolist() == sum(expected, [])
+
+
+def test_words_around_line_ends_are_learnt_once(tokenizer):
+    """Lines that end and begin with ever other pairs of words ask the tokenizer for no pair."""
+    ends, begins = ["stone", "river", "ñandú", "a"], ["Moss", "Fern", "a", "Über"]
+    between = ["\n", ".\n\n", "!?\n", "\n\n\n", ",\n\n"]
+    texts = [f"x {a}{b}{c}{t} y{b}{c}" for a in ends for b in between for c in begins for t in ("", ".", "?!")]
+    asked = []
+
+    def learn(segments):
+        asked.extend(segments)
+        return p.memory(p.VOCABULARY).learn(segments)
+
+    memory = p.SegmentMemory(learn)
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in memory.encode(texts)] == expected
+    assert not any("\n" in s and len(s.strip(".,;:!?\n")) > 1 for s in asked) and len(asked) < 25
+    whole = [*ends, *begins, *between, *(b + "a" for b in between), "a\n", "\na", "a\n\nb\nc", "a\n1", "a.\n b"]
+    assert [i.tolist() for i in memory.encode(whole)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in whole]
