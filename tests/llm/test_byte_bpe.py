@@ -1,6 +1,8 @@
+import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -99,3 +101,46 @@ def test_bytes_of_the_ids_come_with_them(spark, monkeypatch):
         for r in rows:
             assert bytes(r["decoded"]) == (TEXTS[r["doc_id"]] or "").encode()
             assert bytes(r["raw"]) == np.array(r["ids"], "<u4").tobytes()
+
+
+def test_one_pass_over_the_tokens_of_a_word_merges_as_the_heap(spark):
+    """Words of random letters, repeated runs and cut characters; a step of the fold for each token that
+    occurs in the word, not for each pair of neighbours at each merge."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinrst thé漢"), n)).strip() or "x" for n in rng.integers(1, 60, 400)]
+    words += ["aaaaaaa", "thethethe", " in", "ininin", "x" * 256, "é" * 100, "漢字" * 30]
+    tree, data = b.TokenTree(RANKS), [w.encode() for w in words]
+    ends = np.cumsum([*map(len, data)])
+    found, counts = tree.found(np.frombuffer(b"".join(data), np.uint8), ends, ends - [*map(len, data)])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    chars = [b.written(np.array([RANKS[bytes([c])] for c in d])) for d in data]
+    rows = []
+    for k, d in enumerate(data):
+        own = found[bounds[k]:bounds[k + 1]].tolist()
+        inside = {d[i:j] for i in range(len(d)) for j in range(i + 2, len(d) + 1)}
+        assert own == sorted(RANKS[t] for t in inside if t in RANKS)
+        rows.append((k, chars[k], own))
+    table = spark.createDataFrame(rows, "k int, chars string, found array<int>")
+    folded = table.select("k", b.fold_merges(table["chars"], table["found"], b.rank_map(b.halves(b.VOCABULARY))).alias("ids"))
+    for r in folded.collect():
+        ids, _ = b.numbers(pa.array([r["ids"]]))
+        assert ids.tolist() == b.merged([RANKS[bytes([c])] for c in data[r["k"]]], PAIRS)
+
+
+def test_ids_travel_as_text():
+    ids = np.array([0, 127, 128, 2047, 2048, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFFFF, 0x10000, 0x10F7FF])
+    texts = b.strings(ids, np.array([3, 0, 5, 4]))
+    assert texts.to_pylist() == [b.written(ids[:3]), "", b.written(ids[3:8]), b.written(ids[8:])]
+    found, sizes = b.numbers(texts.slice(1))
+    assert found.tolist() == ids[3:].tolist() and sizes.tolist() == [0, 5, 4]
+
+
+def test_a_vocabulary_whose_merges_fall(spark, tmp_path):
+    """`abc` is made over `bc`, which has a higher rank than it; `dxe` by no merge."""
+    tokens = [*(bytes([k]) for k in range(256)), b"abc", b"bc", b"dxe"]
+    path = str(tmp_path / "own.tiktoken")
+    (tmp_path / "own.tiktoken").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.read_ranks(path), special_tokens={})
+    texts = ["abc abcabc bcbc", "dxe dxedxe", None, "é" * 300]
+    assert {r["doc_id"]: r["ids"] for r in b.encode(documents(spark, texts), path).collect()} == {
+        k: own.encode_ordinary(t or "") for k, t in enumerate(texts)}
