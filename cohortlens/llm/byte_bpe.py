@@ -193,8 +193,8 @@ def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
 
 STREAM = "doc_id long, words array<int>, number int, chars string, found array<int>"
 #: Documents whose ids are put together at a time, and the most numbers of words in it; the most bytes
-#: of texts that are numbered at a time.
-UNFOLD_DOCS, UNFOLD_WORDS, NUMBER_BYTES = 512, 1 << 19, 1 << 21
+#: of texts that are numbered at a time, and the most new words made into rows at a time.
+UNFOLD_DOCS, UNFOLD_WORDS, NUMBER_BYTES, NEW_WORDS = 512, 1 << 19, 1 << 21, 1 << 17
 
 
 @functools.cache
@@ -230,9 +230,9 @@ def stream(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
         def number_words(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
             return np.ones(len(segments), np.int64), np.array(numbered(segments), np.uint32)
 
-        def fresh() -> pa.RecordBatch:
-            """Rows of the new words."""
-            n, first = len(new), len(words) - len(new)
+        def fresh(new: list[str], first: int) -> pa.RecordBatch:
+            """Rows of new words, the numbers of which begin with `first`."""
+            n = len(new)
             _, bounds, data = pa.array(new, pa.large_string()).buffers()
             bounds, data = np.frombuffer(bounds, np.int64)[:n + 1], np.frombuffer(data, np.uint8)
             sizes, ids = np.diff(bounds), single[data[:bounds[-1]]]
@@ -250,7 +250,6 @@ def stream(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
             ends[long] = bounds[:-1][long]
             found, counts = tree.found(data, ends, bounds[:-1])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found))
-            new.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())),
                  pa.array(np.arange(first, first + n), pa.int32()), strings(ids, sizes), lists], names=names)
@@ -259,8 +258,9 @@ def stream(docs: DataFrame, path: str, id_col: str, text: str) -> DataFrame:
         names = ["doc_id", "words", "number", "chars", "found"]
         for own in text_runs(batches, min(NUMBER_BYTES, 4 * UNFOLD_WORDS)):
             lists = memory.encode(own.column(1))
-            if new:
-                yield fresh()
+            for low in range(0, len(new), NEW_WORDS):
+                yield fresh(new[low:low + NEW_WORDS], len(words) - len(new) + low)
+            new.clear()
             n, bounds = own.num_rows, np.concatenate([[0], np.cumsum([*map(len, lists)])])
             lists = pa.ListArray.from_arrays(
                 pa.array(bounds, pa.int32()), pa.array(np.concatenate(lists).astype(np.int32)))

@@ -144,3 +144,12 @@ def test_a_vocabulary_whose_merges_fall(spark, tmp_path):
     texts = ["abc abcabc bcbc", "dxe dxedxe", None, "é" * 300]
     assert {r["doc_id"]: r["ids"] for r in b.encode(documents(spark, texts), path).collect()} == {
         k: own.encode_ordinary(t or "") for k, t in enumerate(texts)}
+
+
+def test_new_words_travel_some_at_a_time(spark, library, monkeypatch):
+    texts = [prose(200, 1) + " " + "w" * 300, prose(50, 2)]
+    monkeypatch.setattr(b, "NEW_WORDS", 7)
+    docs = documents(spark, texts).coalesce(1)
+    numbers = [r["number"] for r in b.stream(docs, b.VOCABULARY, "doc_id", "text").collect() if r["number"] is not None]
+    assert numbers == list(range(len(numbers))) and len(numbers) > 7
+    assert {r["doc_id"]: r["ids"] for r in b.encode(docs).collect()} == {k: library.encode_ordinary(t) for k, t in enumerate(texts)}
